@@ -1,26 +1,48 @@
-"""The corpus pipeline: filtering stages, each written as Parquet and reread, then packing."""
+"""The corpus pipeline: four filtering stages, each written as Parquet and reread, then packing into sequences."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotwise.llm import neardup
+from lotwise.llm import decontam, linedup, neardup, packing, toxicity
+from lotwise.llm.queries import held_out, read
 from lotwise.llm.shared import materialise
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows scored 0.5 or more go; the model learns from labelled rows among docs that are not held out."""
+    scored = toxicity.score_with_labels(docs, docs, read(spark, sf_dir, "labels"), held_out(5, 0))
+    return scored.filter("toxicity < 0.5").select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in at least 10 documents go; a document stays, if need be with an empty text."""
+    return linedup.drop_repeated_lines(docs, min_docs=10, min_chars=1)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the row of the least doc_id stays."""
     return neardup.drop_near_duplicates(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text holds a passage of a benchmark item, by template, go."""
+    return decontam.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, capacity=2048)
+
+
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_dedup", drop_copies), ("decontamination", drop_leaked), ("packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Tokenisation, minhash components and the learnt classifier are beyond SQL; tests/llm compares the stages with plain Python.
+#: A learnt classifier and tokenisation are beyond SQL; tests/llm holds the stages against plain Python.
 ORACLE_SQL = None
