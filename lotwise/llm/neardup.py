@@ -196,7 +196,8 @@ def _confirmed(docs: DataFrame, classes: DataFrame, families: DataFrame, words:
     def verify(table: pa.Table) -> pa.Table:
         return _verify(table, words, percent)
 
-    return texts.join(dealt, "rep").groupBy("family", "p", "q").applyInArrow(verify, "a long, b long")
+    # Families grow with the corpus, so this join is never a broadcast, however small the first inputs are.
+    return texts.join(dealt.hint("merge"), "rep").groupBy("family", "p", "q").applyInArrow(verify, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, h: int = 3, t: int = 15) -> DataFrame:
