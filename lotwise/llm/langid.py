@@ -19,6 +19,8 @@ from .shared import hash_sample
 from .words import BYTE, U64, mix, slices, stream
 
 SLOTS = 4096
+#: Added to the logarithm: nearly every text has the common n-grams, and how often they come is what tells languages apart.
+IDF_FLOOR = 3.0
 NONE = "und"
 
 
@@ -76,7 +78,7 @@ def fit(labelled: DataFrame, clusters: int = 4, most: int = 3000) -> dict:
             rows += [np.frombuffer(r.as_py(), np.float32) for r in batch.column(0)]
             langs += batch.column(1).to_pylist()
         x = np.array(rows, np.float32).reshape(-1, SLOTS)
-        idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + np.float32(0.1)
+        idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + IDF_FLOOR).astype(np.float32)
         x = normalised(x * idf)
         out: list[tuple] = [("", idf.tobytes(), 0.0)]
         for lang in sorted(set(langs)):

@@ -18,7 +18,14 @@ from pyspark.sql import functions as F
 from .shared import hash_sample
 from .words import U64, Words, mix, slices
 
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 1.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 1.0
+BITS, EPOCHS = 22, 5
+#: A slot takes part once so many documents of the sample have it; what one document has teaches nothing about others.
+LEAST_DOCS = 5
+#: Toxic documents are the rarer kind: their errors weigh so much more.
+TOXIC_WEIGHT = 3.0
+#: Labelled documents that a fit uses at most.
+MOST = 30_000
 
 
 def word_slots(words: Words, i: int, bits: int) -> np.ndarray:
@@ -47,13 +54,13 @@ class Ftrl:
 
     def learn(self, at: np.ndarray, label: int) -> None:
         w = self.weights(at)
-        g = sigmoid(w.sum()) - label
+        g = (sigmoid(w.sum()) - label) * (TOXIC_WEIGHT if label else 1.0)
         sigma = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / ALPHA
         self.z[at] += g - sigma * w
         self.n[at] += g * g
 
 
-def fit(labelled: DataFrame, bits: int = 18, epochs: int = 3, most: int = 10_000) -> DataFrame:
+def fit(labelled: DataFrame, bits: int = BITS, epochs: int = EPOCHS, most: int = MOST) -> DataFrame:
     """labelled (doc_id, text, label 0/1) -> (slot, weight) of the weights that are not 0; the constant has slot 2^bits."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,8 +68,12 @@ def fit(labelled: DataFrame, bits: int = 18, epochs: int = 3, most: int = 10_000
         for batch in batches:
             for lo, hi, buf, offsets in slices(batch.column(0)):
                 words = Words(buf, offsets)
-                rows += [np.append(np.unique(word_slots(words, i, bits)), 1 << bits) for i in range(hi - lo)]
+                rows += [np.unique(word_slots(words, i, bits)).astype(np.int32) for i in range(hi - lo)]
             labels += batch.column(1).to_pylist()
+        having = np.zeros(1 << bits, np.int32)
+        for row in rows:
+            having[row] += 1
+        rows = [np.append(row[having[row] >= LEAST_DOCS], np.int32(1 << bits)) for row in rows]
         model = Ftrl(bits)
         order = np.random.default_rng(0)
         for _ in range(epochs):
@@ -77,7 +88,7 @@ def fit(labelled: DataFrame, bits: int = 18, epochs: int = 3, most: int = 10_000
     return chosen.repartition(1).sortWithinPartitions("doc_id", "text").select("text", "label").mapInArrow(train, "slot long, weight double")
 
 
-def score(docs: DataFrame, weights: DataFrame, bits: int = 18) -> DataFrame:
+def score(docs: DataFrame, weights: DataFrame, bits: int = BITS) -> DataFrame:
     """docs with a column toxicity (0 to 1). A null or empty text has the score of the constant alone."""
     table = np.zeros((1 << bits) + 1)
     for row in weights.toLocalIterator():  # at most 2^bits + 1 short rows
@@ -91,7 +102,6 @@ def score(docs: DataFrame, weights: DataFrame, bits: int = 18) -> DataFrame:
         at, w = model.value
         table = np.zeros((1 << bits) + 1)
         table[at] = w
-        seen = np.zeros(1 << bits, bool)
         for batch in batches:
             out = []
             for lo, hi, buf, offsets in slices(batch.column(len(own))):
@@ -114,7 +124,7 @@ def labelled_documents(docs: DataFrame, labels: DataFrame, label: str, held_out:
     return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most `most` rows
 
 
-def score_with_labels(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, held_out: Column, most: int = 10_000) -> DataFrame:
+def score_with_labels(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, held_out: Column, most: int = MOST) -> DataFrame:
     """docs with toxicity by a model fitted on train_docs and labels.toxic; held_out is a condition on doc_id.
 
     Null texts count as empty, rows that repeat are scored each, further columns stay, an empty table gives an empty table.
