@@ -1 +1,93 @@
-ORACLE_SQL: dict[str, str] = {}
+"""DuckDB SQL for the opN_ queries that SQL can express."""
+
+from __future__ import annotations
+
+from .decontam import LEAST_TOKENS, UNITS
+from .linedup import LOWER, UPPER
+
+
+def words_of(text: str) -> str:
+    folded = f"translate(coalesce({text}, ''), '{UPPER}', '{LOWER}')"
+    return f"list_filter(string_split_regex({folded}, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
+
+
+STUPID_BACKOFF = f"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, {words_of("text")} AS ws FROM documents),
+t AS (SELECT rid, i, ws[i] AS word, CASE WHEN i > 1 THEN ws[i - 1] END AS before
+      FROM (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+uni AS (SELECT word, count(*) AS n FROM t GROUP BY word),
+bi AS (SELECT before, word, count(*) AS n FROM t WHERE before IS NOT NULL GROUP BY before, word),
+total AS (SELECT count(*) AS n FROM t),
+s AS (SELECT t.rid, CASE WHEN bi.n >= 2 THEN ln(bi.n / ub.n)
+                    WHEN t.before IS NOT NULL THEN ln(0.4) + ln(u.n) - ln((SELECT n FROM total))
+                    ELSE ln(u.n) - ln((SELECT n FROM total)) END AS l,
+             t.before IS NOT NULL AND bi.n < 2 AS off
+      FROM t JOIN uni u ON u.word = t.word LEFT JOIN uni ub ON ub.word = t.before
+      LEFT JOIN bi ON bi.before = t.before AND bi.word = t.word)
+SELECT w.doc_id, count(s.rid) AS n_words, count(*) FILTER (WHERE s.off) AS n_backoff, round(sum(s.l) / count(s.rid), 6) AS lm_score
+FROM w LEFT JOIN s ON s.rid = w.rid GROUP BY w.rid, w.doc_id
+"""
+
+NEAR_DEDUP = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {words_of("text")} AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, s FROM (
+         SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+                                    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * pair.n >= 75 * (na.n + nb.n - pair.n)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+least AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least.c AS component_id, least.c = d.doc_id AS kept
+FROM documents d JOIN least ON least.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+LINE_DEDUP = f"""
+WITH l AS (SELECT rid, doc_id, i, ls[i] AS line, translate(trim(ls[i], E' \\t\\n\\x0b\\x0c\\r'), '{UPPER}', '{LOWER}') AS key
+           FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i
+                 FROM (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), E'\\n') AS ls FROM documents))),
+often AS (SELECT key FROM l WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT rid) >= 10),
+m AS (SELECT l.*, often.key IS NOT NULL AS gone FROM l LEFT JOIN often ON often.key = l.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, E'\\n' ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY rid, doc_id
+"""
+
+
+def _canon(table: str, key: str) -> str:
+    named = "regexp_replace(coalesce(text, ''), '([^ \\t\\n\\r.!?:][ \\t\\n\\r])(\\p{Lu})', '\\1' || chr(57344) || '\\2', 'g')"
+    own = f"trim(regexp_replace({named}, '[^\\p{{L}}\\p{{M}}\\p{{N}}' || chr(57344) || ']+', ' ', 'g'))"
+    canon = "regexp_replace(lower(own), chr(57344) || '[^ ]+', '#a', 'g')"
+    canon = f"regexp_replace({canon}, '(^| )\\p{{N}}[^ ]*', '\\1#n', 'g')"
+    canon = f"regexp_replace({canon}, '#n ({'|'.join(UNITS.split())})( |$)', '#n #u\\2', 'g')"
+    return f"SELECT {key}, rid, string_split(own, ' ') AS own, string_split({canon}, ' ') AS canon FROM (SELECT {key}, row_number() OVER () AS rid, {own} AS own FROM {table})"
+
+
+DECONTAMINATION = f"""
+WITH d AS ({_canon("documents", "doc_id")}),
+b AS ({_canon("benchmark", "item_id")}),
+bw AS (SELECT item_id, size, spot, own[spot:spot + size - 1] AS own, canon[spot:spot + size - 1] AS canon
+       FROM (SELECT *, least(len(canon), 10) AS size, unnest(range(1, len(canon) - least(len(canon), 10) + 2)) AS spot FROM b WHERE len(canon) >= {LEAST_TOKENS})),
+held AS (SELECT *, array_to_string(canon, ' ') AS key FROM bw WHERE 2 * len(list_filter(canon, lambda x: NOT starts_with(x, '#'))) >= size),
+dw AS (SELECT doc_id, rid, size, place, own[place:place + size - 1] AS own, array_to_string(canon[place:place + size - 1], ' ') AS key
+       FROM (SELECT d.*, s.size, unnest(range(1, len(canon) - s.size + 2)) AS place FROM d, (SELECT DISTINCT size FROM held) s WHERE len(canon) >= s.size)),
+hit AS (SELECT dw.doc_id, dw.rid, held.item_id, dw.place, dw.place - held.spot AS diagonal, held.own AS ours, dw.own AS theirs, held.canon
+        FROM dw JOIN held ON held.key = dw.key AND held.size = dw.size),
+slot AS (SELECT DISTINCT doc_id, rid, item_id, diagonal, lower(ours[k]) AS ours, lower(theirs[k]) AS theirs
+         FROM (SELECT *, unnest(range(1, len(canon) + 1)) AS k FROM hit) WHERE starts_with(canon[k], '#')),
+slots AS (SELECT doc_id, rid, item_id, diagonal, count(*) AS n, count(DISTINCT ours) AS a, count(DISTINCT theirs) AS b, count(*) FILTER (WHERE ours <> theirs) AS c
+          FROM slot GROUP BY ALL),
+line AS (SELECT doc_id, rid, item_id, diagonal, count(DISTINCT place) AS n, min(place) AS first FROM hit GROUP BY ALL)
+SELECT l.doc_id, l.item_id, CAST(sum(l.n) AS BIGINT) AS n_windows, CAST(min(l.first) AS INTEGER) AS first_token,
+       CAST(sum(coalesce(s.n, 0)) AS BIGINT) AS n_slots, CAST(sum(coalesce(s.c, 0)) AS BIGINT) AS n_changed
+FROM line l LEFT JOIN slots s ON s.doc_id IS NOT DISTINCT FROM l.doc_id AND s.rid = l.rid AND s.item_id = l.item_id AND s.diagonal = l.diagonal
+WHERE coalesce(s.n = s.a AND s.n = s.b, true)
+GROUP BY l.doc_id, l.item_id
+"""
+
+ORACLE_SQL = {
+    "op2_stupid_backoff": STUPID_BACKOFF,
+    "op5_minhash_near_dedup": NEAR_DEDUP,
+    "op6_line_dedup_runs": LINE_DEDUP,
+    "op8_template_decontamination": DECONTAMINATION,
+}
