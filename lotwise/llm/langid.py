@@ -90,7 +90,7 @@ def fit(labelled: DataFrame, clusters: int = 4, most: int = 3000) -> dict:
     chosen = hash_sample(known, "doc_id", most).select(F.col("text").cast("binary").alias("text"), "lang")
     rows = chosen.mapInArrow(measure, "x binary, lang string").repartition(1).sortWithinPartitions("lang", "x")
     found = rows.mapInArrow(train, "lang string, v binary, radius double").collect()  # clusters x languages short rows
-    idf = next(np.frombuffer(r.v, np.float32) for r in found if r.lang == "")
+    idf = next(np.frombuffer(r.v, np.float32) for r in found if r.lang == "") if found else np.ones(SLOTS, np.float32)
     rest = [r for r in found if r.lang != ""]
     return {"langs": [r.lang for r in rest], "idf": idf, "centroids": np.array([np.frombuffer(r.v, np.float32) for r in rest]), "radius": np.array([r.radius for r in rest])}
 

@@ -27,6 +27,8 @@ WIDTH = 64
 RANGE_BYTES = 8 << 20
 BATCH_BYTES = 4 << 20
 TRIES = 3
+#: Bytes of a ZIP archive without members, as a task without rows leaves it.
+NO_MEMBERS = 22
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 MEMBERS = "member string, doc_id long, n_bytes long, media binary, error string"
 
@@ -115,7 +117,7 @@ class ArchiveReader(DataSourceReader):
         from pyarrow import fs
 
         store, path = _store(self.folder)
-        files = [f for f in store.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".zip")]
+        files = [f for f in store.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".zip") and f.size > NO_MEMBERS]
         spans = [Span(f.path, at, at + self.span) for f in sorted(files, key=lambda f: f.path) for at in range(0, f.size, self.span)]
         return spans or [Span("", 0, 0)]
 

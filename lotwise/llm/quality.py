@@ -161,7 +161,8 @@ def fit(labelled: DataFrame, most: int = 20_000) -> dict:
     known = labelled.filter("label is not null and text is not null")
     chosen = hash_sample(known, "doc_id", most).select("doc_id", F.col("text").cast("binary").alias("text"), F.col("label").cast("int").alias("label"))
     rows = chosen.mapInArrow(measure, "doc_id long, x array<double>, y int").repartition(1).sortWithinPartitions("doc_id", "x")
-    model = json.loads(rows.mapInArrow(train, "model string").first().model)
+    found = rows.mapInArrow(train, "model string").first()
+    model = json.loads(found.model if found else _plain(fit_tables(np.empty((0, len(FEATURES))), np.empty(0))))
     return {k: [np.array(v) for v in x] if k in ("cuts", "pair_cuts", "tables") else x for k, x in model.items()} | {"pairs": [(i, j, np.array(g)) for i, j, g in model["pairs"]]}
 
 
