@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import freshness
+from .plans import analytics, freshness, ledger, trends
 
-MODULES = (freshness,)
+MODULES = (freshness, analytics, ledger, trends)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
