@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics, freshness, ledger, trends
+from .plans import analytics, freshness, identity, ledger, trends
 
-MODULES = (freshness, analytics, ledger, trends)
+MODULES = (freshness, analytics, ledger, trends, identity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
