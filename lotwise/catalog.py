@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics, freshness, identity, ledger, trends
+from .plans import alerts, analytics, freshness, identity, ledger, matching, trends
 
-MODULES = (freshness, analytics, ledger, trends, identity)
+MODULES = (freshness, analytics, ledger, trends, identity, alerts, matching)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
