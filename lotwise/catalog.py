@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import alerts, analytics, freshness, identity, ledger, matching, trends
+from .plans import alerts, analytics, feeds, freshness, health, identity, ledger, matching, pages, trends
+from .sources import queries as sources
+from .streaming import queries as streaming
 
-MODULES = (freshness, analytics, ledger, trends, identity, alerts, matching)
+MODULES = (freshness, analytics, ledger, trends, identity, alerts, matching, pages, feeds, health, sources, streaming)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
