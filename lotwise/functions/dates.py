@@ -21,7 +21,7 @@ PATTERNS = (
 def _last_date(text: Column) -> Column:
     def of(pattern: str, form: str) -> Column:
         days = F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), lambda x: F.try_to_timestamp(x, F.lit(form)).cast("date"))
-        return F.element_at(F.filter(days, lambda x: x.isNotNull()), -1)
+        return F.try_element_at(F.filter(days, lambda x: x.isNotNull()), F.lit(-1))
 
     return F.coalesce(*[F.when(F.size(F.regexp_extract_all(text, F.lit(f"({p})"), 1)) > 0, of(p, f)) for p, f in reversed(PATTERNS)])
 

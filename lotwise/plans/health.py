@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import table
-from ..views import TENDERS, anchored, tenders
+from ..views import TENDERS, anchored, money, tenders
 
 
 def hours_since(now: str, then: str):
@@ -71,7 +71,7 @@ def model_comparison(log: DataFrame) -> DataFrame:
 
 def daily_rollup(rows: DataFrame, ts: str, by: str, value: str) -> DataFrame:
     """Mean, extremes and number by day and source."""
-    return rows.groupBy(F.to_date(ts).alias("day"), F.col(by).alias("name")).agg(F.round(F.avg(value), 4).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.count("*").alias("samples"))
+    return rows.groupBy(F.to_date(ts).alias("day"), F.col(by).alias("name")).agg((F.sum(money(value)).cast("double") / F.count(value)).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.count("*").alias("samples"))
 
 
 def deadline_semantics(rows: DataFrame) -> DataFrame:
@@ -154,7 +154,7 @@ SQL = {
         SELECT source, count(*) AS runs, round(avg((NOT failed)::INT) * 100, 2) AS success, round(avg(seconds) FILTER (WHERE seconds BETWEEN 0 AND 7200), 4) AS mean_seconds, max(seconds) FILTER (WHERE seconds BETWEEN 0 AND 7200) AS longest FROM r GROUP BY 1""",
     "a33_model_comparison": f"""WITH {_LOG}, g AS (SELECT model, role, count(*) AS calls, count(*) FILTER (WHERE error) AS errors, count(*) FILTER (WHERE accepted) AS accepted, list_sort(list(ms)) AS v FROM l GROUP BY ALL)
         SELECT model, role, calls, errors, accepted, v[CAST(least(floor(len(v) * 0.95::DOUBLE), len(v) - 1) AS INTEGER) + 1] AS p95 FROM g""",
-    "a57_daily_rollup": "SELECT CAST(ts AS DATE) AS day, event_type AS name, round(avg(value), 4) AS mean, min(value) AS least, max(value) AS most, count(*) AS samples FROM events GROUP BY ALL",
+    "a57_daily_rollup": "SELECT CAST(ts AS DATE) AS day, event_type AS name, CAST(sum(CAST(value AS DECIMAL(20,2))) AS DOUBLE) / count(value) AS mean, min(value) AS least, max(value) AS most, count(*) AS samples FROM events GROUP BY ALL",
     "a63_low_sources": "WITH n AS (SELECT max(ts) AS t FROM events) SELECT user_id AS name, count(*) AS cnt FROM events, n WHERE ts > t - INTERVAL 7 DAY GROUP BY 1 HAVING count(*) < 12",
     "a66_heavy_and_stale": f"""WITH n AS (SELECT max(ts) AS t FROM events), g AS (SELECT user_id AS name, count(*) AS cnt, {_AGE} AS age FROM events, n GROUP BY user_id, n.t), s AS (SELECT name, age, cnt * 100.0::DOUBLE / sum(cnt) OVER () AS share FROM g)
         SELECT name, round(share, 4) AS share, round(sum(share) OVER (), 4) AS all_share FROM s WHERE share >= 0.6 AND age > 6""",
