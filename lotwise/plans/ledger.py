@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from ..views import LEDGER, WINS, anchored, ledger, total, wins
 
 #: The statuses that count as a purchase.
 PURCHASED = ("accepted", "contract_published")
 
 
+def dated(rows: DataFrame) -> DataFrame:
+    """rows with `now`, written once: the ledger is a join of several tables, and the plans below read it more than once."""
+    return anchored(written(rows, "ledger"), "awarded_on")
+
+
 def skip_reason(rows: DataFrame) -> DataFrame:
     """rows with `skipped`, the first reason why a purchase can't be ranked, or null; rows carry `now`."""
     reason = (
@@ -35,7 +41,7 @@ def rank_buyers(rows: DataFrame, top: int | None = 100) -> DataFrame:
     Sums, extremes and counts are aggregated before the shuffle; the name and the winners come from aggregates by
     (buyer, value), so a buyer with a third of all purchases is never one task's list.
     """
-    ok = skip_reason(anchored(rows, "awarded_on")).filter("skipped is null")
+    ok = skip_reason(dated(rows)).filter("skipped is null").drop("skipped")
     recent = F.col("awarded_on") >= F.date_sub(F.to_date("now"), 365)
     zero = F.lit(0).cast("decimal(20,2)")
     spend = lambda c: F.sum(F.when(c, F.col("amount_uzs")).otherwise(zero))
@@ -60,7 +66,7 @@ def rank_buyers(rows: DataFrame, top: int | None = 100) -> DataFrame:
 
 def skipped_purchases(rows: DataFrame) -> DataFrame:
     """How many purchases the ranking leaves out, by reason."""
-    return skip_reason(anchored(rows, "awarded_on")).filter("skipped is not null").groupBy(F.col("skipped").alias("reason")).agg(F.count("*").alias("cnt"))
+    return skip_reason(dated(rows)).filter("skipped is not null").groupBy(F.col("skipped").alias("reason")).agg(F.count("*").alias("cnt"))
 
 
 def coverage(rows: DataFrame) -> DataFrame:
@@ -94,7 +100,7 @@ def recall(purchases: DataFrame, known: DataFrame) -> DataFrame:
 
 def expected(rows: DataFrame, weeks: int = 6) -> DataFrame:
     """Purchases of the same weeks a year ago, by buyer."""
-    old = anchored(rows, "awarded_on").filter("buyer_inn is not null and awarded_on >= date_sub(now, 365)").filter(F.col("awarded_on") < F.date_add(F.date_sub("now", 365), 7 * weeks))
+    old = dated(rows).filter("buyer_inn is not null and awarded_on >= date_sub(now, 365)").filter(F.col("awarded_on") < F.date_add(F.date_sub("now", 365), 7 * weeks))
     return old.groupBy("buyer_inn").agg(F.count("*").alias("cnt"), total("amount_uzs").alias("total"))
 
 
@@ -111,7 +117,7 @@ def feed_health(rows: DataFrame, lag: int = 3) -> DataFrame:
     age = F.datediff(F.date_sub("now", lag), "awarded_on")
     now = F.count_if((age >= 0) & (age < 7))
     mean = F.count_if((age >= 7) & (age < 35)) / 4.0
-    out = anchored(rows, "awarded_on").groupBy("feed").agg(now.alias("week"), mean.alias("usual"))
+    out = dated(rows).groupBy("feed").agg(now.alias("week"), mean.alias("usual"))
     return out.withColumn("warn", (F.col("week") == 0) | (F.col("week") < F.col("usual") / 2))
 
 
