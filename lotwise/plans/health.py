@@ -117,7 +117,7 @@ def _deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").filter("user_id % 11 <> 4 or ts < timestamp_ntz'2024-01-15'")
+    events = table(spark, sf_dir, "events").filter("value > 60 or ts < timestamp_ntz'2024-01-15'")
     expected = spark.range(0, 170).select(F.col("id").alias("name"))
     return dead_sources(expected, events, "user_id", "ts", 7, [15, 160])
 
@@ -158,7 +158,7 @@ SQL = {
     "a63_low_sources": "WITH n AS (SELECT max(ts) AS t FROM events) SELECT user_id AS name, count(*) AS cnt FROM events, n WHERE ts > t - INTERVAL 7 DAY GROUP BY 1 HAVING count(*) < 12",
     "a66_heavy_and_stale": f"""WITH n AS (SELECT max(ts) AS t FROM events), g AS (SELECT user_id AS name, count(*) AS cnt, {_AGE} AS age FROM events, n GROUP BY user_id, n.t), s AS (SELECT name, age, cnt * 100.0::DOUBLE / sum(cnt) OVER () AS share FROM g)
         SELECT name, round(share, 4) AS share, round(sum(share) OVER (), 4) AS all_share FROM s WHERE share >= 0.6 AND age > 6""",
-    "a68_dead_sources": """WITH e AS (SELECT * FROM events WHERE user_id % 11 <> 4 OR ts < TIMESTAMP '2024-01-15'), n AS (SELECT max(ts) AS t FROM e)
+    "a68_dead_sources": """WITH e AS (SELECT * FROM events WHERE value > 60 OR ts < TIMESTAMP '2024-01-15'), n AS (SELECT max(ts) AS t FROM e)
         SELECT range AS name FROM range(0, 170) WHERE range NOT IN (15, 160) AND range NOT IN (SELECT user_id FROM e, n WHERE ts > t - INTERVAL 7 DAY)""",
     "a69_deadline_semantics": f"""WITH {TENDERS}, d AS (SELECT source, CAST(collected_at AS DATE) AS c, CASE WHEN id % 5 <> 0 THEN CAST(collected_at AS DATE) + CASE WHEN source = 'BUILDING' THEN -2 ELSE CAST(id % 30 AS INTEGER) END END AS deadline FROM tenders),
         g AS (SELECT source, count(*) AS cnt, count(deadline) AS parsed, count(*) FILTER (WHERE deadline > c) AS future, CAST(max(deadline - c) AS INTEGER) AS max_lead FROM d GROUP BY 1)

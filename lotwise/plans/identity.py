@@ -36,7 +36,7 @@ def lots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("id"), "source", F.array_join(F.slice(words, 3, 8), " ").alias("title"),
         F.concat(F.lit('ООО "'), F.get(words, F.lit(0)), F.lit('"')).alias("organization"),
         F.when(F.col("doc_id") % 40 > 0, (F.col("doc_id") % 40) * 600_000.0).alias("price"),
-        deadline.alias("deadline"), F.substring("text", 1, 300).alias("search_text"),
+        deadline.alias("deadline"), F.col("text").alias("search_text"),
         F.when(F.col("doc_id") % 17 == 0, "result").otherwise("tender").alias("message_type"),
     )
 
@@ -45,7 +45,7 @@ LOTS = """lots AS (SELECT doc_id AS id, source, array_to_string(string_split_reg
     CASE WHEN doc_id % 40 > 0 THEN CAST((doc_id % 40) * 600000 AS DOUBLE) END AS price,
     CASE doc_id % 3 WHEN 0 THEN 'до ' || strftime(DATE '2024-01-01' + CAST(doc_id % 60 AS INTEGER), '%d.%m.%Y')
          WHEN 1 THEN strftime(DATE '2024-01-01' + CAST(doc_id % 60 AS INTEGER), '%Y-%m-%d') || 'T10:30:00Z' ELSE 'нет' END AS deadline,
-    substr(text, 1, 300) AS search_text, CASE WHEN doc_id % 17 = 0 THEN 'result' ELSE 'tender' END AS message_type FROM documents)"""
+    text AS search_text, CASE WHEN doc_id % 17 = 0 THEN 'result' ELSE 'tender' END AS message_type FROM documents)"""
 
 
 def first_of(rows: DataFrame, keys: list, order: list) -> DataFrame:
@@ -147,7 +147,7 @@ def _key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _within(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lots(spark, sf_dir)
-    sent = keyed(rows.filter("id % 5 = 0")).select("key", F.lit("2024-01-20").alias("sent_day"))
+    sent = keyed(rows.filter("message_type = 'result'")).select("key", F.lit("2024-01-20").alias("sent_day"))
     return within_source(rows, sent)
 
 
@@ -156,17 +156,17 @@ def _orders(spark: SparkSession, sf_dir: str, condition: str) -> DataFrame:
 
 
 def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = first_of(_orders(spark, sf_dir, "o_orderkey % 2 = 0"), ["o_custkey"], [F.desc("o_orderkey")])
-    return upsert(stored, _orders(spark, sf_dir, "o_orderkey % 3 = 0"), ["o_custkey"], "o_orderkey")
+    stored = first_of(_orders(spark, sf_dir, "o_orderdate < '1998-06-01'"), ["o_custkey"], [F.desc("o_orderkey")])
+    return upsert(stored, _orders(spark, sf_dir, "o_orderdate >= '1998-06-01'"), ["o_custkey"], "o_orderkey")
 
 
 def _new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return new_rows(_orders(spark, sf_dir, "o_orderkey % 2 = 0"), _orders(spark, sf_dir, "o_orderkey % 2 = 1"), ["o_custkey"], "o_orderkey")
+    return new_rows(_orders(spark, sf_dir, "o_orderdate < '1996-01-01'"), _orders(spark, sf_dir, "o_orderdate >= '1996-01-01'"), ["o_custkey"], "o_orderkey")
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = lambda c: first_of(_orders(spark, sf_dir, c), ["o_custkey"], [F.desc("o_orderkey")])
-    return changes(state("o_orderkey % 4 <> 1"), state("o_orderkey % 4 <> 2"), ["o_custkey"])
+    return changes(state("o_orderdate < '1997-01-01'"), state("o_orderdate >= '1995-07-01' and o_orderdate < '1997-07-01'"), ["o_custkey"])
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +192,7 @@ QUERIES = {
     "w01_latest_metric": lambda spark, sf_dir: first_of(table(spark, sf_dir, "events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id", "value"),
 }
 
-_SELECTED = """o AS (SELECT o_custkey, o_orderkey, o_totalprice, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS status FROM orders)"""
+_SELECTED = """o AS (SELECT o_custkey, o_orderkey, o_totalprice, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS status, o_orderdate AS d FROM orders)"""
 _LAST = "QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1"
 _CLASS = """CASE WHEN starts_with(s, 'tg:') OR contains(s, 'pr media') OR contains(s, 'запрос') THEN 'tg-ad' WHEN contains(s, 'uzex') THEN 'uzex' WHEN contains(s, 'birja') THEN 'birja' ELSE 'gov' END"""
 _DAY = """CASE WHEN regexp_extract(deadline, '\\d{4}-\\d{2}-\\d{2}') <> '' THEN regexp_extract(deadline, '\\d{4}-\\d{2}-\\d{2}')
@@ -211,7 +211,7 @@ SQL = {
     "e01_e02_org_and_words": f"""WITH {LOTS} SELECT id, {sql_org("organization")} AS org, array_to_string({sql_words("title")}, ' ') AS words FROM lots""",
     "e04_logical_key": f"""WITH {LOTS}, rows AS (SELECT * REPLACE (CASE WHEN id % 4 <> 0 THEN organization END AS organization) FROM lots), {_KEYED}
         SELECT id, k1 AS source, k2 AS org, k3 AS core FROM keyed""",
-    "e07_within_source": f"""WITH {LOTS}, rows AS (SELECT * FROM lots), {_KEYED}, sent AS (SELECT DISTINCT k1, k2, k3, '2024-01-20' AS sent_day FROM keyed WHERE id % 5 = 0)
+    "e07_within_source": f"""WITH {LOTS}, rows AS (SELECT * FROM lots), {_KEYED}, sent AS (SELECT DISTINCT k1, k2, k3, '2024-01-20' AS sent_day FROM keyed WHERE message_type = 'result')
         SELECT id, source, sent_day IS NOT NULL AS repost FROM keyed LEFT JOIN sent USING (k1, k2, k3) WHERE sent_day IS NULL OR coalesce(day > sent_day, false)
         QUALIFY row_number() OVER (PARTITION BY k1, k2, k3 ORDER BY id) = 1""",
     "e09_similar_pairs": _PAIRS,
@@ -220,11 +220,11 @@ SQL = {
             WHEN regexp_full_match(tin, '\\d{14}') AND NOT person AND substr(tin, 1, 9) <> '000000000' THEN substr(tin, 1, 9) END AS inn FROM c""",
     "e14_family_key": f"""WITH {LOTS} SELECT id, regexp_replace(lower(trim(regexp_replace(title || ' ' || id, '\\s+', ' ', 'g'))), '\\d+', '#', 'g') AS family,
         CASE WHEN trim(title) <> '' THEN substr(sha1(lower(trim(regexp_replace(title, '\\s+', ' ', 'g')))), 1, 16) END AS subject FROM lots""",
-    "k01_upsert": f"""WITH {_SELECTED}, s AS (SELECT * FROM o WHERE o_orderkey % 2 = 0 {_LAST}), n AS (SELECT * FROM o WHERE o_orderkey % 3 = 0 {_LAST})
+    "k01_upsert": f"""WITH {_SELECTED}, s AS (SELECT * FROM o WHERE d < DATE '1998-06-01' {_LAST}), n AS (SELECT * FROM o WHERE d >= DATE '1998-06-01' {_LAST})
         SELECT coalesce(n.o_custkey, s.o_custkey) AS o_custkey, coalesce(n.o_orderkey, s.o_orderkey) AS o_orderkey, coalesce(n.o_totalprice, s.o_totalprice) AS o_totalprice, coalesce(n.status, s.status) AS status
         FROM s FULL JOIN n ON n.o_custkey = s.o_custkey""",
-    "j01_new_rows": f"""WITH {_SELECTED} SELECT * FROM o WHERE o_orderkey % 2 = 1 AND o_custkey NOT IN (SELECT o_custkey FROM o WHERE o_orderkey % 2 = 0) {_LAST}""",
-    "j26_changes": f"""WITH {_SELECTED}, a AS (SELECT * FROM o WHERE o_orderkey % 4 <> 1 {_LAST}), b AS (SELECT * FROM o WHERE o_orderkey % 4 <> 2 {_LAST})
+    "j01_new_rows": f"""WITH {_SELECTED} SELECT * EXCLUDE (d) FROM o WHERE d >= DATE '1996-01-01' AND o_custkey NOT IN (SELECT o_custkey FROM o WHERE d < DATE '1996-01-01') {_LAST}""",
+    "j26_changes": f"""WITH {_SELECTED}, a AS (SELECT * FROM o WHERE d < DATE '1997-01-01' {_LAST}), b AS (SELECT * FROM o WHERE d >= DATE '1995-07-01' AND d < DATE '1997-07-01' {_LAST})
         SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, CASE WHEN a.o_custkey IS NULL THEN 'new' WHEN b.o_custkey IS NULL THEN 'gone'
             WHEN (a.o_orderkey, a.o_totalprice, a.status) IS DISTINCT FROM (b.o_orderkey, b.o_totalprice, b.status) THEN 'changed' ELSE 'same' END AS change FROM a FULL JOIN b ON a.o_custkey = b.o_custkey""",
     "w02_first_wins": "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1",

@@ -92,14 +92,15 @@ def advance_state(known: DataFrame, current: DataFrame, delivered: DataFrame, ke
 
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = wins(spark, sf_dir).select(F.col("id"), "winner")
+    w = wins(spark, sf_dir).select("id", "winner", "feed")
     rows = tenders(spark, sf_dir).select("id", "source")
-    return lot_outcomes(rows, w.filter("id % 3 = 0"), w.filter("id % 3 <= 1"), "id")
+    return lot_outcomes(rows, w.filter("feed = 'F'"), w, "id")
 
 
 def _twins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tenders(spark, sf_dir).select("id", "organization", "collected_at")
-    return twins_within(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1"), ["organization"], "collected_at", 14)
+    rows = tenders(spark, sf_dir)
+    kept = lambda c: rows.filter(c).select("id", "organization", "collected_at")
+    return twins_within(kept("status = 'O'"), kept("status <> 'O'"), ["organization"], "collected_at", 14)
 
 
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,8 +112,8 @@ def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", F.concat(F.lit("code"), F.col("p_partkey") % 97)).alias("name"))
-    return token_candidates(part.filter("id % 10 = 0"), part.filter("id % 10 = 1"), 4, 60)
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", F.concat(F.lit("code"), F.floor(F.col("p_partkey") / 10))).alias("name"), "p_size")
+    return token_candidates(part.filter("p_size < 25"), part.filter("p_size >= 25"), 4, 60)
 
 
 QUERIES = {
@@ -123,7 +124,7 @@ QUERIES = {
     "j16_token_candidates": _candidates,
     "j18_twins_within": _twins,
     "j30_advance_state": lambda spark, sf_dir: advance_state(
-        table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0").select("o_custkey"), table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 1").select("o_custkey"), table(spark, sf_dir, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey")), "o_custkey"
+        table(spark, sf_dir, "orders").filter("o_orderstatus = 'F' and o_totalprice > 300000").select("o_custkey"), table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").select("o_custkey"), table(spark, sf_dir, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey")), "o_custkey"
     ),
     "t08_preferred_row": lambda spark, sf_dir: preferred_row(tenders(spark, sf_dir), "organization", ["BUILDING", "MACHINERY"]).select("organization", "source", "id"),
     "u03_intersection": lambda spark, sf_dir: table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_custkey").intersect(table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select("o_custkey")),
@@ -132,7 +133,7 @@ QUERIES = {
 }
 
 SQL = {
-    "j03_lot_outcomes": f"""WITH {TENDERS}, {WINS}, d AS (SELECT id, min(winner) AS winner FROM wins WHERE id % 3 = 0 GROUP BY 1), f AS (SELECT DISTINCT id FROM wins WHERE id % 3 <= 1)
+    "j03_lot_outcomes": f"""WITH {TENDERS}, {WINS}, d AS (SELECT id, min(winner) AS winner FROM wins WHERE feed = 'F' GROUP BY 1), f AS (SELECT DISTINCT id FROM wins)
         SELECT t.id, t.source, d.winner, CASE WHEN d.winner IS NOT NULL THEN 'deal' WHEN f.id IS NOT NULL THEN 'no_deal' ELSE 'unknown' END AS result FROM tenders t LEFT JOIN d ON d.id = t.id LEFT JOIN f ON f.id = t.id""",
     "j05_wins_with_lots": f"""WITH {TENDERS}, {WINS}, b AS (SELECT id, count(*) AS lots, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM tenders WHERE status <> 'P' GROUP BY 1)
         SELECT w.id, line, winner, coalesce(lots, 0) AS lots, sources FROM wins w LEFT JOIN b ON b.id = w.id""",
@@ -141,13 +142,13 @@ SQL = {
         WHEN contains(n, 'blue bolt') OR contains('blue bolt', n) OR (contains(n, 'blue') AND contains(n, 'bolt')) THEN 'blue bolt' END AS competitor FROM (SELECT *, trim(lower(p_name)) AS n FROM part)""",
     "j13_entities": """WITH a AS (SELECT 'name ' || c_custkey % 700 AS alias, min('e' || c_custkey % 140) AS entity FROM customer GROUP BY 1 HAVING length(alias) >= 8 AND count(DISTINCT c_custkey % 140) = 1)
         SELECT c_custkey, coalesce(CASE WHEN c_custkey % 6 = 0 THEN 'e' || c_custkey % 50 END, a.entity) AS entity FROM customer LEFT JOIN a ON a.alias = 'name ' || c_custkey % 400""",
-    "j16_token_candidates": """WITH p AS (SELECT p_partkey AS id, lower(p_name || ' ' || p_brand || ' code' || p_partkey % 97) AS name FROM part),
-        t AS (SELECT DISTINCT id, unnest(list_filter(string_split_regex(name, '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 4)) AS token FROM p),
-        l AS (SELECT * FROM t WHERE id % 10 = 0 QUALIFY count(*) OVER (PARTITION BY token) <= 60), r AS (SELECT * FROM t WHERE id % 10 = 1 QUALIFY count(*) OVER (PARTITION BY token) <= 60)
+    "j16_token_candidates": """WITH p AS (SELECT p_partkey AS id, p_size < 25 AS small, lower(p_name || ' ' || p_brand || ' code' || p_partkey // 10) AS name FROM part),
+        t AS (SELECT DISTINCT id, small, unnest(list_filter(string_split_regex(name, '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 4)) AS token FROM p),
+        l AS (SELECT * FROM t WHERE small QUALIFY count(*) OVER (PARTITION BY token) <= 60), r AS (SELECT * FROM t WHERE NOT small QUALIFY count(*) OVER (PARTITION BY token) <= 60)
         SELECT l.id, r.id AS other, string_agg(DISTINCT l.token, ',' ORDER BY l.token) AS tokens FROM l JOIN r ON l.token = r.token GROUP BY ALL""",
-    "j18_twins_within": f"""WITH {TENDERS} SELECT id, organization, collected_at FROM tenders t WHERE id % 2 = 0
-        AND NOT EXISTS (SELECT 1 FROM tenders s WHERE s.id % 2 = 1 AND s.organization = t.organization AND abs(epoch(s.collected_at) - epoch(t.collected_at)) <= 14 * 86400)""",
-    "j30_advance_state": """SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 5 = 0 OR (o_orderkey % 5 = 1 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000))""",
+    "j18_twins_within": f"""WITH {TENDERS} SELECT id, organization, collected_at FROM tenders t WHERE status = 'O'
+        AND NOT EXISTS (SELECT 1 FROM tenders s WHERE s.status <> 'O' AND s.organization = t.organization AND abs(epoch(s.collected_at) - epoch(t.collected_at)) <= 14 * 86400)""",
+    "j30_advance_state": """SELECT DISTINCT o_custkey FROM orders WHERE (o_orderstatus = 'F' AND o_totalprice > 300000) OR (o_orderstatus = 'O' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000))""",
     "t08_preferred_row": f"""WITH {TENDERS} SELECT organization, source, id FROM tenders QUALIFY row_number() OVER (PARTITION BY organization ORDER BY CASE source WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 ELSE 2 END, collected_at DESC, id) = 1""",
     "u03_intersection": "SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'",
     "u05_difference": "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 400000",

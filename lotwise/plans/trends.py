@@ -119,7 +119,7 @@ def _e(f, *args, **kw):
 
 
 def _errors(spark, sf_dir):
-    return table(spark, sf_dir, "events").filter("event_type = 'error' or user_id % 7 <> 3 or ts < timestamp_ntz'2024-01-20'")
+    return table(spark, sf_dir, "events").filter("value < 20 or ts < timestamp_ntz'2024-01-20'")
 
 
 def _pairs(spark, sf_dir):
@@ -161,7 +161,7 @@ SQL = {
         k AS (SELECT *, lead(per_day) OVER (ORDER BY bucket) AS older FROM w ORDER BY bucket LIMIT 4),
         s AS (SELECT count(*) AS buckets, coalesce(bool_and(per_day < older), false) AS monotone, round((arg_max(per_day, bucket) - arg_min(per_day, bucket)) / arg_max(per_day, bucket) * 100, 1) AS drop FROM k)
         SELECT *, buckets = 4 AND monotone AND drop >= 30 AS slides FROM s""",
-    "a28_silent_sources": """WITH e AS (SELECT * FROM events WHERE event_type = 'error' OR user_id % 7 <> 3 OR ts < TIMESTAMP '2024-01-20'), n AS (SELECT max(ts) AS t FROM e)
+    "a28_silent_sources": """WITH e AS (SELECT * FROM events WHERE value < 20 OR ts < TIMESTAMP '2024-01-20'), n AS (SELECT max(ts) AS t FROM e)
         SELECT user_id || '/' || event_type AS name, count(*) AS was FROM e, n GROUP BY 1 HAVING count(*) FILTER (WHERE ts > t - INTERVAL 10 DAY) = 0 AND count(*) >= 5""",
     "a29_lead_buckets": """SELECT CASE WHEN value - 20 < 0 THEN 'closed' WHEN value - 20 < 24 THEN 'under a day' WHEN value - 20 < 72 THEN '1-3 days' WHEN value - 20 < 168 THEN '3-7 days' ELSE 'over a week' END AS bucket,
         count(*) AS cnt FROM events WHERE value IS NOT NULL GROUP BY 1""",

@@ -28,8 +28,8 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select(F.concat(F.lit("page"), F.col("event_id") % 7).alias("page"), "event_id", "value")
-    return files.completion(files.receipts(events.filter("event_id % 7 < 6 or event_id < 100")), 1000, 50).select("pages", "distinct_pages", "rows", "completion", "complete")
+    events = table(spark, sf_dir, "events").select(F.lpad(F.floor(F.col("event_id") / 1500).cast("string"), 9, "0").alias("page"), "event_id", "value")
+    return files.completion(files.receipts(events), 1500, 1000).select("pages", "distinct_pages", "rows", "completion", "complete")
 
 
 def _json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +61,8 @@ QUERIES = {
 }
 SQL = {
     "s02_json_pages": "SELECT CAST(row_number() OVER (PARTITION BY event_id % 7 ORDER BY event_id) - 1 AS INTEGER) AS place, event_id, event_type, value FROM events",
-    "s16_receipts": """WITH p AS (SELECT event_id % 7 AS page, count(*) AS n FROM events WHERE event_id % 7 < 6 OR event_id < 100 GROUP BY 1)
-        SELECT count(*) AS pages, count(*) AS distinct_pages, CAST(sum(n) AS BIGINT) AS rows, CASE WHEN arg_max(n, page) < 1000 THEN 'archive_end' ELSE 'incomplete' END AS completion, arg_max(n, page) < 1000 AS complete FROM p""",
+    "s16_receipts": """WITH p AS (SELECT event_id // 1500 AS page, count(*) AS n FROM events GROUP BY 1)
+        SELECT count(*) AS pages, count(*) AS distinct_pages, CAST(sum(n) AS BIGINT) AS rows, CASE WHEN arg_max(n, page) < 1500 THEN 'archive_end' ELSE 'incomplete' END AS completion, arg_max(n, page) < 1500 AS complete FROM p""",
     "s14_json_lines": "SELECT event_id, event_type FROM events WHERE event_id % 10 <> 0",
     "k07_csv_round_trip": "SELECT p_name, p_brand, p_size FROM part",
     "k08_column_widths": """SELECT 'c_custkey' AS column, CAST(least(greatest(max(length(CAST(c_custkey AS VARCHAR))), 9) + 2, 60) AS INTEGER) AS width FROM customer
