@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .shared import materialise
 from .words import C1, U64, Words, mix, slices
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Buckets of the count table for each block, so that a bucket's entries are about as many as a block's.
 BITS_LEAST = 4
 

@@ -79,9 +79,9 @@ def fit(labelled: DataFrame, bits: int = BITS, epochs: int = EPOCHS, most: int =
         for _ in range(epochs):
             for i in order.permutation(len(rows)):
                 model.learn(rows[i], labels[i])
-        w = model.weights(np.arange(model.bias + 1))
-        at = np.flatnonzero(w)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], names=["slot", "weight"])
+        at = np.flatnonzero(model.n)  # the slots that were learnt from, a small part of all
+        w = model.weights(at)
+        yield pa.RecordBatch.from_arrays([pa.array(at[w != 0]), pa.array(w[w != 0])], names=["slot", "weight"])
 
     known = labelled.filter("label is not null and text is not null")
     chosen = hash_sample(known, "doc_id", most).select("doc_id", F.col("text").cast("binary").alias("text"), F.col("label").cast("int").alias("label"))
