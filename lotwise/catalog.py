@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import alerts, analytics, feeds, freshness, health, identity, ledger, matching, outcomes, pages, records, registry, trends
+from .plans import alerts, analytics, feeds, freshness, gates, health, identity, ledger, matching, outcomes, pages, records, registry, reports, trends
 from .sources import queries as sources
 from .streaming import queries as streaming
 
-MODULES = (freshness, analytics, ledger, trends, identity, alerts, matching, outcomes, records, registry, pages, feeds, health, sources, streaming)
+MODULES = (freshness, gates, analytics, ledger, trends, identity, alerts, matching, outcomes, records, registry, reports, pages, feeds, health, sources, streaming)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
