@@ -195,13 +195,16 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_CODES = F.array(F.concat(F.lit("39"), F.lpad(F.col("p_size").cast("string"), 2, "0")), F.concat(F.lit("48"), F.lpad(F.col("p_size").cast("string"), 2, "0")))
+def _codes() -> Column:
+    return F.array(*[F.concat(F.lit(head), F.lpad(F.col("p_size").cast("string"), 2, "0")) for head in ("39", "48")])
+
+
 _REWRITES = [(r"^http://([^/]+)\.example\.com/", "https://$1.com.example/"), (r"^http://", "https://"), (r"\?.*$", "")]
 
 QUERIES = {
     "f07_price_gate": lambda spark, sf_dir: _lots(spark, sf_dir).select("id", price_gate(F.col("price"), F.col("currency"), F.col("status") == "P").alias("passes")),
     "f09_stale": lambda spark, sf_dir: anchored(tenders(spark, sf_dir), "collected_at").filter(stale(F.col("collected_at"), F.col("now"))).select("id"),
-    "f11_code_prefix": lambda spark, sf_dir: _parts(spark, sf_dir).select("p_partkey", any_prefix(_CODES, ["391", "4805"]).alias("in_scope")),
+    "f11_code_prefix": lambda spark, sf_dir: _parts(spark, sf_dir).select("p_partkey", any_prefix(_codes(), ["391", "4805"]).alias("in_scope")),
     "f12_all_rejected": lambda spark, sf_dir: _positions(spark, sf_dir).select("l_orderkey", all_rejected(F.col("positions"), "ring|bolt|gear").alias("rejected")),
     "f13_category_bypass": lambda spark, sf_dir: wins(spark, sf_dir).filter(F.col("feed").isin("O") & F.col("title").rlike("widget|bolt")).select("id", "line"),
     "f14_own_lot": lambda spark, sf_dir: _parts(spark, sf_dir).select("p_partkey", mentions(F.concat_ws("  ", "p_name", "p_type"), ["WIDGET  Promo", "bolt small"]).alias("own")),
