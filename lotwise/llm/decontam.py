@@ -3,9 +3,10 @@
 A text becomes tokens (runs of letters and digits). Numbers, names (capitalised words within a sentence) and units after a
 number become typed placeholders; other tokens are folded to lower case. Windows of `window` canonical tokens are hashed and
 hash-joined: all windows of all documents against all windows of the benchmark (an item with fewer tokens is one window of
-its own length). Joined windows of a document and an item on one diagonal are one alignment; it counts if its slots are
-consistent: each value in the item stands for one value in the document and the other way round, so a question with other
-numbers or names is caught and a chance meeting of placeholders is not.
+its own length). A joined window counts if its slots are consistent: each value in it of the item stands for one value of the
+document and the other way round, so a question with other numbers or names is caught and a chance meeting of placeholders is
+not. Windows of tokens folded to lower case are joined as well and always count: a copy word for word is a leak wherever its
+capitals stand and whatever else of the passage was changed.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ UNITS = (
 )
 #: Benchmark windows are broadcast up to so many; beyond, both sides are shuffled by the hash.
 BROADCAST_WINDOWS = 500_000
-#: An item of fewer tokens is no evidence, and neither is a window of which less than half is literal.
+#: An item of fewer tokens is no evidence, and neither is a window of which less than half is literal, unless it is copied word for word.
 LEAST_TOKENS = 5
 
 MARK = "\ue000"  # before a name, while tokens are made
@@ -40,42 +41,56 @@ def canonical(tokens: Column) -> Column:
     return F.regexp_replace(out, rf"#n ({'|'.join(UNITS.split())})( |$)", "#n #u$2")
 
 
-def windows(tokens: Column, n: int) -> Column:
-    """The hash of each run of n tokens."""
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - F.lit(n) + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i, F.lit(n))))
+def folded(tokens: Column) -> Column:
+    """The output of `marked` in lower case, without marks."""
+    return F.lower(F.translate(tokens, MARK, ""))
+
+
+def windows(tokens: Column, literal: Column, slots: Column, n: int) -> Column:
+    """(place, hash) of each run of n tokens, and of n literal tokens where they differ: the runs that hold one of the slots."""
+    last, none = F.size(tokens) - F.lit(n) + 1, F.array().cast("array<int>")
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(none)
+    around = lambda i: F.sequence(F.greatest(F.lit(1), i - F.lit(n - 1)), F.least(i, last))
+    differ = F.when(last >= 1, F.array_distinct(F.flatten(F.transform(slots, around)))).otherwise(none)
+    hashed = lambda c: lambda i: F.struct(i.alias("place"), F.xxhash64(F.slice(c, i, F.lit(n))).alias("hash"))
+    return F.concat(F.transform(starts, hashed(tokens)), F.transform(differ, hashed(literal)))
 
 
 def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
-    """(item_id, own, canon, size, at, hash): own and canon are the window's tokens as written and as canonical."""
+    """(item_id, own, canon, size, at, hashes): own and canon are the window's tokens as written and as canonical.
+
+    hashes: of the folded tokens, and of the canonical ones if enough of them are literal.
+    """
     own = F.split(marked(F.col("text")), " ")
     tokens = items.filter("item_id is not null").select("item_id", own.alias("own"), F.split(canonical(marked(F.col("text"))), " ").alias("canon"))
     size = F.least(F.size("canon"), F.lit(window))
     starts = tokens.filter(F.size("canon") >= LEAST_TOKENS).withColumn("size", size).withColumn("at", F.explode(F.sequence(F.lit(1), F.size("canon") - F.col("size") + 1)))
     cut = starts.select("item_id", "size", "at", F.slice("own", F.col("at"), F.col("size")).alias("own"), F.slice("canon", F.col("at"), F.col("size")).alias("canon"))
     literal = F.size(F.filter("canon", lambda x: ~x.startswith("#")))
-    return cut.filter(2 * literal >= F.col("size")).withColumn("hash", F.xxhash64("canon"))
+    canon_hash = F.when(2 * literal >= F.col("size"), F.xxhash64("canon"))
+    return cut.withColumn("hashes", F.array_distinct(F.array_compact(F.array(canon_hash, F.xxhash64(F.transform("own", folded))))))
 
 
 def leaks(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, item_id, n_windows, first_token, n_slots, n_changed: the items that a document holds, one row for each pair.
 
-    docs (doc_id, text), items (item_id, text); further columns are ignored. n_windows: distinct consistent joined windows;
-    n_slots, n_changed: distinct slot values, and those that differ from the item's. Null and empty texts match nothing; rows
+    docs (doc_id, text), items (item_id, text); further columns are ignored. n_windows: distinct joined windows that are
+    consistent or copied word for word; n_slots, n_changed: their distinct slot values, and those that differ from the item's. Null and empty texts match nothing; rows
     that repeat a doc_id give one row an item (null doc_ids together too); null item_ids are left out; either table may be
     empty.
     """
     held = benchmark_windows(items, window)
     shape = held.groupBy("size").agg(F.count("*").alias("n")).collect()  # at most `window` rows
     few = sum(r.n for r in shape) <= BROADCAST_WINDOWS
-    sides = held.select("item_id", "size", "at", "hash")
+    sides = held.select("item_id", "size", "at", F.explode("hashes").alias("hash"))
     sides = F.broadcast(sides) if few else sides
     text_id = F.xxhash64("text")
-    tokens = docs.select("doc_id", text_id.alias("text_id"), F.split(canonical(marked(F.col("text"))), " ").alias("tokens"))
+    tokens = docs.select("doc_id", text_id.alias("text_id"), F.split(canonical(marked(F.col("text"))), " ").alias("tokens"), F.split(folded(marked(F.col("text"))), " ").alias("literal"))
+    slots = F.filter(F.transform("tokens", lambda x, i: F.when(x.startswith("#"), i + 1)), lambda i: i.isNotNull())
     found = None
     for size in sorted({r["size"] for r in shape} | {window}):
-        each = tokens.select("doc_id", "text_id", F.posexplode(windows(F.col("tokens"), size)).alias("place", "hash")).withColumn("size", F.lit(size))
-        met = each.join(sides, ["hash", "size"]).select("doc_id", "text_id", "item_id", "size", (F.col("place") + 1).alias("place"), "at")
+        each = tokens.select("doc_id", "text_id", F.inline(windows(F.col("tokens"), F.col("literal"), slots, size))).withColumn("size", F.lit(size))
+        met = each.join(sides, ["hash", "size"]).select("doc_id", "text_id", "item_id", "size", "place", "at")
         found = met if found is None else found.union(met)
     hits = found.distinct()
 
@@ -84,20 +99,20 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     near = hits.join(own, hits.doc_id.eqNullSafe(own.doc_id) & (hits.text_id == own.text_id)).select(
         hits.doc_id, hits.text_id, "item_id", "size", "place", "at", F.slice(F.split(marked(F.col("text")), " "), F.col("place"), F.col("size")).alias("theirs")
     )
+    pairs = near.join(held, ["item_id", "size", "at"])
+    copied = F.transform("own", folded) == F.transform("theirs", folded)
     slot = F.filter(
-        F.arrays_zip(F.col("own"), F.col("theirs"), F.col("canon")), lambda x: x["canon"].startswith("#")
+        F.arrays_zip(F.col("own"), F.when(copied, F.col("own")).otherwise(F.col("theirs")).alias("theirs"), F.col("canon")), lambda x: x["canon"].startswith("#")
     )
-    lowered = F.transform(slot, lambda x: F.struct(F.lower(x["own"]).alias("ours"), F.lower(x["theirs"]).alias("theirs")))
-    pairs = near.join(held, ["item_id", "size", "at"]).select(
-        "doc_id", "text_id", "item_id", "place", "at", (F.col("place") - F.col("at")).alias("diagonal"), lowered.alias("slots")
-    )
-    lines = pairs.groupBy("doc_id", "text_id", "item_id", "diagonal").agg(
+    lowered = F.array_distinct(F.transform(slot, lambda x: F.struct(F.lower(x["own"]).alias("ours"), F.lower(x["theirs"]).alias("theirs"))))
+    pairs = pairs.select("doc_id", "text_id", "item_id", "place", (F.col("place") - F.col("at")).alias("diagonal"), lowered.alias("slots"))
+    ours, theirs = F.array_distinct(F.transform("slots", lambda x: x["ours"])), F.array_distinct(F.transform("slots", lambda x: x["theirs"]))
+    sound = pairs.filter((F.size("slots") == F.size(ours)) & (F.size("slots") == F.size(theirs)))
+    lines = sound.groupBy("doc_id", "text_id", "item_id", "diagonal").agg(
         F.count_distinct("place").alias("n"), F.min("place").alias("first"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
-    ours, theirs = F.array_distinct(F.transform("slots", lambda x: x["ours"])), F.array_distinct(F.transform("slots", lambda x: x["theirs"]))
-    sound = lines.filter((F.size("slots") == F.size(ours)) & (F.size("slots") == F.size(theirs)))
     changed = F.size(F.filter("slots", lambda x: x["ours"] != x["theirs"]))
-    return sound.groupBy("doc_id", "item_id").agg(
+    return lines.groupBy("doc_id", "item_id").agg(
         F.sum("n").alias("n_windows"),
         F.min("first").alias("first_token"),
         F.sum(F.size("slots")).alias("n_slots"),

@@ -233,6 +233,19 @@ def test_leaks_with_other_numbers_and_names(spark):
     assert decontam.leaks(docs, items.limit(0)).count() == 0 and decontam.leaks(docs.limit(0), items).count() == 0
 
 
+def test_leaks_word_for_word(spark):
+    words = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    words[10] = words[30] = words[50] = "12"
+    passage, question, numbers = " ".join(words), "What is the capital of France", "Sum 1 2 3 and 4 5 6 7 8 9 10 gives"
+    items = spark.createDataFrame([(1, passage), (2, question), (3, numbers)], "item_id long, text string")
+    changed = " ".join([*words[:30], "77", *words[31:]])
+    docs = spark.createDataFrame([(1, changed), (2, "they asked What is the capital of France today"), (3, "WHAT IS THE CAPITAL OF FRANCE"), (4, "x " + numbers), (5, numbers.replace("3", "33"))], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.leaks(docs, items).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 2), (4, 3)}
+    # windows with the changed slot alone are consistent in themselves; each holds one slot only
+    assert got[1, 1].n_windows == 51 and got[2, 2].n_changed == 0 and got[4, 3].first_token == 2
+
+
 def test_urls(spark):
     urls = [
         None, "", "no scheme", "http://", "HTTP://A.ExAmple.ORG/es/1?x#y", "http://example.org/en/12", "http://org", "http://myorg/x", "http://a.com/fr/1",
