@@ -24,14 +24,17 @@ def name_tokens(name: Column, legal: tuple[str, ...] = ()) -> Column:
 
 
 def name_candidates(suppliers: DataFrame, aliases: DataFrame, least: int = 6) -> DataFrame:
-    """Suppliers whose normal name begins with a registry alias of at least `least` characters: for review, never a link.
+    """Suppliers whose normal name holds a registry alias of at least `least` characters: for review, never a link.
 
-    Aliases meet names on their first `least` characters, so the comparison is an equi-join, then a prefix test.
+    The first `least` characters of an alias meet every run of as many characters of a name, once a name, so the comparison is
+    an equi-join, then a test of the whole alias.
     """
     normal = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
-    s = suppliers.select("supplier", normal(F.col("supplier")).alias("name")).withColumn("head", F.substring("name", 1, least))
+    s = suppliers.select("supplier", normal(F.col("supplier")).alias("name")).filter(F.length("name") >= least)
+    runs = F.transform(F.sequence(F.lit(1), F.length("name") - F.lit(least) + 1), lambda i: F.substring(F.col("name"), i, F.lit(least)))
+    s = s.withColumn("head", F.explode(F.array_distinct(runs)))
     a = aliases.select("alias", normal(F.col("alias")).alias("key")).filter(F.length("key") >= least).withColumn("head", F.substring("key", 1, least))
-    return s.join(a, "head").filter(F.startswith("name", "key")).select("supplier", "alias")
+    return s.join(a, "head").filter(F.contains("name", "key")).select("supplier", "alias")
 
 
 def reuse_verdicts(rows: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
