@@ -7,6 +7,24 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from ..views import TENDERS, WINS, tenders, wins
+from .registry import name_tokens
+
+#: Legal forms, and words that alone say nothing about identity.
+LEGAL = tuple((
+    "aj atb atib mchj mchzh ooo ao jsc llc dm duk uk xk hk kk qk gup dk chp ytt yatt sp at ruz ozr aksiyadorlik "
+    "aktsionernoe obshchestvo jamiyati tijorat davlat unitar korhonasi respublikasi respubliki ozbekiston uzbekistan "
+    "uzbekiston huzuridagi boshkarmasi filiali filial mark amal boshk"
+).split())
+GENERIC = tuple((
+    "bank banki banka group grupp company kompaniya servis service trade house home center tsentr markaz markazi fond "
+    "plus market shop studio lab pro invest holding zavod zavodi vazirligi agentligi agentstvo ministerstvo test admin "
+    "klient chastnoe litso super sport auto avto city siti shahar shahri tuman tumani viloyat viloyati oblast tashkent "
+    "toshkent samarkand samarqand buhara buhoro andijan andijon fergana fargona namangan navoi navoiy karshi termez "
+    "termiz nukus horezm horazm jizzah jizzax sirdaryo kashkadaryo surhondaryo karakalpakstan koraqalpogiston "
+    "korakalpogiston angren chirchik olmalik almalyk kokand kokon gulistan guliston"
+).split())
+#: Names of one token that one part of the join holds, about.
+PART = 2000
 
 
 def lot_outcomes(alerts: DataFrame, deals: DataFrame, failed: DataFrame, key: str) -> DataFrame:
@@ -42,19 +60,26 @@ def entity_of(rows: DataFrame, numbers: DataFrame, aliases: DataFrame) -> DataFr
     return joined.select(*rows.columns, F.coalesce("_e1", "_e2").alias("entity"))
 
 
-def token_candidates(left: DataFrame, right: DataFrame, least: int = 4, most_common: int = 1000) -> DataFrame:
-    """(id, other, tokens): pairs of names that share a significant token; both sides give (id, name).
+def token_candidates(left: DataFrame, right: DataFrame, least: int = 4) -> DataFrame:
+    """(id, other, tokens): all pairs of names that share a significant token; both sides give (id, name).
 
-    An equi-join on tokens. Tokens of more than most_common names of a side say nothing about identity ("bank") and are
-    no evidence, as the generic words of a registry are.
+    Legal forms and the fixed generic words are no tokens; every other one counts, however common. An equi-join on tokens, in
+    which a pair is given by the first token that it shares. A token's names on the left are dealt into parts of about PART,
+    so that a common one isn't one task.
     """
 
     def tokens(df: DataFrame, name: str) -> DataFrame:
-        t = df.select(F.col("id").alias(name), F.explode(F.array_distinct(F.filter(F.split(F.lower("name"), "[^\\p{L}\\p{N}]+"), lambda x: F.length(x) >= least))).alias("token"))
-        generic = t.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > most_common)
-        return t.join(generic, "token", "left_anti")
+        held = F.filter(name_tokens(F.col("name"), LEGAL), lambda x: (F.length(x) >= least) & ~x.isin(*GENERIC))
+        t = df.select(F.col("id").alias(name), F.array_sort(F.array_distinct(held)).alias(f"{name}_tokens"))
+        return t.withColumn("token", F.explode(f"{name}_tokens"))
 
-    return tokens(left, "id").join(tokens(right, "other"), "token").groupBy("id", "other").agg(F.array_join(F.sort_array(F.collect_set("token")), ",").alias("tokens"))
+    mine, theirs = tokens(left, "id"), tokens(right, "other")
+    parts = mine.groupBy("token").agg((F.floor(F.count("*") / PART) + 1).alias("parts"))
+    mine = mine.join(parts, "token").withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+    theirs = theirs.join(parts, "token").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    shared = F.array_sort(F.array_intersect("id_tokens", "other_tokens"))
+    met = mine.join(theirs.drop("parts"), ["token", "part"]).filter(F.get(shared, F.lit(0)) == F.col("token"))
+    return met.select("id", "other", F.array_join(shared, ",").alias("tokens"))
 
 
 def competitor_of(names: DataFrame, competitors: list[str]) -> DataFrame:
@@ -113,7 +138,7 @@ def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", F.concat(F.lit("code"), F.floor(F.col("p_partkey") / 10))).alias("name"), "p_size")
-    return token_candidates(part.filter("p_size < 25"), part.filter("p_size >= 25"), 4, 60)
+    return token_candidates(part.filter("p_size < 25"), part.filter("p_size >= 25"), 4)
 
 
 QUERIES = {
