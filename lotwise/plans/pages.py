@@ -51,10 +51,28 @@ def parsed(pages: DataFrame) -> DataFrame:
     )
 
 
-def keyword_pages(pages: DataFrame, least: int = 4, most: int = 30) -> DataFrame:
-    """Words of titles and headings over pages: each counts once a page; most frequent first."""
-    words = F.array_distinct(F.filter(F.split(F.lower(F.concat_ws(" ", "title", "h1")), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) >= least) & ~w.isin(*STOP_WORDS)))
-    return pages.select("page_id", F.explode(words).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("cnt"), F.min("page_id").alias("first_page")).orderBy(F.desc("cnt"), "keyword").limit(most)
+def page_keywords(pages: DataFrame) -> DataFrame:
+    """(keyword, page_id), once a page: meta keywords, the phrases of title and description, and the heading, in lower case."""
+    tidy = lambda c: F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    phrases = lambda c, marks, fits: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), marks), tidy), fits)
+    title = phrases(F.col("title"), r"[|\-–—,•·]", lambda w: F.length(w) > 2)
+    description = phrases(F.col("description"), r"[.,;!?|•·\-–—]", lambda w: (F.length(w) > 3) & (F.length(w) < 100))
+    known = F.coalesce(F.transform("keywords", tidy), F.array().cast("array<string>"))
+    every = F.array_distinct(F.concat(known, title, F.array_compact(F.array(tidy(F.col("h1")))), description))
+    return pages.select("page_id", F.explode(every).alias("keyword")).select("keyword", "page_id")
+
+
+def keyword_counts(membership: DataFrame) -> DataFrame:
+    """On how many pages each keyword is."""
+    return membership.groupBy("keyword").agg(F.count("*").alias("cnt"))
+
+
+def keyword_pages(pages: DataFrame) -> DataFrame:
+    """(keyword, cnt, page_id): every keyword with its count and each of its pages, most frequent first."""
+    from ..session import written
+
+    membership = written(page_keywords(pages), "page_keywords")
+    return membership.join(keyword_counts(membership), "keyword").select("keyword", "cnt", "page_id").orderBy(F.desc("cnt"), "keyword", "page_id")
 
 
 def seo_score(pages: DataFrame, query: str) -> DataFrame:
