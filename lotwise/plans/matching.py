@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..session import table
 from ..views import TENDERS, WINS, tenders, wins
+from . import identity
 from .registry import name_tokens
 
 #: Legal forms, and words that alone say nothing about identity.
@@ -47,6 +51,31 @@ def twins_within(candidates: DataFrame, sent: DataFrame, keys: list[str], time:
     return candidates.join(s, condition, "left_anti")
 
 
+def twins_or_reposts(candidates: DataFrame, sent: DataFrame, keys: list[str], time: str, deadline: str, days: int) -> DataFrame:
+    """candidates with prev_deadline, less the twins: those with a sent row of the same key within `days` (either side).
+
+    A candidate whose deadline is later than those of all its near sent rows is a repost: it stays, and prev_deadline is the
+    latest of theirs. If one of the deadlines can't be read, it is a twin. Rows without a time are near nothing. Keys and times
+    that repeat meet once, by equi-joins on the key and on slots of `days`.
+    """
+    second, width = F.unix_timestamp(F.col(time).cast("timestamp")), days * 86400
+    slot = F.floor(F.col("_at") / max(width, 1))
+    kept = [F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]
+    names = [f"_{i}" for i in range(len(keys))]
+    day = text.rough_day(F.col(deadline).cast("string"))
+    s = sent.select(*kept, second.alias("_at"), day.alias("_day")).filter("_at is not null")
+    s = s.groupBy(*names, "_at").agg(F.max("_day").alias("_last"), F.bool_or(F.col("_day").isNull()).alias("_unread")).withColumn("_slot", slot)
+    c = candidates.select(*kept, second.alias("_at")).filter("_at is not null").distinct()
+    c = c.withColumn("_slot", F.explode(F.array(slot - 1, slot, slot + 1)))
+    same = lambda a, b, columns: reduce(lambda x, n: x & a[n].eqNullSafe(b[n]), columns, F.lit(True))
+    met = c.join(s, same(c, s, names) & (c["_slot"] == s["_slot"]) & (F.abs(c["_at"] - s["_at"]) <= width))
+    near = met.groupBy(*[c[n] for n in names], c["_at"]).agg(F.max("_last").alias("_last"), F.bool_or("_unread").alias("_unread"))
+    asked = candidates.select("*", *kept, second.alias("_at"))
+    joined = asked.join(near, same(asked, near, names) & (asked["_at"] == near["_at"]), "left")
+    repost = ~F.col("_unread") & F.coalesce(day > F.col("_last"), F.lit(False))
+    return joined.filter(F.col("_unread").isNull() | repost).select(*[asked[n] for n in candidates.columns], F.col("_last").alias("prev_deadline"))
+
+
 def unique_aliases(names: DataFrame, least: int = 8) -> DataFrame:
     """(alias, entity) of names long enough that belong to one entity only."""
     return names.filter(F.length("alias") >= least).groupBy("alias").agg(F.min("entity").alias("entity"), F.max("entity").alias("last")).filter("entity = last").drop("last")
@@ -128,6 +157,13 @@ def _twins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return twins_within(kept("status = 'O'"), kept("status <> 'O'"), ["organization"], "collected_at", 14)
 
 
+def _reposts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.expr("timestampadd(DAY, cast(id * 7 % 40 as int), timestamp '2024-01-01 00:00:00')")
+    rows = identity.keyed(identity.lots(spark, sf_dir)).withColumn("created_at", at)
+    kept = twins_or_reposts(rows.filter("id % 2 = 1"), rows.filter("id % 2 = 0"), ["key"], "created_at", "deadline", 14)
+    return kept.select("id", "created_at", "prev_deadline")
+
+
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     rows = c.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey")).alias("inn"), F.concat(F.lit("name "), F.col("c_custkey") % 400).alias("alias"))
@@ -147,6 +183,7 @@ QUERIES = {
     "j12_competitors": lambda spark, sf_dir: competitor_of(table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name")), ["Red Widget", "ring", "a small ring of steel", "blue bolt"]),
     "j13_entities": _entities,
     "j16_token_candidates": _candidates,
+    "j18_reposts": _reposts,
     "j18_twins_within": _twins,
     "j30_advance_state": lambda spark, sf_dir: advance_state(
         table(spark, sf_dir, "orders").filter("o_orderstatus = 'F' and o_totalprice > 300000").select("o_custkey"), table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").select("o_custkey"), table(spark, sf_dir, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey")), "o_custkey"
@@ -173,6 +210,10 @@ SQL = {
         SELECT l.id, r.id AS other, string_agg(DISTINCT l.token, ',' ORDER BY l.token) AS tokens FROM l JOIN r ON l.token = r.token GROUP BY ALL""",
     "j18_twins_within": f"""WITH {TENDERS} SELECT id, organization, collected_at FROM tenders t WHERE status = 'O'
         AND NOT EXISTS (SELECT 1 FROM tenders s WHERE s.status <> 'O' AND s.organization = t.organization AND abs(epoch(s.collected_at) - epoch(t.collected_at)) <= 14 * 86400)""",
+    "j18_reposts": f"""WITH {identity.LOTS}, rows AS (SELECT *, TIMESTAMP '2024-01-01' + to_days(CAST(id * 7 % 40 AS INTEGER)) AS created_at FROM lots), {identity._KEYED},
+        n AS (SELECT c.id, max(s.day) AS last, bool_or(s.day IS NULL) AS unread FROM keyed c JOIN keyed s ON c.k1 IS NOT DISTINCT FROM s.k1 AND c.k2 = s.k2 AND c.k3 = s.k3 AND abs(epoch(c.created_at) - epoch(s.created_at)) <= 14 * 86400
+              WHERE c.id % 2 = 1 AND s.id % 2 = 0 GROUP BY 1)
+        SELECT id, created_at, last AS prev_deadline FROM keyed LEFT JOIN n USING (id) WHERE id % 2 = 1 AND (n.unread IS NULL OR (NOT n.unread AND coalesce(day > n.last, false)))""",
     "j30_advance_state": """SELECT DISTINCT o_custkey FROM orders WHERE (o_orderstatus = 'F' AND o_totalprice > 300000) OR (o_orderstatus = 'O' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000))""",
     "t08_preferred_row": f"""WITH {TENDERS} SELECT organization, source, id FROM tenders QUALIFY row_number() OVER (PARTITION BY organization ORDER BY CASE source WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 ELSE 2 END, collected_at DESC, id) = 1""",
     "u03_intersection": "SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'",
