@@ -118,7 +118,7 @@ QUERIES = {
     "p16_awards": _awards,
     "p22_headline": _headlines,
     "p24_merged_text": _merged,
-    "p10_search_text": lambda spark, sf_dir: lots(spark, sf_dir).select("id", search_text([F.col("title"), F.col("organization"), F.col("search_text")], 120).alias("search_text")),
+    "p10_search_text": lambda spark, sf_dir: lots(spark, sf_dir).select("id", search_text([F.col("title"), F.col("organization"), F.col("search_text")]).alias("search_text")),
     "f32_recheck_due": lambda spark, sf_dir: table(spark, sf_dir, "events").select("event_id", recheck_due(F.col("ts"), F.when(F.col("event_id") % 9 > 0, F.col("ts") + F.expr("INTERVAL 20 HOURS")), F.lit("2024-01-05 00:00:00").cast("timestamp")).alias("due")),
     "f16_code_class": lambda spark, sf_dir: table(spark, sf_dir, "part").select("p_partkey", fuzzy_codes(F.filter(F.array(F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("49"), F.col("p_size"))).otherwise("")), lambda c: F.length(c) > 1), ["49", "12"], ["1", "491"]).alias("kind")),
     "f15_niche": lambda spark, sf_dir: lots(spark, sf_dir).select("id", (F.lower("title").rlike("tion|que|en ") & ~F.lower("title").rlike("wh|les ")).alias("niche"), text.normalize_org(F.col("organization")).contains("the").alias("own")),

@@ -238,8 +238,8 @@ QUERIES = {
     "w03_last_wins": lambda spark, sf_dir: last_wins(_events(spark, sf_dir).select("user_id", "event_type", "value", "ts", "event_id"), "user_id", ["ts", "event_id"]),
     "w04_latest_label": lambda spark, sf_dir: last_wins(table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.length("text").alias("chars")), "conv_id", ["turn"]),
     "t01_newest_first": lambda spark, sf_dir: tenders(spark, sf_dir).select("id", "collected_at").orderBy(F.desc("collected_at"), "id").limit(50),
-    "t02_price_then_deadline": lambda spark, sf_dir: _lots(spark, sf_dir).select("id", F.when(F.col("status") != "P", F.col("price")).alias("price"), "deadline").orderBy(F.coalesce("price", F.lit(0.0)), F.asc_nulls_last("deadline"), "id").limit(50),
-    "t04_leads_first": lambda spark, sf_dir: tenders(spark, sf_dir).select("id", (F.col("status") == "P").alias("is_lead")).orderBy(F.desc("is_lead"), "id").limit(40),
+    "t02_price_then_deadline": lambda spark, sf_dir: _lots(spark, sf_dir).select("id", F.when(F.col("status") != "P", F.col("price")).alias("price"), "deadline").orderBy(F.coalesce("price", F.lit(0.0)), F.asc_nulls_last("deadline"), "id"),
+    "t04_leads_first": lambda spark, sf_dir: tenders(spark, sf_dir).select("id", (F.col("status") == "P").alias("is_lead")).orderBy(F.desc("is_lead"), "id"),
     "t05_most_incomplete": lambda spark, sf_dir: most_incomplete(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", F.when(F.col("n_chars") > 1000, F.col("n_chars")).alias("n_chars")), "doc_id", ["text", "lang", "source", "n_chars"], 200),
     "t07_rank_by_three": lambda spark, sf_dir: summed(ledger(spark, sf_dir).filter("buyer_inn is not null"), ["buyer_inn"], "amount_uzs").orderBy(F.desc("cnt"), F.desc("total"), "buyer_inn").limit(100),
     "t11_failed_last": lambda spark, sf_dir: _events(spark, sf_dir).select("event_id", (F.col("event_type") == "error").alias("failed")).orderBy("failed", "event_id").limit(60),
