@@ -5,39 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import discard, materialise, spread_join
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether an edge is left that is no ray of a star: its greater end has a second edge, or its lesser end is itself a greater one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not seen.filter("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    near = spread_join(both.filter("b > a"), least, ["a"], ["b"])
+    return near.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    near = edges.join(least, "a")
+    near = spread_join(edges, least, ["a"], ["b"])
     return near.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(a, b) undirected integer edges -> (node, component): each node that has an edge, with the least node it reaches.
+    """(a, b) undirected edges of any type that has an order -> (node, component): each node that has an edge, with the least it reaches.
 
-    Every round is written to the shared folder; only a count and a checksum reach the driver. The least neighbour of a
-    node is aggregated before the shuffle, and a hub's edges are split by Spark's skew join.
+    Null ends and edges from a node to itself are no edges; edges may repeat; an empty table gives an empty table. Every round
+    is written to the shared folder and the round before it deleted; only whether one was the last reaches the driver. The least
+    neighbour of a node is aggregated before the shuffle, and a hub's edges are dealt among several tasks.
     """
-    now = materialise(
-        edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
-    )
-    before = None
-    while (state := _state(now)) != before:
-        before = state
-        if not state[0]:
-            break
-        now = materialise(_small_star(_large_star(now)), "edges")
+    now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    while _unsettled(now):
+        last, now = now, materialise(_small_star(_large_star(now)), "edges")
+        discard(last)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

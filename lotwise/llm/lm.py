@@ -1,13 +1,18 @@
-"""Language-model scores by stupid backoff over n-gram counts of the whole corpus.
+"""Language-model scores by stupid backoff over n-gram counts of the whole corpus, computed by joins.
 
-    S(w | v) = c(v w) / c(v)      if c(v w) >= min_count
-             = alpha * c(w) / N   otherwise;    S(first word) = c(w) / N
+    S_1(w)           = c(w) / N
+    S_k(w | context) = c(context w) / c(context)    if c(context w) >= min_count
+                     = alpha * S_{k-1}(w | shorter context)    otherwise
 
-Words are runs outside [\\x20\\x09-\\x0D], A-Z folded. Documents are dealt by hash into blocks of bounded size, so that n-grams
-are counted within a block before anything is shuffled: a frequent n-gram costs one entry a block, however many documents
-have it. The distinct n-grams of a block, as sorted 64-bit hashes, go to the buckets of the count table (the leading bits of
-the hash); a bucket adds up its blocks' entries and joins the totals back to each block's n-grams; the block sums the log
-scores of each of its documents. What crosses the network is one entry for each block and distinct n-gram, and one count back.
+A word is scored with the longest context that its text has before it, up to order - 1 words. Words are runs outside
+[\\x20\\x09-\\x0D], A-Z folded; n-grams go by 64-bit hashes (among a billion distinct n-grams two clash in one corpus of about
+forty; the counts of such a pair add up).
+
+Documents are dealt by hash into blocks of bounded size, and their n-grams exploded into rows (block, gram, n): an n-gram is
+counted in its block before anything is shuffled by it, so a frequent one costs one row a block, however many documents have
+it, and no key is hot. The count table is partitioned by the leading bits of the hash and joined to the blocks' rows; totals
+that a block doesn't have already go back to it as rows, are joined there with its exploded words, and the logs are summed
+per document.
 """
 
 from __future__ import annotations
@@ -20,121 +25,90 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialise
-from .words import C1, U64, Words, mix, slices
+from .words import C1, U64, Words, grams, mix, slices
 
-BLOCK_BYTES = 8 << 20
-#: Buckets of the count table for each block, so that a bucket's entries are about as many as a block's.
-BITS_LEAST = 4
+#: Text of a block.
+BLOCK_BYTES = 16 << 20
+#: Leading bits of a hash that partition the count table.
+BUCKET_BITS = 20
 
 
-def _keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words; of all pairs of neighbours (the first of a text has none); bounds of the texts, in words."""
-    uni, bi, sizes = [], [], []
-    for _, _, buf, offsets in slices(table.column("text").combine_chunks()):
+def exploded(text: pa.ChunkedArray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For n from 1 to order the hashes of the n words that end at each word, 0 where the text has not as many; and the texts' bounds in words."""
+    found: list[list[np.ndarray]] = [[] for _ in range(order)]
+    sizes = [np.zeros(1, np.int64)]
+    for _, _, buf, offsets in slices(text.combine_chunks()):
         words = Words(buf, offsets)
-        uni.append(mix(words.hash ^ C1))
-        pair = np.zeros(len(words.hash), U64)
-        pair[1:] = mix(words.hash[:-1] * U64(3) + words.hash[1:] * U64(5))
-        bi.append(pair)
+        place = np.arange(len(words.hash)) - np.repeat(words.bounds[:-1], np.diff(words.bounds))
+        for n in range(1, order + 1):
+            keys = np.zeros(len(words.hash), U64)
+            run = mix(words.hash ^ C1) if n == 1 else grams(words.hash, n, seed=200 + n)
+            keys[n - 1 :] = np.maximum(run, U64(1))
+            keys[place < n - 1] = 0
+            found[n - 1].append(keys)
         sizes.append(np.diff(words.bounds))
     none = np.empty(0, U64)
-    sizes = np.concatenate([np.empty(0, int), *sizes]).astype(int)
-    return np.concatenate([none, *uni]), np.concatenate([none, *bi]), np.concatenate(([0], np.cumsum(sizes)))
-
-
-def _follows(bounds: np.ndarray, n: int) -> np.ndarray:
-    """Which words have a predecessor in their text."""
-    out = np.ones(n, bool)
-    starts = bounds[:-1]
-    out[starts[starts < n]] = False
-    return out
-
-
-def _pack(sorted_keys: np.ndarray) -> bytes:
-    """Differences of sorted keys, plane by plane of their bytes: the upper planes are nearly all zero and compress away."""
-    return np.diff(sorted_keys, prepend=U64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=U64)
+    return [np.concatenate([none, *x]) for x in found], np.cumsum(np.concatenate(sizes))
 
 
-def _planes(counts: np.ndarray) -> bytes:
-    return counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def block_counts(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of 1 to order words of a block's texts, in order of their hashes, and how often each occurs."""
+    keys = np.concatenate(exploded(table.column("text"), order)[0])
+    return np.unique(keys[keys > 0], return_counts=True)
 
 
-def _counts(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel().astype(np.int64)
-
-
-def stupid_backoff(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def stupid_backoff(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, order: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_backoff, lm_score of every row; lm_score is the mean natural log of S over the row's words.
 
-    Null and empty texts have no words and a null score. Rows that repeat count and are scored each; null doc_ids stay
-    null; further columns are ignored; an empty table gives an empty table.
+    n_backoff: words scored with fewer words of context than they have. Null and empty texts have no words and a null score.
+    Rows that repeat count and are scored each; null doc_ids stay null; further columns are ignored; long texts count whole; an
+    empty table gives an empty table.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
-    bits = max(BITS_LEAST, (blocks - 1).bit_length())
-    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(blocks, 20_000))
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * blocks)
 
-    blocked = docs.select(
-        "doc_id",
-        F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"),
-    ).repartition(partitions, "block")
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    blocked = docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")).repartition(partitions, "block")
 
     def count(table: pa.Table) -> pa.Table:
-        uni, bi, bounds = _keys(table)
-        keys, n = np.unique(np.concatenate([uni, bi[_follows(bounds, len(bi))]]), return_counts=True)
-        bucket = (keys >> U64(64 - bits)).astype(np.int64)
-        cut = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-        full = np.flatnonzero(np.diff(cut))
-        block = table.column("block")[0].as_py()
-        return pa.table(
-            {
-                "bucket": pa.array(full, pa.int64()),
-                "block": pa.array([block] * len(full), pa.int64()),
-                "keys": pa.array([_pack(keys[cut[k] : cut[k + 1]]) for k in full], pa.binary()),
-                "counts": pa.array([_planes(n[cut[k] : cut[k + 1]]) for k in full], pa.binary()),
-            }
-        )
-
-    def add(table: pa.Table) -> pa.Table:
-        keys = [_unpack(x.as_py()) for x in table.column("keys")]
-        _, at = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(at, np.concatenate([_counts(x.as_py()) for x in table.column("counts")])).astype(np.int64)[at]
-        cut = np.cumsum([0] + [len(k) for k in keys])
-        totals = pa.array([_planes(n[lo:hi]) for lo, hi in zip(cut, cut[1:], strict=False)], pa.binary())
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "totals": totals})
-
-    def score(table: pa.Table, totals: pa.Table) -> pa.Table:
-        uni, bi, bounds = _keys(table)
-        follows = _follows(bounds, len(bi))
-        # The block's distinct keys in order are its buckets' keys in order of the buckets.
-        _, at = np.unique(np.concatenate([uni, bi[follows]]), return_inverse=True)
-        parts = sorted(zip(totals.column("bucket").to_pylist(), totals.column("totals"), strict=True), key=lambda x: x[0])
-        n = np.concatenate([np.empty(0, np.int64), *(_counts(x.as_py()) for _, x in parts)])[at]
-        c = n[: len(uni)].astype(float)
-        pair = np.zeros(len(uni))
-        pair[follows] = n[len(uni) :]
-        seen = pair >= min_count
-        before = np.concatenate(([1.0], c[:-1])) if len(c) else c
-        logs = np.where(seen, np.log(np.maximum(pair, 1) / before), np.log(c) + np.where(follows, math.log(alpha), 0.0))
-        sums = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[bounds])
-        per_doc = np.array([logs[lo:hi].sum() for lo, hi in zip(bounds, bounds[1:], strict=False)])
+        keys, n = block_counts(table, order)
+        block = np.full(len(keys), table.column("block")[0].as_py() if len(table) else 0, np.int64)
+        return pa.table({"block": block, "gram": keys.view(np.int64), "n": n})
+
+    # The count table, partitioned by hash; both sides of the join come from one shuffle of the blocks' rows.
+    held = blocked.groupBy("block").applyInArrow(count, "block long, gram long, n long")
+    held = held.withColumn("bucket", F.shiftrightunsigned("gram", 64 - BUCKET_BITS).cast("int")).repartition(partitions, "bucket")
+    counts = held.groupBy("bucket", "gram").agg(F.sum("n").alias("total"), F.count("*").alias("blocks")).filter("blocks > 1").drop("blocks")
+    # A bucket's share of the table is bounded by the number of partitions, which grows with the input.
+    totals = held.join(counts.hint("shuffle_hash"), ["bucket", "gram"]).select("block", "gram", "total")
+
+    def score(table: pa.Table, told: pa.Table) -> pa.Table:
+        keys, bounds = exploded(table.column("text"), order)
+        own, n = block_counts(table, order)
+        at = np.searchsorted(own, told.column("gram").to_numpy().view(U64))
+        n[at] = told.column("total").to_numpy()
+        count_of = [n[np.searchsorted(own, np.where(k > 0, k, own[0] if len(own) else k))] * (k > 0) if len(own) else n for k in keys]
+        size = len(keys[0])
+        log, lost, single = np.log(np.maximum(count_of[0], 1)), np.zeros(size), np.ones(size, bool)
+        for k in range(1, order):
+            has = keys[k] > 0
+            seen = has & (count_of[k] >= min_count)
+            context = np.concatenate(([1], count_of[k - 1][:-1])) if size else count_of[k - 1]
+            log = np.where(seen, np.log(np.maximum(count_of[k], 1) / np.maximum(context, 1)), log)
+            lost = np.where(seen, 0, lost + has)
+            single &= ~seen
+        per_doc = lambda x: np.add.reduceat(np.append(x, 0), bounds[:-1]) * (np.diff(bounds) > 0) if len(bounds) > 1 else np.empty(0)
         return pa.table(
             {
                 "doc_id": table.column("doc_id"),
                 "n_words": pa.array(np.diff(bounds), pa.int64()),
-                "n_single": pa.array(sums(~seen), pa.int64()),
-                "n_backoff": pa.array(sums(follows & ~seen), pa.int64()),
-                "logs": pa.array(per_doc, pa.float64()),
+                "n_single": pa.array(per_doc(single).astype(np.int64), pa.int64()),
+                "n_backoff": pa.array(per_doc(lost > 0).astype(np.int64), pa.int64()),
+                "logs": pa.array(per_doc(log + lost * math.log(alpha)), pa.float64()),
             }
         )
 
-    entries = blocked.groupBy("block").applyInArrow(count, "bucket long, block long, keys binary, counts binary")
-    totals = entries.groupBy("bucket").applyInArrow(add, "block long, bucket long, totals binary")
     scored = blocked.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, n_single long, n_backoff long, logs double")
     scored = materialise(scored, "scored")
     words = scored.agg(F.sum("n_words").alias("all"))  # one row

@@ -6,14 +6,20 @@ At Jaccard similarity s a pair meets in some table with probability (1 - (1 - s^
 
 Steps, all of them DataFrame stages:
 
-1. `signatures`: one pass over the texts gives the set size, a digest of the whole shingle set, and the 2 * t halves.
-2. Rows with equal digests are one class (aggregated before the shuffle, so thousands of copies cost one row a task).
-3. Halves that no other class has are dropped; the rest are paired into table keys. The members of a table are linked to
-   its least member (n - 1 edges for n members, never all pairs), and the connected components of these candidate edges
-   are *families*: two classes that meet in any table are in one family.
-4. `verify`: each family's texts meet in a task, where full shingle sets are intersected through an inverted index, and a
-   spanning forest of the confirmed links comes out. A family too large for a task is dealt into parts, and every two
-   parts meet in a task of their own, so memory is bounded and no link between different texts is lost.
+1. `signatures`: one pass over the texts gives the set size, a digest of the whole shingle set, the 2 * t halves, and a
+   sketch: two bits of each minhash.
+2. Rows with equal digests are one class (aggregated before the shuffle, so thousands of copies cost one row a task). A class
+   goes by its digest, never by a doc_id, which may repeat; the table step goes by 8 bytes of it (`cid`), where a clash
+   would only put two classes into one family.
+3. Halves that no other class has are dropped; the rest are paired into table keys. A table's members are compared with its
+   least member by their sketches: those that agree are linked. A table whose members are not all in one cluster after that
+   is looked into: in a task of its own (dealt into parts, if it is large) all its sketches are compared, and a spanning
+   forest of those that agree comes out. So a pair that meets in a table and whose sketches agree is in one *family*, and
+   pairs of low similarity, of which a table also holds some, join no families. The sketches of a pair at 0.75 agree but for
+   about 3 in a million.
+4. `verify`: full shingle sets are intersected through an inverted index. A family is dealt into parts of even size; each
+   part meets in a task together with the family's hub. What is not linked with the hub by then meets every part in a second
+   round, so no link between different texts is lost, memory is bounded, and a group of copies costs one task a part.
 5. Connected components of the confirmed links.
 """
 
@@ -29,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialise
+from .shared import discard, key_filter, marked_by_filter, materialise, spread_join
 from .words import U64, Words, grams, mix, slices, stream
 
-#: A part of a family holds about so many texts, and so many shingles in all.
-PART_TEXTS, PART_SHINGLES = 1500, 1_500_000
-SIGNED = "doc_id long, n_shingles long, digest binary, left array<long>, right array<long>"
+#: A part of a family holds about so many texts, and so many shingles in all; a part of a table holds so many sketches.
+PART_TEXTS, PART_SHINGLES, PART_SKETCHES = 256, 1_000_000, 2048
+#: Minhashes whose two bits fit into one long of a sketch.
+FIELDS = 30
+SIGNED = "doc_id long, text_hash long, n_shingles long, digest binary, left array<long>, right array<long>, sketch array<long>"
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -72,60 +80,137 @@ def _minhash(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _sign(batches: Iterator[pa.RecordBatch], k: int, h: int, t: int) -> Iterator[pa.RecordBatch]:
     a, b = (stream(2 * t * h, s).astype(np.uint32) | np.uint32(1) for s in (11, 12))
     weight, salt = stream(h, 13) | U64(1), stream(2 * t, 14)
+    longs = sketch_longs(h, t)
+    shift = U64(2) * np.arange(FIELDS, dtype=U64)
+    lists = lambda flat, n: pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, n, dtype=np.int32)), pa.array(flat))
     for batch in batches:
-        sizes, digests, halves = [], [], []
-        for _, _, buf, offsets in slices(batch.column(1)):
+        sizes, digests, halves, sketches = [], [], [], []
+        for _, _, buf, offsets in slices(batch.column(2)):
             for s in shingle_sets(buf, offsets, k):
                 sizes.append(len(s))
                 digests.append(digest(s))
+                bits = np.zeros(longs * FIELDS, U64)
                 if len(s):
-                    part = _minhash(s, a, b).astype(U64).reshape(2 * t, h)
-                    halves.append(mix((part * weight).sum(1, dtype=U64) ^ salt))
+                    part = _minhash(s, a, b).astype(U64)
+                    bits[: len(part)] = part & U64(3)
+                    halves.append(mix((part.reshape(2 * t, h) * weight).sum(1, dtype=U64) ^ salt))
                 else:
                     halves.append(salt)
+                sketches.append((bits.reshape(longs, FIELDS) << shift).sum(1, dtype=U64))
         flat = np.array(halves, U64).reshape(-1, 2 * t).view(np.int64)
-        bounds = pa.array(np.arange(0, (len(sizes) + 1) * t, t, dtype=np.int32))
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                pa.ListArray.from_arrays(bounds, pa.array(flat[:, :t].ravel())), pa.ListArray.from_arrays(bounds, pa.array(flat[:, t:].ravel())),
-            ],
-            names=["doc_id", "n_shingles", "digest", "left", "right"],
-        )
+        columns = [
+            batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+            lists(flat[:, :t].ravel(), t), lists(flat[:, t:].ravel(), t), lists(np.array(sketches, U64).reshape(-1).view(np.int64), longs),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "digest", "left", "right", "sketch"])
+
+
+def sketch_longs(h: int, t: int) -> int:
+    return -(-2 * t * h // FIELDS)
 
 
 def signatures(docs: DataFrame, words: int = 5, h: int = 3, t: int = 15) -> DataFrame:
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     return texts.mapInArrow(partial(_sign, k=words, h=h, t=t), SIGNED)
 
 
-def _families(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(digest, rep, n_shingles): the classes of equal sets. (rep, family): of the classes that meet another in a table."""
-    classes = materialise(
-        signed.filter("digest is not null and doc_id is not null")
-        .groupBy("digest")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("left").alias("left"), F.first("right").alias("right")),
-        "classes",
-    )
-    halves = classes.select("rep", F.lit(True).alias("is_left"), F.explode("left").alias("half")).union(
-        classes.select("rep", F.lit(False), F.explode("right"))
+def differing(h: int, t: int, least: float = 0.5) -> int:
+    """How many of the 2 * t * h fields of two sketches may differ: unlike minhashes agree in one field of four."""
+    return int(2 * t * h * 0.75 * (1 - least))
+
+
+def _classes(signed: DataFrame) -> DataFrame:
+    """One row for each distinct shingle set: its digest and cid, and its row of the least (doc_id, text_hash)."""
+    rows = signed.filter("digest is not null and doc_id is not null")
+    first = [F.first(c).alias(c) for c in ("n_shingles", "left", "right", "sketch")]
+    grouped = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), *first)
+    cid = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
+    return grouped.select("digest", cid.alias("cid"), F.col("rep.doc_id").alias("rep"), F.col("rep.text_hash").alias("rep_hash"), "n_shingles", "left", "right", "sketch")
+
+
+def _tables(classes: DataFrame) -> DataFrame:
+    """(key, cid, sketch): the members of every table, without the halves that no other class has."""
+    halves = classes.select("cid", "sketch", F.lit(True).alias("is_left"), F.explode("left").alias("half")).union(
+        classes.select("cid", "sketch", F.lit(False), F.explode("right"))
     )
     met = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    shared = (
-        halves.join(met, "half")
-        .groupBy("rep")
-        .agg(F.collect_set(F.when(F.col("is_left"), F.col("half"))).alias("left"), F.collect_set(F.when(~F.col("is_left"), F.col("half"))).alias("right"))
-        .filter("size(left) > 0 and size(right) > 0")
-    )
-    tables = materialise(
-        shared.select("rep", "right", F.explode("left").alias("l"))
-        .select("rep", "l", F.explode("right").alias("r"))
-        .select("rep", F.xxhash64("l", "r").alias("key")),
-        "tables",
+    side = lambda left: F.collect_set(F.when(F.col("is_left") == left, F.col("half")))
+    shared = spread_join(halves.drop("sketch"), met, ["half"], ["cid"]).groupBy("cid").agg(side(True).alias("left"), side(False).alias("right"))
+    shared = shared.filter("size(left) > 0 and size(right) > 0").join(classes.select("cid", "sketch"), "cid")
+    return (
+        shared.select("cid", "sketch", "right", F.explode("left").alias("l"))
+        .select("cid", "sketch", "l", F.explode("right").alias("r"))
+        .select(F.xxhash64("l", "r").alias("key"), "cid", "sketch")
     )
-    heads = tables.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head < last").select("key", "head")
-    edges = tables.join(heads, "key").filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
-    return classes.select("digest", "rep", "n_shingles"), connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+
+
+def _agreeing(ours: np.ndarray, theirs: np.ndarray, most: int) -> np.ndarray:
+    """Which rows of sketches differ from one sketch in at most `most` fields."""
+    x = ours ^ theirs
+    x = (x | (x >> U64(1))) & U64(0x5555555555555555)
+    return np.bitwise_count(x).sum(1) <= most
+
+
+def _forest(table: pa.Table, most: int) -> pa.Table:
+    """A spanning forest, between clusters, of the members whose sketches agree."""
+    table = table.combine_chunks()
+    cid, label = table.column("cid").to_numpy(), table.column("label").to_numpy()
+    flat = table.column("sketch").combine_chunks().flatten().to_numpy().view(U64)
+    sketch = flat.reshape(len(cid), -1) if len(cid) else flat.reshape(0, 1)
+    names, tree = np.unique(label, return_inverse=True)
+    edges = []
+    for i in range(len(cid)):
+        other = np.flatnonzero(tree != tree[i])
+        if not len(other):
+            continue
+        for t in np.unique(tree[other[_agreeing(sketch[other], sketch[i], most)]]):
+            edges.append((names[tree[i]], names[t]))
+            tree[tree == t] = tree[i]
+    return pa.table({"a": pa.array([x for x, _ in edges], pa.int64()), "b": pa.array([y for _, y in edges], pa.int64())})
+
+
+def _families(classes: DataFrame, h: int, t: int) -> DataFrame:
+    """(cid, family) of the classes that are linked by sketches that agree with those of others of their tables."""
+    most = differing(h, t)
+    tables = materialise(_tables(classes), "tables")
+    heads = tables.groupBy("key").agg(F.min(F.struct("cid", "sketch")).alias("head"), F.max("cid").alias("last"))
+    heads = heads.filter("head.cid < last").select("key", F.col("head.cid").alias("head"), F.col("head.sketch").alias("head_sketch"))
+    differ = F.lit(0)
+    for i in range(sketch_longs(h, t)):
+        x = F.get("sketch", F.lit(i)).bitwiseXOR(F.get("head_sketch", F.lit(i)))
+        differ = differ + F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    asked = spread_join(tables, heads, ["key"], ["cid"]).filter("cid <> head").select("key", "cid", "head", (differ <= most).alias("agrees"))
+    asked = materialise(asked, "asked")
+    strong = asked.filter("agrees").select(F.col("cid").alias("a"), F.col("head").alias("b")).distinct()
+    clusters = materialise(connected_components(strong), "clusters")
+
+    # Tables whose members are not all in one cluster yet.
+    label = lambda name: clusters.select(F.col("node").alias(name), F.col("component").alias(f"{name}_label"))
+    apart = asked.filter("not agrees").join(label("cid"), "cid", "left").join(label("head"), "head", "left")
+    apart = apart.filter(~F.coalesce("cid_label", "cid").eqNullSafe(F.coalesce("head_label", "head")))
+    mixed = apart.groupBy("key").agg(F.count("*").alias("n")).select("key")
+    members = spread_join(tables, mixed, ["key"], ["cid"]).join(label("cid"), "cid", "left")
+    members = materialise(members.select("key", "cid", F.coalesce("cid_label", "cid").alias("label"), "sketch"), "mixed")
+    parts = members.groupBy("key").agg(F.ceil(F.count("*") / PART_SKETCHES).cast("int").alias("parts"))
+    dealt = _in_pairs(spread_join(members, parts, ["key"], ["cid"]), "cid").select("key", "p", "q", "cid", "label", "sketch")
+
+    def forest(table: pa.Table) -> pa.Table:
+        return _forest(table, most)
+
+    found = materialise(dealt.groupBy("key", "p", "q").applyInArrow(forest, "a long, b long").distinct(), "forest")
+    between = connected_components(found).select(F.col("node").alias("label"), F.col("component").alias("family"))
+    linked = clusters.select(F.col("node").alias("cid"), F.col("component").alias("label"))
+    alone = between.select(F.col("label").alias("cid"), "label")  # a class of no cluster is its own label
+    out = materialise(linked.union(alone).distinct().join(between, "label", "left").select("cid", F.coalesce("family", "label").alias("family")), "families")
+    discard(tables, asked, clusters, members, found)
+    return out
+
+
+def _in_pairs(members: DataFrame, deal: str) -> DataFrame:
+    """members (with parts) dealt so that every two parts of a group, and each part with itself, meet in one (p, q)."""
+    part = F.pmod(F.xxhash64(deal), F.col("parts")).cast("int")
+    both = members.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return both.filter("parts = 1 or part <> other").withColumn("p", F.least("part", "other")).withColumn("q", F.greatest("part", "other"))
 
 
 def _links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
@@ -165,58 +250,111 @@ def _links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
 
 def _verify(table: pa.Table, k: int, percent: int) -> pa.Table:
     table = table.combine_chunks()
-    reps, digests = table.column("rep").to_pylist(), table.column("digest").to_pylist()
-    sets, ids = {}, []
+    digests = table.column("digest").to_pylist()
+    sets: dict[bytes, np.ndarray] = {}
     n = 0
     for _, _, buf, offsets in slices(table.column("text").combine_chunks()) if len(table) else ():
         for s in shingle_sets(buf, offsets, k):
-            if reps[n] not in sets and digest(s) == digests[n]:  # a repeated doc_id may hold another text
-                sets[reps[n]] = s
-                ids.append(reps[n])
+            if digests[n] not in sets and digest(s) == digests[n]:
+                sets[digests[n]] = s
             n += 1
-    edges = [(ids[i], ids[j]) for i, j in _links([sets[r] for r in ids], percent)] if len(ids) > 1 else []
-    return pa.table({"a": pa.array([x for x, _ in edges], pa.int64()), "b": pa.array([y for _, y in edges], pa.int64())})
+    ids = list(sets)
+    edges = [(ids[i], ids[j]) for i, j in _links(list(sets.values()), percent)] if len(ids) > 1 else []
+    return pa.table({"a": pa.array([x for x, _ in edges], pa.binary()), "b": pa.array([y for _, y in edges], pa.binary())})
 
 
-def _confirmed(docs: DataFrame, classes: DataFrame, families: DataFrame, words: int, percent: int) -> DataFrame:
-    members = materialise(families.join(classes, "rep"), "members")
-    sizes = members.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+def _links_of(docs: DataFrame, classes: DataFrame, families: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): digests of linked classes, enough of them to connect all that are linked."""
+    members = classes.select("digest", "cid", "rep", "rep_hash", "n_shingles").join(families, "cid")
+    sizes = members.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.min("digest").alias("hub")).filter("n > 1")
     parts = F.greatest(F.ceil(F.col("n") / PART_TEXTS), F.ceil(F.col("weight") / PART_SHINGLES)).cast("int")
-    sizes = sizes.select("family", parts.alias("parts"))
-    dealt = (
-        members.join(sizes, "family")
-        .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .filter("parts = 1 or part <> other")
-        .select("family", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "rep", "digest")
-    )
-    # The family is small against its texts; a doc_id that repeats is told apart by its digest in the task.
-    texts = docs.select(F.col("doc_id").alias("rep"), F.col("text").cast("binary").alias("text"))
+    dealt = spread_join(members, sizes.select("family", "hub", parts.alias("parts")), ["family"], ["digest"])
+    dealt = materialise(dealt.select("digest", "rep", "rep_hash", "family", "hub", "parts", F.pmod(F.xxhash64("digest"), "parts").cast("int").alias("part")), "dealt")
+
+    # Texts of members only: a bounded filter leaves nearly all others where they are, and no other text is shuffled.
+    place = F.xxhash64("rep", "rep_hash").alias("place")
+    asked = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("rep_hash"), F.col("text").cast("binary").alias("text"))
+    asked = marked_by_filter(asked.withColumn("place", place), "place", key_filter(dealt.select(place), "place")).filter("_maybe").drop("_maybe", "place")
+    # Members grow with the corpus, so this join is never a broadcast, however small the first inputs are.
+    texts = materialise(asked.join(dealt.hint("merge"), ["rep", "rep_hash"]).select("digest", "text", "family", "hub", "parts", "part"), "texts")
 
     def verify(table: pa.Table) -> pa.Table:
         return _verify(table, words, percent)
 
-    # Families grow with the corpus, so this join is never a broadcast, however small the first inputs are.
-    return texts.join(dealt.hint("merge"), "rep").groupBy("family", "p", "q").applyInArrow(verify, "a long, b long")
+    all_parts = F.sequence(F.lit(0), F.col("parts") - 1)
+    met = texts.withColumn("part", F.explode(F.when(F.col("digest") == F.col("hub"), all_parts).otherwise(F.array("part"))))
+    first = materialise(met.select("family", "part", "digest", "text").groupBy("family", "part").applyInArrow(verify, "a binary, b binary"), "links")
+
+    # What its part and the hub have not connected with the hub meets all parts of the family.
+    large = texts.filter("parts > 1").select("digest", "family", "hub", "parts", "part")
+    found = materialise(connected_components(first), "linked")
+    label = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"{name}_label"))
+    far = large.join(label("digest"), "digest", "left").join(label("hub"), "hub", "left")
+    far = far.filter(~F.coalesce("digest_label", "digest").eqNullSafe(F.coalesce("hub_label", "hub"))).select("digest", "family").distinct()
+    rounds = far.groupBy("family").agg(F.ceil(F.count("*") / PART_TEXTS).cast("int").alias("rounds"))
+    far = materialise(spread_join(far, rounds, ["family"], ["digest"]), "far")
+    stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    if far.isEmpty():
+        discard(dealt, texts, first, far)
+        return stars
+    theirs = far.select("digest", F.pmod(F.xxhash64("digest", F.lit(1)), "rounds").cast("int").alias("round"))
+    ours = texts.join(theirs, "digest").withColumn("part", F.explode(all_parts)).select("family", "round", "part", "digest", "text")
+    others = spread_join(texts, far.select("family", "rounds").distinct(), ["family"], ["digest"])
+    others = others.withColumn("round", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1))).select("family", "round", "part", "digest", "text")
+    second = ours.union(others).groupBy("family", "round", "part").applyInArrow(verify, "a binary, b binary")
+    out = materialise(stars.union(second), "links")
+    discard(dealt, texts, first, found, far)
+    return out
+
+
+def _signed_and_linked(docs: DataFrame, words: int, percent: int, h: int, t: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    signed = materialise(signatures(docs, words, h, t), "signed")
+    classes = materialise(_classes(signed), "classes")
+    return signed, classes, _links_of(docs, classes, _families(classes, h, t), words, percent)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, h: int = 3, t: int = 15) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text; further columns are ignored).
 
-    Null and empty texts have no shingles and are linked with nothing. Rows that repeat a doc_id each give a row. A row with
-    a null doc_id is its own component (null) and is kept. An empty table gives an empty table.
+    Null and empty texts have no shingles and are linked with nothing. Rows that repeat a doc_id each give a row; they are one
+    document, so what one of its texts is linked with is linked with all that its other texts are linked with. A row with a
+    null doc_id is its own component (null) and is kept. An empty table gives an empty table. Long texts count whole.
     """
-    signed = materialise(signatures(docs, words, h, t), "signed")
-    classes, families = _families(signed)
-    links = connected_components(_confirmed(docs, classes, families, words, percent))
-    named = classes.join(links, classes.rep == links.node, "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = signed.join(named, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    signed, classes, links = _signed_and_linked(docs, words, percent, h, t)
+    rows = signed.filter("digest is not null and doc_id is not null").select("doc_id", "digest")
+    several = rows.groupBy("doc_id").agg(F.min("digest").alias("least"), F.max("digest").alias("last")).filter("least < last")
+    same = rows.join(several, "doc_id").select(F.col("digest").alias("a"), F.col("least").alias("b"))
+    groups = materialise(connected_components(links.union(same)), "groups")
+    named = classes.select("digest", "rep").join(groups, classes.digest == groups.node, "left").withColumn("component", F.coalesce("component", "digest"))
+    least = named.groupBy("component").agg(F.min("rep").alias("least"))
+    named = spread_join(named.select("digest", "component"), least, ["component"], ["digest"]).select("digest", "least")
+    out = spread_join(signed.select("doc_id", "n_shingles", "digest"), named, ["digest"], ["doc_id"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that represent their component, one for each; columns unchanged. Null doc_ids stay."""
-    kept = near_duplicates(docs, **how).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    whole = docs.filter("doc_id is null")
-    return docs.dropDuplicates(["doc_id"]).filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").unionByName(whole)
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, h: int = 3, t: int = 15) -> DataFrame:
+    """One row of each group of texts that are linked: that of the least doc_id, then of the least digest. Columns unchanged.
+
+    Here the texts are linked, not the doc_ids: of two different texts under one doc_id none goes for the other's sake. Rows
+    that repeat doc_id and text count as copies. Texts without words and rows with a null doc_id all stay. Clashing names
+    of further columns do no harm; an empty table gives an empty table.
+    """
+    signed, classes, links = _signed_and_linked(docs, words, percent, h, t)
+    groups = materialise(connected_components(links), "groups")
+    named = classes.select("digest", "rep", "rep_hash").join(groups, classes.digest == groups.node, "left").withColumn("component", F.coalesce("component", "digest"))
+    first = named.groupBy("component").agg(F.min(F.struct("rep", "digest", "rep_hash")).alias("first"))
+    first = first.select("first.digest", F.col("first.rep").alias("doc_id"), F.col("first.rep_hash").alias("text_hash"), F.lit(True).alias("stays"))
+    rows = signed.filter("digest is not null and doc_id is not null").groupBy("doc_id", "text_hash", "digest").agg(F.count("*").alias("n"))
+    judged = spread_join(rows, first, ["digest", "doc_id", "text_hash"], ["doc_id"], "left")
+    # Rows to look at: those that go, and those that stay but are there several times.
+    judged = judged.filter("stays is null or n > 1").select("doc_id", "text_hash", F.coalesce("stays", F.lit(False)).alias("stays"), F.xxhash64("doc_id", "text_hash").alias("place"))
+    judged = materialise(judged, "judged")
+
+    text_hash = F.xxhash64("text")
+    wrapped = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", text_hash.alias("text_hash"), F.xxhash64("doc_id", text_hash).alias("place"))
+    asked = marked_by_filter(wrapped, "place", key_filter(judged, "place"))
+    looked = asked.filter("_maybe and doc_id is not null").join(judged.drop("place"), ["doc_id", "text_hash"], "left")
+    single = looked.filter("stays is null").select("row.*")
+    repeated = looked.filter("stays").dropDuplicates(["doc_id", "text_hash"]).select("row.*")
+    return asked.filter("not _maybe or doc_id is null").select("row.*").union(single).union(repeated)

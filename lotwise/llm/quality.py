@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hash_sample
+from .shared import distinct_sample
 from .toxicity import sigmoid
 from .words import Words, slices
 
@@ -143,7 +143,11 @@ def _plain(model: dict) -> str:
 
 
 def fit(labelled: DataFrame, most: int = 20_000) -> dict:
-    """labelled (doc_id, text, label 0/1) -> the lookup tables, a few thousand numbers."""
+    """labelled (doc_id, text, label 0/1) -> the lookup tables, a few thousand numbers.
+
+    Rows whose text or label is null teach nothing; rows that repeat doc_id and text count once. About `most` rows at most are
+    used, chosen by the hash of doc_id and text. Without rows of both labels every text gets the smoothed rate of label 1.
+    """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +163,7 @@ def fit(labelled: DataFrame, most: int = 20_000) -> dict:
         yield pa.RecordBatch.from_arrays([pa.array([_plain(model)])], names=["model"])
 
     known = labelled.filter("label is not null and text is not null")
-    chosen = hash_sample(known, "doc_id", most).select("doc_id", F.col("text").cast("binary").alias("text"), F.col("label").cast("int").alias("label"))
+    chosen = distinct_sample(known, ["doc_id", "text"], most).select("doc_id", F.col("text").cast("binary").alias("text"), F.col("label").cast("int").alias("label"))
     rows = chosen.mapInArrow(measure, "doc_id long, x array<double>, y int").repartition(1).sortWithinPartitions("doc_id", "x")
     found = rows.mapInArrow(train, "model string").first()
     model = json.loads(found.model if found else _plain(fit_tables(np.empty((0, len(FEATURES))), np.empty(0))))
@@ -167,7 +171,11 @@ def fit(labelled: DataFrame, most: int = 20_000) -> dict:
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with a column quality_score (0 to 1); null and empty texts are scored by zero features."""
+    """docs with a column quality_score (0 to 1); null and empty texts are scored by zero features.
+
+    Rows that repeat are scored each; further columns stay, but a column quality_score is replaced; long texts count whole; an
+    empty table gives an empty table.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # lookup tables: bounded by features and bins
     docs = docs.drop("quality_score")
     own = docs.columns

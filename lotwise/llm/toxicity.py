@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hash_sample
+from .shared import distinct_sample
 from .words import U64, Words, mix, slices
 
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 1.0
@@ -61,7 +61,11 @@ class Ftrl:
 
 
 def fit(labelled: DataFrame, bits: int = BITS, epochs: int = EPOCHS, most: int = MOST) -> DataFrame:
-    """labelled (doc_id, text, label 0/1) -> (slot, weight) of the weights that are not 0; the constant has slot 2^bits."""
+    """labelled (doc_id, text, label 0/1) -> (slot, weight) of the weights that are not 0; the constant has slot 2^bits.
+
+    Rows whose text or label is null teach nothing; rows that repeat doc_id and text count once. About `most` rows at most are
+    used, chosen by the hash of doc_id and text. Without any row there are no weights.
+    """
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, labels = [], []
@@ -84,12 +88,16 @@ def fit(labelled: DataFrame, bits: int = BITS, epochs: int = EPOCHS, most: int =
         yield pa.RecordBatch.from_arrays([pa.array(at[w != 0]), pa.array(w[w != 0])], names=["slot", "weight"])
 
     known = labelled.filter("label is not null and text is not null")
-    chosen = hash_sample(known, "doc_id", most).select("doc_id", F.col("text").cast("binary").alias("text"), F.col("label").cast("int").alias("label"))
+    chosen = distinct_sample(known, ["doc_id", "text"], most).select("doc_id", F.col("text").cast("binary").alias("text"), F.col("label").cast("int").alias("label"))
     return chosen.repartition(1).sortWithinPartitions("doc_id", "text").select("text", "label").mapInArrow(train, "slot long, weight double")
 
 
 def score(docs: DataFrame, weights: DataFrame, bits: int = BITS) -> DataFrame:
-    """docs with a column toxicity (0 to 1). A null or empty text has the score of the constant alone."""
+    """docs with a column toxicity (0 to 1). A null or empty text has the score of the constant alone.
+
+    Rows that repeat are scored each; further columns stay, but a column toxicity is replaced; long texts count whole; an
+    empty table gives an empty table.
+    """
     table = np.zeros((1 << bits) + 1)
     for row in weights.toLocalIterator():  # at most 2^bits + 1 short rows
         table[row.slot] = row.weight
@@ -120,7 +128,7 @@ def score(docs: DataFrame, weights: DataFrame, bits: int = BITS) -> DataFrame:
 def labelled_documents(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most: int) -> DataFrame:
     """(doc_id, text, label) of a bounded, repeatable choice of the labelled rows that are not held out."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).filter(~held_out).groupBy("doc_id").agg(F.max(label).alias("label"))
-    few = hash_sample(known, "doc_id", most)
+    few = distinct_sample(known, ["doc_id"], most)
     return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most `most` rows
 
 

@@ -87,14 +87,14 @@ def binary_parts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def slices(col: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of rows with about `most` bytes: first row, end row, their bytes, their offsets. A longer text comes alone and whole."""
+def slices(col: pa.Array, most: int = 1 << 20, rows: int = 1 << 14) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of at most `rows` rows with about `most` bytes: first row, end row, their bytes, their offsets. A longer text comes alone and whole."""
     if not len(col):
         return
     data, offsets = binary_parts(col)
     lo = 0
     while lo < len(col):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1)
+        hi = max(lo + 1, min(lo + rows, int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1))
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 
