@@ -10,7 +10,7 @@ forty; the counts of such a pair add up).
 
 Documents are dealt by hash into blocks of bounded size, and their n-grams exploded into rows (block, gram, n): an n-gram is
 counted in its block before anything is shuffled by it, so a frequent one costs one row a block, however many documents have
-it, and no key is hot. The count table is partitioned by the leading bits of the hash and joined to the blocks' rows; totals
+it, and no key is hot. The count table is partitioned by the hash and joined to the blocks' rows; totals
 that a block doesn't have already go back to it as rows, are joined there with its exploded words, and the logs are summed
 per document.
 """
@@ -28,9 +28,7 @@ from .shared import materialise
 from .words import C1, U64, Words, grams, mix, slices
 
 #: Text of a block.
-BLOCK_BYTES = 16 << 20
-#: Leading bits of a hash that partition the count table.
-BUCKET_BITS = 20
+BLOCK_BYTES = 32 << 20
 
 
 def exploded(text: pa.ChunkedArray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -51,10 +49,9 @@ def exploded(text: pa.ChunkedArray, order: int) -> tuple[list[np.ndarray], np.nd
     return [np.concatenate([none, *x]) for x in found], np.cumsum(np.concatenate(sizes))
 
 
-def block_counts(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of 1 to order words of a block's texts, in order of their hashes, and how often each occurs."""
-    keys = np.concatenate(exploded(table.column("text"), order)[0])
-    return np.unique(keys[keys > 0], return_counts=True)
+def block_counts(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a block's texts, in order of their hashes, and how often each occurs."""
+    return np.unique(np.concatenate([k[k > 0] for k in keys]), return_counts=True)
 
 
 def stupid_backoff(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, order: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -72,20 +69,19 @@ def stupid_backoff(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, orde
     blocked = docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")).repartition(partitions, "block")
 
     def count(table: pa.Table) -> pa.Table:
-        keys, n = block_counts(table, order)
+        keys, n = block_counts(exploded(table.column("text"), order)[0])
         block = np.full(len(keys), table.column("block")[0].as_py() if len(table) else 0, np.int64)
         return pa.table({"block": block, "gram": keys.view(np.int64), "n": n})
 
     # The count table, partitioned by hash; both sides of the join come from one shuffle of the blocks' rows.
-    held = blocked.groupBy("block").applyInArrow(count, "block long, gram long, n long")
-    held = held.withColumn("bucket", F.shiftrightunsigned("gram", 64 - BUCKET_BITS).cast("int")).repartition(partitions, "bucket")
-    counts = held.groupBy("bucket", "gram").agg(F.sum("n").alias("total"), F.count("*").alias("blocks")).filter("blocks > 1").drop("blocks")
-    # A bucket's share of the table is bounded by the number of partitions, which grows with the input.
-    totals = held.join(counts.hint("shuffle_hash"), ["bucket", "gram"]).select("block", "gram", "total")
+    held = blocked.groupBy("block").applyInArrow(count, "block long, gram long, n long").repartition(partitions, "gram")
+    counts = held.groupBy("gram").agg(F.sum("n").alias("total"), F.count("block").alias("blocks")).filter("blocks > 1").drop("blocks")
+    # A partition's share of the table is bounded, as there are more partitions with more input.
+    totals = held.join(counts.hint("shuffle_hash"), "gram").filter("total > n").select("block", "gram", "total")
 
     def score(table: pa.Table, told: pa.Table) -> pa.Table:
         keys, bounds = exploded(table.column("text"), order)
-        own, n = block_counts(table, order)
+        own, n = block_counts(keys)
         at = np.searchsorted(own, told.column("gram").to_numpy().view(U64))
         n[at] = told.column("total").to_numpy()
         count_of = [n[np.searchsorted(own, np.where(k > 0, k, own[0] if len(own) else k))] * (k > 0) if len(own) else n for k in keys]

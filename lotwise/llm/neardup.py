@@ -9,12 +9,12 @@ Steps, all of them DataFrame stages:
 1. `signatures`: one pass over the texts gives the set size, a digest of the whole shingle set, the 2 * t halves, and a
    sketch: two bits of each minhash.
 2. Rows with equal digests are one class (aggregated before the shuffle, so thousands of copies cost one row a task). A class
-   goes by its digest, never by a doc_id, which may repeat; the table step goes by 8 bytes of it (`cid`), where a clash
-   would only put two classes into one family.
+   goes by its digest, never by a doc_id, which may repeat; its number `cid` is a hash of the digest by a seed under which no
+   two classes clash.
 3. Halves that no other class has are dropped; the rest are paired into table keys. A table's members are compared with its
-   least member by their sketches: those that agree are linked. A table whose members are not all in one cluster after that
-   is looked into: in a task of its own (dealt into parts, if it is large) all its sketches are compared, and a spanning
-   forest of those that agree comes out. So a pair that meets in a table and whose sketches agree is in one *family*, and
+   least member by their sketches: those that agree are linked. A table of which not all members agree with the least is
+   looked into: in a task of its own (dealt into parts, if it is large) all its sketches are compared, and a spanning forest
+   of those that agree comes out. So a pair that meets in a table and whose sketches agree is in one *family*, and
    pairs of low similarity, of which a table also holds some, join no families. The sketches of a pair at 0.75 agree but for
    about 3 in a million.
 4. `verify`: full shingle sets are intersected through an inverted index. A family is dealt into parts of even size; each
@@ -123,9 +123,11 @@ def _classes(signed: DataFrame) -> DataFrame:
     """One row for each distinct shingle set: its digest and cid, and its row of the least (doc_id, text_hash)."""
     rows = signed.filter("digest is not null and doc_id is not null")
     first = [F.first(c).alias(c) for c in ("n_shingles", "left", "right", "sketch")]
-    grouped = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), *first)
-    cid = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
-    return grouped.select("digest", cid.alias("cid"), F.col("rep.doc_id").alias("rep"), F.col("rep.text_hash").alias("rep_hash"), "n_shingles", "left", "right", "sketch")
+    grouped = materialise(rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("text_hash", F.struct("doc_id", "text_hash")).alias("rep_hash"), *first), "classes")
+    seed = 0
+    while not grouped.groupBy(F.xxhash64("digest", F.lit(seed))).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        seed += 1
+    return grouped.withColumn("cid", F.xxhash64("digest", F.lit(seed)))
 
 
 def _tables(classes: DataFrame) -> DataFrame:
@@ -152,19 +154,20 @@ def _agreeing(ours: np.ndarray, theirs: np.ndarray, most: int) -> np.ndarray:
 
 
 def _forest(table: pa.Table, most: int) -> pa.Table:
-    """A spanning forest, between clusters, of the members whose sketches agree."""
+    """A spanning forest of the members whose sketches agree."""
     table = table.combine_chunks()
-    cid, label = table.column("cid").to_numpy(), table.column("label").to_numpy()
+    cid = table.column("cid").to_numpy()
     flat = table.column("sketch").combine_chunks().flatten().to_numpy().view(U64)
     sketch = flat.reshape(len(cid), -1) if len(cid) else flat.reshape(0, 1)
-    names, tree = np.unique(label, return_inverse=True)
+    tree = np.arange(len(cid))
     edges = []
     for i in range(len(cid)):
         other = np.flatnonzero(tree != tree[i])
         if not len(other):
             continue
-        for t in np.unique(tree[other[_agreeing(sketch[other], sketch[i], most)]]):
-            edges.append((names[tree[i]], names[t]))
+        near = other[_agreeing(sketch[other], sketch[i], most)]
+        for t in np.unique(tree[near]):
+            edges.append((cid[i], cid[t]))  # a tree goes by the place of one of its members
             tree[tree == t] = tree[i]
     return pa.table({"a": pa.array([x for x, _ in edges], pa.int64()), "b": pa.array([y for _, y in edges], pa.int64())})
 
@@ -173,36 +176,25 @@ def _families(classes: DataFrame, h: int, t: int) -> DataFrame:
     """(cid, family) of the classes that are linked by sketches that agree with those of others of their tables."""
     most = differing(h, t)
     tables = materialise(_tables(classes), "tables")
-    heads = tables.groupBy("key").agg(F.min(F.struct("cid", "sketch")).alias("head"), F.max("cid").alias("last"))
-    heads = heads.filter("head.cid < last").select("key", F.col("head.cid").alias("head"), F.col("head.sketch").alias("head_sketch"))
+    heads = tables.groupBy("key").agg(F.min(F.struct("cid", "sketch")).alias("head"), F.count("*").alias("n")).filter("n > 1")
+    parts = F.ceil(F.col("n") / PART_SKETCHES).cast("int").alias("parts")
+    heads = heads.select("key", F.col("head.cid").alias("head"), F.col("head.sketch").alias("head_sketch"), parts)
     differ = F.lit(0)
     for i in range(sketch_longs(h, t)):
         x = F.get("sketch", F.lit(i)).bitwiseXOR(F.get("head_sketch", F.lit(i)))
         differ = differ + F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    asked = spread_join(tables, heads, ["key"], ["cid"]).filter("cid <> head").select("key", "cid", "head", (differ <= most).alias("agrees"))
+    asked = spread_join(tables, heads, ["key"], ["cid"]).filter("cid <> head").select("key", "cid", "head", "parts", (differ <= most).alias("agrees"))
     asked = materialise(asked, "asked")
-    strong = asked.filter("agrees").select(F.col("cid").alias("a"), F.col("head").alias("b")).distinct()
-    clusters = materialise(connected_components(strong), "clusters")
-
-    # Tables whose members are not all in one cluster yet.
-    label = lambda name: clusters.select(F.col("node").alias(name), F.col("component").alias(f"{name}_label"))
-    apart = asked.filter("not agrees").join(label("cid"), "cid", "left").join(label("head"), "head", "left")
-    apart = apart.filter(~F.coalesce("cid_label", "cid").eqNullSafe(F.coalesce("head_label", "head")))
-    mixed = apart.groupBy("key").agg(F.count("*").alias("n")).select("key")
-    members = spread_join(tables, mixed, ["key"], ["cid"]).join(label("cid"), "cid", "left")
-    members = materialise(members.select("key", "cid", F.coalesce("cid_label", "cid").alias("label"), "sketch"), "mixed")
-    parts = members.groupBy("key").agg(F.ceil(F.count("*") / PART_SKETCHES).cast("int").alias("parts"))
-    dealt = _in_pairs(spread_join(members, parts, ["key"], ["cid"]), "cid").select("key", "p", "q", "cid", "label", "sketch")
+    mixed = asked.filter("not agrees").groupBy("key").agg(F.max("parts").alias("parts"))
+    dealt = _in_pairs(spread_join(tables, mixed, ["key"], ["cid"]), "cid").select("key", "p", "q", "cid", "sketch")
 
     def forest(table: pa.Table) -> pa.Table:
         return _forest(table, most)
 
-    found = materialise(dealt.groupBy("key", "p", "q").applyInArrow(forest, "a long, b long").distinct(), "forest")
-    between = connected_components(found).select(F.col("node").alias("label"), F.col("component").alias("family"))
-    linked = clusters.select(F.col("node").alias("cid"), F.col("component").alias("label"))
-    alone = between.select(F.col("label").alias("cid"), "label")  # a class of no cluster is its own label
-    out = materialise(linked.union(alone).distinct().join(between, "label", "left").select("cid", F.coalesce("family", "label").alias("family")), "families")
-    discard(tables, asked, clusters, members, found)
+    found = dealt.groupBy("key", "p", "q").applyInArrow(forest, "a long, b long")
+    edges = asked.filter("agrees").select(F.col("cid").alias("a"), F.col("head").alias("b")).union(found)
+    out = connected_components(edges).select(F.col("node").alias("cid"), F.col("component").alias("family"))
+    discard(tables, asked)
     return out
 
 
@@ -249,67 +241,73 @@ def _links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
 
 
 def _verify(table: pa.Table, k: int, percent: int) -> pa.Table:
+    """(a, b) of the links found; with b null the members of a family of several parts that are not connected with its hub."""
     table = table.combine_chunks()
-    digests = table.column("digest").to_pylist()
-    sets: dict[bytes, np.ndarray] = {}
+    cids, digests = table.column("cid").to_pylist(), table.column("digest").to_pylist()
+    sets: dict[int, np.ndarray] = {}
     n = 0
     for _, _, buf, offsets in slices(table.column("text").combine_chunks()) if len(table) else ():
         for s in shingle_sets(buf, offsets, k):
-            if digests[n] not in sets and digest(s) == digests[n]:
-                sets[digests[n]] = s
+            if cids[n] not in sets and digest(s) == digests[n]:
+                sets[cids[n]] = s
             n += 1
     ids = list(sets)
     edges = [(ids[i], ids[j]) for i, j in _links(list(sets.values()), percent)] if len(ids) > 1 else []
-    return pa.table({"a": pa.array([x for x, _ in edges], pa.binary()), "b": pa.array([y for _, y in edges], pa.binary())})
+    if len(table) and table.column("parts")[0].as_py() > 1:
+        near, grown = {table.column("hub")[0].as_py()}, True
+        while grown:
+            more = {x for e in edges if (e[0] in near) != (e[1] in near) for x in e}
+            grown = not more <= near
+            near |= more
+        edges += [(x, None) for x in ids if x not in near]
+    return pa.table({"a": pa.array([x for x, _ in edges], pa.int64()), "b": pa.array([y for _, y in edges], pa.int64())})
 
 
 def _links_of(docs: DataFrame, classes: DataFrame, families: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): digests of linked classes, enough of them to connect all that are linked."""
+    """(a, b): cids of linked classes, enough of them to connect all that are linked."""
     members = classes.select("digest", "cid", "rep", "rep_hash", "n_shingles").join(families, "cid")
-    sizes = members.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.min("digest").alias("hub")).filter("n > 1")
+    sizes = members.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.min("cid").alias("hub"))
     parts = F.greatest(F.ceil(F.col("n") / PART_TEXTS), F.ceil(F.col("weight") / PART_SHINGLES)).cast("int")
-    dealt = spread_join(members, sizes.select("family", "hub", parts.alias("parts")), ["family"], ["digest"])
-    dealt = materialise(dealt.select("digest", "rep", "rep_hash", "family", "hub", "parts", F.pmod(F.xxhash64("digest"), "parts").cast("int").alias("part")), "dealt")
+    dealt = spread_join(members, sizes.select("family", "hub", parts.alias("parts")), ["family"], ["cid"])
+    dealt = materialise(dealt.select("cid", "digest", "rep", "rep_hash", "family", "hub", "parts", F.pmod(F.xxhash64("cid"), "parts").cast("int").alias("part")), "dealt")
 
     # Texts of members only: a bounded filter leaves nearly all others where they are, and no other text is shuffled.
     place = F.xxhash64("rep", "rep_hash").alias("place")
     asked = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("rep_hash"), F.col("text").cast("binary").alias("text"))
     asked = marked_by_filter(asked.withColumn("place", place), "place", key_filter(dealt.select(place), "place")).filter("_maybe").drop("_maybe", "place")
     # Members grow with the corpus, so this join is never a broadcast, however small the first inputs are.
-    texts = materialise(asked.join(dealt.hint("merge"), ["rep", "rep_hash"]).select("digest", "text", "family", "hub", "parts", "part"), "texts")
+    texts = materialise(asked.join(dealt.hint("merge"), ["rep", "rep_hash"]).select("cid", "digest", "text", "family", "hub", "parts", "part"), "texts")
 
     def verify(table: pa.Table) -> pa.Table:
         return _verify(table, words, percent)
 
+    columns = ["cid", "digest", "text", "hub", "parts"]
     all_parts = F.sequence(F.lit(0), F.col("parts") - 1)
-    met = texts.withColumn("part", F.explode(F.when(F.col("digest") == F.col("hub"), all_parts).otherwise(F.array("part"))))
-    first = materialise(met.select("family", "part", "digest", "text").groupBy("family", "part").applyInArrow(verify, "a binary, b binary"), "links")
+    met = texts.withColumn("part", F.explode(F.when(F.col("cid") == F.col("hub"), all_parts).otherwise(F.array("part"))))
+    first = materialise(met.select("family", "part", *columns).groupBy("family", "part").applyInArrow(verify, "a long, b long"), "links")
+    out = first.filter("b is not null")
+    apart = first.filter("b is null").select(F.col("a").alias("cid"))
+    if apart.isEmpty():
+        discard(dealt, texts)
+        return out
 
     # What its part and the hub have not connected with the hub meets all parts of the family.
-    large = texts.filter("parts > 1").select("digest", "family", "hub", "parts", "part")
-    found = materialise(connected_components(first), "linked")
-    label = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"{name}_label"))
-    far = large.join(label("digest"), "digest", "left").join(label("hub"), "hub", "left")
-    far = far.filter(~F.coalesce("digest_label", "digest").eqNullSafe(F.coalesce("hub_label", "hub"))).select("digest", "family").distinct()
+    far = texts.join(apart.distinct(), "cid", "left_semi").select("cid", "family").distinct()
     rounds = far.groupBy("family").agg(F.ceil(F.count("*") / PART_TEXTS).cast("int").alias("rounds"))
-    far = materialise(spread_join(far, rounds, ["family"], ["digest"]), "far")
-    stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    if far.isEmpty():
-        discard(dealt, texts, first, far)
-        return stars
-    theirs = far.select("digest", F.pmod(F.xxhash64("digest", F.lit(1)), "rounds").cast("int").alias("round"))
-    ours = texts.join(theirs, "digest").withColumn("part", F.explode(all_parts)).select("family", "round", "part", "digest", "text")
-    others = spread_join(texts, far.select("family", "rounds").distinct(), ["family"], ["digest"])
-    others = others.withColumn("round", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1))).select("family", "round", "part", "digest", "text")
-    second = ours.union(others).groupBy("family", "round", "part").applyInArrow(verify, "a binary, b binary")
-    out = materialise(stars.union(second), "links")
-    discard(dealt, texts, first, found, far)
+    far = materialise(spread_join(far, rounds, ["family"], ["cid"]), "far")
+    theirs = far.select("cid", F.pmod(F.xxhash64("cid", F.lit(1)), "rounds").cast("int").alias("round"))
+    ours = texts.join(theirs, "cid").withColumn("part", F.explode(all_parts)).select("family", "round", "part", *columns)
+    others = spread_join(texts, far.select("family", "rounds").distinct(), ["family"], ["cid"])
+    others = others.withColumn("round", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1))).select("family", "round", "part", *columns)
+    second = ours.union(others).groupBy("family", "round", "part").applyInArrow(verify, "a long, b long")
+    out = materialise(out.union(second.filter("b is not null")), "links")
+    discard(dealt, texts, first, far)
     return out
 
 
 def _signed_and_linked(docs: DataFrame, words: int, percent: int, h: int, t: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     signed = materialise(signatures(docs, words, h, t), "signed")
-    classes = materialise(_classes(signed), "classes")
+    classes = _classes(signed)
     return signed, classes, _links_of(docs, classes, _families(classes, h, t), words, percent)
 
 
@@ -322,10 +320,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, h: int =
     """
     signed, classes, links = _signed_and_linked(docs, words, percent, h, t)
     rows = signed.filter("digest is not null and doc_id is not null").select("doc_id", "digest")
-    several = rows.groupBy("doc_id").agg(F.min("digest").alias("least"), F.max("digest").alias("last")).filter("least < last")
-    same = rows.join(several, "doc_id").select(F.col("digest").alias("a"), F.col("least").alias("b"))
-    groups = materialise(connected_components(links.union(same)), "groups")
-    named = classes.select("digest", "rep").join(groups, classes.digest == groups.node, "left").withColumn("component", F.coalesce("component", "digest"))
+    several = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    many = rows.join(several, "doc_id").distinct().join(classes.select("digest", "cid"), "digest")
+    least = many.groupBy("doc_id").agg(F.min("cid").alias("least"))
+    same = many.join(least, "doc_id").select(F.col("cid").alias("a"), F.col("least").alias("b"))
+    groups = connected_components(links.union(same))
+    named = classes.select("digest", "cid", "rep").join(groups, classes.cid == groups.node, "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
     named = spread_join(named.select("digest", "component"), least, ["component"], ["digest"]).select("digest", "least")
     out = spread_join(signed.select("doc_id", "n_shingles", "digest"), named, ["digest"], ["doc_id"], "left")
@@ -341,8 +341,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, h:
     of further columns do no harm; an empty table gives an empty table.
     """
     signed, classes, links = _signed_and_linked(docs, words, percent, h, t)
-    groups = materialise(connected_components(links), "groups")
-    named = classes.select("digest", "rep", "rep_hash").join(groups, classes.digest == groups.node, "left").withColumn("component", F.coalesce("component", "digest"))
+    groups = connected_components(links)
+    named = classes.select("digest", "cid", "rep", "rep_hash").join(groups, classes.cid == groups.node, "left").withColumn("component", F.coalesce("component", "cid"))
     first = named.groupBy("component").agg(F.min(F.struct("rep", "digest", "rep_hash")).alias("first"))
     first = first.select("first.digest", F.col("first.rep").alias("doc_id"), F.col("first.rep_hash").alias("text_hash"), F.lit(True).alias("stays"))
     rows = signed.filter("digest is not null and doc_id is not null").groupBy("doc_id", "text_hash", "digest").agg(F.count("*").alias("n"))

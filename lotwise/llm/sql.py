@@ -63,26 +63,31 @@ def _canon(table: str, key: str) -> str:
     return f"SELECT {key}, rid, string_split(own, ' ') AS own, string_split({canon}, ' ') AS canon FROM (SELECT {key}, row_number() OVER () AS rid, {own} AS own FROM {table})"
 
 
+def _folded(tokens: str) -> str:
+    return f"list_transform({tokens}, lambda x: lower(replace(x, chr(57344), '')))"
+
+
 DECONTAMINATION = f"""
 WITH d AS ({_canon("documents", "doc_id")}),
 b AS ({_canon("benchmark", "item_id")}),
 bw AS (SELECT item_id, size, spot, own[spot:spot + size - 1] AS own, canon[spot:spot + size - 1] AS canon
        FROM (SELECT *, least(len(canon), 10) AS size, unnest(range(1, len(canon) - least(len(canon), 10) + 2)) AS spot FROM b WHERE len(canon) >= {LEAST_TOKENS})),
-held AS (SELECT *, array_to_string(canon, ' ') AS key FROM bw WHERE 2 * len(list_filter(canon, lambda x: NOT starts_with(x, '#'))) >= size),
-dw AS (SELECT doc_id, rid, size, place, own[place:place + size - 1] AS own, array_to_string(canon[place:place + size - 1], ' ') AS key
+held AS (SELECT *, array_to_string(canon, ' ') AS key, array_to_string({_folded("own")}, ' ') AS literal,
+                2 * len(list_filter(canon, lambda x: NOT starts_with(x, '#'))) >= size AS telling FROM bw),
+dw AS (SELECT doc_id, rid, size, place, own[place:place + size - 1] AS own, array_to_string(canon[place:place + size - 1], ' ') AS key,
+              array_to_string({_folded("own[place:place + size - 1]")}, ' ') AS literal
        FROM (SELECT d.*, s.size, unnest(range(1, len(canon) - s.size + 2)) AS place FROM d, (SELECT DISTINCT size FROM held) s WHERE len(canon) >= s.size)),
-hit AS (SELECT dw.doc_id, dw.rid, held.item_id, dw.place, dw.place - held.spot AS diagonal, held.own AS ours, dw.own AS theirs, held.canon
-        FROM dw JOIN held ON held.key = dw.key AND held.size = dw.size),
-slot AS (SELECT DISTINCT doc_id, rid, item_id, diagonal, lower(ours[k]) AS ours, lower(theirs[k]) AS theirs
-         FROM (SELECT *, unnest(range(1, len(canon) + 1)) AS k FROM hit) WHERE starts_with(canon[k], '#')),
-slots AS (SELECT doc_id, rid, item_id, diagonal, count(*) AS n, count(DISTINCT ours) AS a, count(DISTINCT theirs) AS b, count(*) FILTER (WHERE ours <> theirs) AS c
-          FROM slot GROUP BY ALL),
-line AS (SELECT doc_id, rid, item_id, diagonal, count(DISTINCT place) AS n, min(place) AS first FROM hit GROUP BY ALL)
-SELECT l.doc_id, l.item_id, CAST(sum(l.n) AS BIGINT) AS n_windows, CAST(min(l.first) AS INTEGER) AS first_token,
-       CAST(sum(coalesce(s.n, 0)) AS BIGINT) AS n_slots, CAST(sum(coalesce(s.c, 0)) AS BIGINT) AS n_changed
-FROM line l LEFT JOIN slots s ON s.doc_id IS NOT DISTINCT FROM l.doc_id AND s.rid = l.rid AND s.item_id = l.item_id AND s.diagonal = l.diagonal
-WHERE coalesce(s.n = s.a AND s.n = s.b, true)
-GROUP BY l.doc_id, l.item_id
+met AS (SELECT dw.rid, dw.place, held.item_id, held.size, held.spot FROM dw JOIN held ON held.key = dw.key AND held.size = dw.size WHERE telling
+        UNION SELECT dw.rid, dw.place, held.item_id, held.size, held.spot FROM dw JOIN held ON held.literal = dw.literal AND held.size = dw.size),
+hit AS (SELECT dw.doc_id, met.rid, met.item_id, met.place, met.place - met.spot AS diagonal, held.canon, {_folded("held.own")} AS ours,
+               CASE WHEN held.literal = dw.literal THEN {_folded("held.own")} ELSE {_folded("dw.own")} END AS theirs
+        FROM met JOIN held ON held.item_id = met.item_id AND held.size = met.size AND held.spot = met.spot JOIN dw ON dw.rid = met.rid AND dw.size = met.size AND dw.place = met.place),
+slotted AS (SELECT *, list_distinct(list_transform(list_filter(range(1, len(canon) + 1), lambda k: starts_with(canon[k], '#')), lambda k: [ours[k], theirs[k]])) AS slots FROM hit),
+sound AS (SELECT * FROM slotted WHERE len(slots) = len(list_distinct(list_transform(slots, lambda x: x[1]))) AND len(slots) = len(list_distinct(list_transform(slots, lambda x: x[2])))),
+line AS (SELECT doc_id, rid, item_id, diagonal, count(DISTINCT place) AS n, min(place) AS first, list_distinct(flatten(list(slots))) AS slots FROM sound GROUP BY doc_id, rid, item_id, diagonal)
+SELECT doc_id, item_id, CAST(sum(n) AS BIGINT) AS n_windows, CAST(min(first) AS INTEGER) AS first_token,
+       CAST(sum(len(slots)) AS BIGINT) AS n_slots, CAST(sum(len(list_filter(slots, lambda x: x[1] <> x[2]))) AS BIGINT) AS n_changed
+FROM line GROUP BY doc_id, item_id
 """
 
 ORACLE_SQL = {
