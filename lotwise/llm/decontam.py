@@ -159,6 +159,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> Da
     Null and empty texts stay; rows that repeat go or stay together; either table may be empty.
     """
     text_id = F.xxhash64("text")
-    wrapped = docs.select(F.struct(*docs.columns).alias("row"), text_id.alias("text_id"))
+    wrapped = docs.select(F.struct("*").alias("row"), text_id.alias("text_id"))
     bad = leaks(docs.select(text_id.alias("doc_id"), "text"), items, window).select(F.col("doc_id").alias("text_id")).distinct()
     return wrapped.join(bad, "text_id", "left_anti").select("row.*")

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from .shared import distinct_sample
 from .words import BYTE, U64, mix, slices, stream
@@ -108,7 +109,7 @@ def fit(labelled: DataFrame, clusters: int = 4, most: int = 1000) -> dict:
         x = np.array([np.frombuffer(r.as_py(), np.float32) for r in table.column("x")], np.float32)
         c, radius = spherical_kmeans(normalised(x * idf), clusters)
         vectors = pa.array([v.astype(np.float32).tobytes() for v in c], pa.binary())
-        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * len(c), pa.string()), "v": vectors, "radius": pa.array(radius)})
+        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * len(c), pa.string()), "v": vectors, "radius": pa.array(radius.astype(float))})
 
     chosen = distinct_sample(known, ["text"], most, ["lang"]).select(F.col("text").cast("binary").alias("text"), "lang")
     rows = chosen.mapInArrow(measure, "x binary, lang string").select("x", "lang", F.xxhash64("x").alias("h"))
@@ -147,7 +148,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
             columns = [*(batch.column(k) for k in range(len(own))), pa.array(langs, pa.string()), pa.array(cosine), pa.array(far)]
             yield pa.RecordBatch.from_arrays(columns, names=[*own, "lang_pred", "lang_score", "lang_rejected"])
 
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
+    learnt = [StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()), StructField("lang_rejected", BooleanType())]
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     wide = docs.select("*", F.col("text").cast("binary").alias("__bytes"), letters.alias("__letters"))
-    return wide.mapInArrow(run, f"{kinds}lang_pred string, lang_score double, lang_rejected boolean")
+    return wide.mapInArrow(run, StructType([*docs.schema.fields, *learnt]))

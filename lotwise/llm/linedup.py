@@ -118,7 +118,7 @@ def _kept(docs: DataFrame, min_docs: int, min_chars: int, batches: int, fan_in:
     """(row, lines, kept) of the documents that may lose lines, and (row) of the others; row is the whole row of docs."""
     places = _places(docs, min_docs, min_chars, batches, fan_in)
     key = F.xxhash64("doc_id", "text_hash").alias("key")
-    wrapped = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), lines_of(F.col("text")).alias("lines"))
+    wrapped = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), lines_of(F.col("text")).alias("lines"))
     asked = marked_by_filter(wrapped.withColumn("key", key), "key", key_filter(places.select(key), "key"))
     ours, gone = asked.filter("_maybe"), places.select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"), "places")
     joined = ours.join(gone, ours["doc_id"].eqNullSafe(gone["_i"]) & (ours["text_hash"] == gone["_h"]), "left")

@@ -28,30 +28,32 @@ from .shared import materialise
 from .words import C1, U64, Words, grams, mix, slices
 
 #: Text of a block.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
 
 
-def exploded(text: pa.ChunkedArray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """For n from 1 to order the hashes of the n words that end at each word, 0 where the text has not as many; and the texts' bounds in words."""
-    found: list[list[np.ndarray]] = [[] for _ in range(order)]
-    sizes = [np.zeros(1, np.int64)]
+def word_hashes(text: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of the texts, and the texts' bounds in words."""
+    found, sizes = [np.empty(0, U64)], [np.zeros(1, np.int64)]
     for _, _, buf, offsets in slices(text.combine_chunks()):
         words = Words(buf, offsets)
-        place = np.arange(len(words.hash)) - np.repeat(words.bounds[:-1], np.diff(words.bounds))
-        for n in range(1, order + 1):
-            keys = np.zeros(len(words.hash), U64)
-            run = mix(words.hash ^ C1) if n == 1 else grams(words.hash, n, seed=200 + n)
-            keys[n - 1 :] = np.maximum(run, U64(1))
-            keys[place < n - 1] = 0
-            found[n - 1].append(keys)
+        found.append(words.hash)
         sizes.append(np.diff(words.bounds))
-    none = np.empty(0, U64)
-    return [np.concatenate([none, *x]) for x in found], np.cumsum(np.concatenate(sizes))
+    return np.concatenate(found), np.cumsum(np.concatenate(sizes))
 
 
-def block_counts(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def exploded(words: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the n words that end at each word; 0 where the text has not as many."""
+    keys = np.zeros(len(words), U64)
+    keys[n - 1 :] = np.maximum(mix(words ^ C1) if n == 1 else grams(words, n, seed=200 + n), U64(1))
+    for k in range(n - 1):  # the first words of a text
+        starts = bounds[:-1] + k
+        keys[starts[starts < bounds[1:]]] = 0
+    return keys
+
+
+def block_counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-grams of a block's texts, in order of their hashes, and how often each occurs."""
-    return np.unique(np.concatenate([k[k > 0] for k in keys]), return_counts=True)
+    return np.unique(keys[keys > 0], return_counts=True)
 
 
 def stupid_backoff(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, order: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -69,31 +71,43 @@ def stupid_backoff(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, orde
     blocked = docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")).repartition(partitions, "block")
 
     def count(table: pa.Table) -> pa.Table:
-        keys, n = block_counts(exploded(table.column("text"), order)[0])
-        block = np.full(len(keys), table.column("block")[0].as_py() if len(table) else 0, np.int64)
-        return pa.table({"block": block, "gram": keys.view(np.int64), "n": n})
+        words, bounds = word_hashes(table.column("text"))
+        block, parts = table.column("block")[0].as_py(), []
+        for k in range(1, order + 1):
+            keys, n = block_counts(exploded(words, bounds, k))
+            alike = np.argsort(np.minimum(n, 255).astype(np.uint8), kind="stable")  # rows of equal counts side by side compress better
+            parts.append(pa.table({"block": np.full(len(keys), block, np.int64), "gram": keys[alike].view(np.int64), "n": n[alike]}))
+        return pa.concat_tables(parts)
 
     # The count table, partitioned by hash; both sides of the join come from one shuffle of the blocks' rows.
-    held = blocked.groupBy("block").applyInArrow(count, "block long, gram long, n long").repartition(partitions, "gram")
+    # The filter says what each side of the join would ask for by itself, and so makes their shuffles one.
+    held = blocked.groupBy("block").applyInArrow(count, "block long, gram long, n long")
+    held = held.filter("block is not null and gram is not null and n is not null").repartition(partitions, "gram")
     counts = held.groupBy("gram").agg(F.sum("n").alias("total"), F.count("block").alias("blocks")).filter("blocks > 1").drop("blocks")
     # A partition's share of the table is bounded, as there are more partitions with more input.
     totals = held.join(counts.hint("shuffle_hash"), "gram").filter("total > n").select("block", "gram", "total")
 
     def score(table: pa.Table, told: pa.Table) -> pa.Table:
-        keys, bounds = exploded(table.column("text"), order)
-        own, n = block_counts(keys)
-        at = np.searchsorted(own, told.column("gram").to_numpy().view(U64))
-        n[at] = told.column("total").to_numpy()
-        count_of = [n[np.searchsorted(own, np.where(k > 0, k, own[0] if len(own) else k))] * (k > 0) if len(own) else n for k in keys]
-        size = len(keys[0])
-        log, lost, single = np.log(np.maximum(count_of[0], 1)), np.zeros(size), np.ones(size, bool)
-        for k in range(1, order):
-            has = keys[k] > 0
-            seen = has & (count_of[k] >= min_count)
-            context = np.concatenate(([1], count_of[k - 1][:-1])) if size else count_of[k - 1]
-            log = np.where(seen, np.log(np.maximum(count_of[k], 1) / np.maximum(context, 1)), log)
-            lost = np.where(seen, 0, lost + has)
-            single &= ~seen
+        words, bounds = word_hashes(table.column("text"))
+        grams_told = told.column("gram").to_numpy().view(U64)
+        size, before = len(words), None
+        log, lost, single = np.zeros(size), np.zeros(size), np.ones(size, bool)
+        for k in range(1, order + 1):
+            keys = exploded(words, bounds, k)
+            own, n = block_counts(keys)
+            at = np.minimum(np.searchsorted(own, grams_told), max(len(own) - 1, 0))
+            mine = own[at] == grams_told if len(own) else np.zeros(len(grams_told), bool)
+            n[at[mine]] = told.column("total").to_numpy()[mine]  # what a block isn't told is in no other block
+            count_of = n[np.minimum(np.searchsorted(own, keys), max(len(own) - 1, 0))] * (keys > 0) if len(own) else np.zeros(size, np.int64)
+            if k == 1:
+                log = np.log(np.maximum(count_of, 1))
+            else:
+                seen = (keys > 0) & (count_of >= min_count)
+                context = np.concatenate(([1], before[:-1])) if size else before
+                log = np.where(seen, np.log(np.maximum(count_of, 1) / np.maximum(context, 1)), log)
+                lost = np.where(seen, 0, lost + (keys > 0))
+                single &= ~seen
+            before = count_of
         per_doc = lambda x: np.add.reduceat(np.append(x, 0), bounds[:-1]) * (np.diff(bounds) > 0) if len(bounds) > 1 else np.empty(0)
         return pa.table(
             {

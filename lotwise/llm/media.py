@@ -153,7 +153,7 @@ class ArchiveReader(DataSourceReader):
                     return archive.read(info), None
                 with store.open_input_file(path) as again, zipfile.ZipFile(again) as fresh:
                     return fresh.read(info), None
-            except (OSError, zipfile.BadZipFile, zlib.error) as e:
+            except (OSError, EOFError, RuntimeError, struct.error, zipfile.BadZipFile, zlib.error) as e:
                 error = f"{type(e).__name__}: {e}"
         return None, error
 
@@ -186,22 +186,25 @@ def describe(samples: np.ndarray) -> str:
 
 
 def media_features(members: DataFrame) -> DataFrame:
-    """The digests and the feature of every member, from the bytes read back. A member with an error has nulls."""
+    """The digests and the feature of every member, from the bytes read back. A member that can't be read or decoded has nulls, and its error says why."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda b: hashlib.sha256(b).hexdigest()
         names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
-            rows = []
-            for media in batch.column(3):
+            rows, errors = [], batch.column(4).to_pylist()
+            for i, media in enumerate(batch.column(3)):
                 media = media.as_py()
-                if media is None:
+                try:
+                    payload = None if media is None else decode_png(media)
+                except (ValueError, UnboundLocalError, struct.error, zlib.error) as e:  # one bad image doesn't stop the others
+                    payload, errors[i] = None, f"{type(e).__name__}: {e}"
+                if payload is None:
                     rows.append((None,) * 6)
                     continue
-                payload = decode_png(media)
                 rows.append((len(payload), sha(payload), zlib.crc32(payload[-WIDTH:]), len(media), sha(media), describe(np.frombuffer(payload, np.uint8))))
-            columns = [batch.column(1), batch.column(2), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)), batch.column(4)]
+            columns = [batch.column(1), batch.column(2), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)), pa.array(errors, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", *names, "error"])
 
     return members.select("member", "doc_id", "n_bytes", "media", "error").mapInArrow(
@@ -214,7 +217,7 @@ def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """docs (doc_id, text) through archives in the shared folder and back, one row for each row.
 
     A null text is empty; an empty text is one row of zero samples. Repeated rows and null doc_ids are members of their own;
-    further columns are ignored; an empty table gives an empty table.
+    further columns are ignored; a text of any length is one member, held whole by one task; an empty table gives an empty table.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "media")

@@ -352,7 +352,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, h:
     judged = materialise(judged, "judged")
 
     text_hash = F.xxhash64("text")
-    wrapped = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", text_hash.alias("text_hash"), F.xxhash64("doc_id", text_hash).alias("place"))
+    wrapped = docs.select(F.struct("*").alias("row"), "doc_id", text_hash.alias("text_hash"), F.xxhash64("doc_id", text_hash).alias("place"))
     asked = marked_by_filter(wrapped, "place", key_filter(judged, "place"))
     looked = asked.filter("_maybe and doc_id is not null").join(judged.drop("place"), ["doc_id", "text_hash"], "left")
     single = looked.filter("stays is null").select("row.*")

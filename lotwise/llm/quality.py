@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .shared import distinct_sample
 from .toxicity import sigmoid
@@ -185,5 +186,5 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             x = np.vstack([np.empty((0, len(FEATURES))), *(features(buf, offsets) for _, _, buf, offsets in slices(batch.column(len(own))))])
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(own))), pa.array(add_up(shared.value, x))], names=[*own, "quality_score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.select("*", F.col("text").cast("binary").alias("__bytes")).mapInArrow(run, f"{kinds}, quality_score double")
+    kinds = StructType([*docs.schema.fields, StructField("quality_score", DoubleType())])
+    return docs.select("*", F.col("text").cast("binary").alias("__bytes")).mapInArrow(run, kinds)

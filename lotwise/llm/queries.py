@@ -60,7 +60,7 @@ def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(read(spark, sf_dir, "documents")).drop("error")
+    return media.media_columns(read(spark, sf_dir, "documents"))
 
 
 def op10_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

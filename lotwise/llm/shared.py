@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,14 @@ def materialise(df: DataFrame, name: str, *by: str) -> DataFrame:
     return out
 
 
+def once(spark: SparkSession, make: Callable[[], DataFrame], path: str) -> DataFrame:
+    """The table that make() gives, written to path and read back; what an earlier call wrote there whole is only read."""
+    where, store = path_of_store(spark, f"{path}/_SUCCESS")
+    if not store.exists(where):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def path_of_store(spark: SparkSession, path: str):
     """The Hadoop path and its file system, whatever store it is in."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .shared import distinct_sample
 from .words import U64, Words, mix, slices
@@ -121,8 +122,8 @@ def score(docs: DataFrame, weights: DataFrame, bits: int = BITS) -> DataFrame:
             columns = [batch.column(k) for k in range(len(own))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sigmoid(np.array(out)))], names=[*own, "toxicity"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.select("*", F.col("text").cast("binary").alias("__bytes")).mapInArrow(run, f"{kinds}, toxicity double")
+    kinds = StructType([*docs.schema.fields, StructField("toxicity", DoubleType())])
+    return docs.select("*", F.col("text").cast("binary").alias("__bytes")).mapInArrow(run, kinds)
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most: int) -> DataFrame:
