@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lotwise.llm import decontam, linedup, neardup, packing, toxicity
 from lotwise.llm.queries import held_out, read
-from lotwise.llm.shared import materialise
+from lotwise.llm.shared import materialise, new_path, once
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows scored 0.5 or more go; the model learns from labelled rows among docs that are not held out."""
-    scored = toxicity.score_with_labels(docs, docs, read(spark, sf_dir, "labels"), held_out(5, 0))
-    return scored.filter("toxicity < 0.5").select(*docs.columns)
+    """Rows scored 0.5 or more go; the model learns from labelled rows among docs that are not held out.
+
+    Null and empty texts have the score of the model's constant. Rows that repeat go or stay together. Without labels all
+    scores are 0.5, which says nothing, and all rows stay. A column named toxicity is left as it is.
+    """
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    known = toxicity.labelled_documents(docs, read(spark, sf_dir, "labels"), "toxic", held_out(5, 0), toxicity.MOST)
+    weights = materialise(toxicity.fit(known), "weights")
+    if weights.isEmpty():
+        return docs
+    return toxicity.score(rows, weights).filter("toxicity < 0.5").select("row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,26 +32,32 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row of the least doc_id stays."""
+    """Of each group of near duplicates the row of the least doc_id stays; texts without words and rows without doc_id all stay."""
     return neardup.drop_near_duplicates(docs)
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text holds a passage of a benchmark item, by template, go."""
+    """Rows whose text holds a passage of a benchmark item, by template or word for word, go; null and empty texts stay."""
     return decontam.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every row, placed in sequences of 2,048 tokens; a null or empty text is one piece of the end token."""
     return packing.pack_documents(docs, capacity=2048)
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_dedup", drop_copies), ("decontamination", drop_leaked), ("packing", pack)]
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The stages over documents, each on the table that the one before it wrote.
+
+    With a folder of the shared store, a stage's table lies there under the stage's name, and a run that was stopped goes on
+    after the last stage that was written whole; without, every run has a new folder. An empty table gives an empty table.
+    """
+    docs, folder = read(spark, sf_dir, "documents"), folder or new_path(spark, "pipeline")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        docs = once(spark, partial(stage, spark, docs, sf_dir), f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
