@@ -12,9 +12,9 @@ from ..views import LEDGER, WINS, anchored, ledger, total, wins
 PURCHASED = ("accepted", "contract_published")
 
 
-def dated(rows: DataFrame) -> DataFrame:
-    """rows with `now`, written once: the ledger is a join of several tables, and the plans below read it more than once."""
-    return anchored(written(rows, "ledger"), "awarded_on")
+def dated(rows: DataFrame, *columns: str) -> DataFrame:
+    """Those columns of rows with `now`, written once: the ledger is a join of several tables, and the plans below read it more than once."""
+    return anchored(written(rows.select("awarded_on", *columns), "ledger"), "awarded_on")
 
 
 def skip_reason(rows: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def rank_buyers(rows: DataFrame, top: int | None = 100) -> DataFrame:
     Sums, extremes and counts are aggregated before the shuffle; the name and the winners come from aggregates by
     (buyer, value), so a buyer with a third of all purchases is never one task's list.
     """
-    ok = skip_reason(dated(rows)).filter("skipped is null").drop("skipped")
+    ok = skip_reason(dated(rows, "status", "amount_uzs", "buyer_inn", "buyer_name", "winner", "profile", "subject", "business_id", "feed")).filter("skipped is null").drop("skipped")
     recent = F.col("awarded_on") >= F.date_sub(F.to_date("now"), 365)
     zero = F.lit(0).cast("decimal(20,2)")
     spend = lambda c: F.sum(F.when(c, F.col("amount_uzs")).otherwise(zero))
@@ -66,7 +66,7 @@ def rank_buyers(rows: DataFrame, top: int | None = 100) -> DataFrame:
 
 def skipped_purchases(rows: DataFrame) -> DataFrame:
     """How many purchases the ranking leaves out, by reason."""
-    return skip_reason(dated(rows)).filter("skipped is not null").groupBy(F.col("skipped").alias("reason")).agg(F.count("*").alias("cnt"))
+    return skip_reason(dated(rows, "status", "amount_uzs", "buyer_inn")).filter("skipped is not null").groupBy(F.col("skipped").alias("reason")).agg(F.count("*").alias("cnt"))
 
 
 def coverage(rows: DataFrame) -> DataFrame:
@@ -78,7 +78,10 @@ def coverage(rows: DataFrame) -> DataFrame:
 
 
 def watchlist(decided: DataFrame, top: int = 20) -> DataFrame:
-    """Winners by wins, then money: name, sum, and the exact median of the discounts between 0 and 100 percent."""
+    """Winners by wins, then money: name, sum, and the exact median of the discounts between 0 and 100 percent.
+
+    Discounts are of one decimal, so what a median holds are counts of at most 1,001 values a winner.
+    """
     pct = F.round((F.col("start_price") - F.col("won_price")).cast("double") / F.col("start_price").cast("double") * 100, 1)
     ok = (F.col("start_price") > 0) & (F.col("won_price") > 0) & (F.col("won_price") <= F.col("start_price"))
     out = decided.groupBy("winner_inn").agg(
@@ -100,7 +103,7 @@ def recall(purchases: DataFrame, known: DataFrame) -> DataFrame:
 
 def expected(rows: DataFrame, weeks: int = 6) -> DataFrame:
     """Purchases of the same weeks a year ago, by buyer."""
-    old = dated(rows).filter("buyer_inn is not null and awarded_on >= date_sub(now, 365)").filter(F.col("awarded_on") < F.date_add(F.date_sub("now", 365), 7 * weeks))
+    old = dated(rows, "buyer_inn", "amount_uzs").filter("buyer_inn is not null and awarded_on >= date_sub(now, 365)").filter(F.col("awarded_on") < F.date_add(F.date_sub("now", 365), 7 * weeks))
     return old.groupBy("buyer_inn").agg(F.count("*").alias("cnt"), total("amount_uzs").alias("total"))
 
 
@@ -117,7 +120,7 @@ def feed_health(rows: DataFrame, lag: int = 3) -> DataFrame:
     age = F.datediff(F.date_sub("now", lag), "awarded_on")
     now = F.count_if((age >= 0) & (age < 7))
     mean = F.count_if((age >= 7) & (age < 35)) / 4.0
-    out = dated(rows).groupBy("feed").agg(now.alias("week"), mean.alias("usual"))
+    out = dated(rows, "feed").groupBy("feed").agg(now.alias("week"), mean.alias("usual"))
     return out.withColumn("warn", (F.col("week") == 0) | (F.col("week") < F.col("usual") / 2))
 
 

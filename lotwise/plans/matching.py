@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..session import table
+from ..session import table, written
 from ..views import TENDERS, WINS, tenders, wins
 from . import identity
 from .registry import name_tokens
@@ -41,14 +41,20 @@ def lot_outcomes(alerts: DataFrame, deals: DataFrame, failed: DataFrame, key: st
 
 
 def twins_within(candidates: DataFrame, sent: DataFrame, keys: list[str], time: str, days: int) -> DataFrame:
-    """Candidates without a sent row of the same key within `days` (either side)."""
-    s = sent.select(*[F.col(k).alias(f"s_{k}") for k in keys], F.col(time).alias("s_time"))
-    same = [F.col(k).eqNullSafe(F.col(f"s_{k}")) for k in keys]
-    near = F.abs(F.unix_timestamp(F.col(time).cast("timestamp")) - F.unix_timestamp(F.col("s_time").cast("timestamp"))) <= days * 86400
-    condition = near
-    for c in same:
-        condition = c & condition
-    return candidates.join(s, condition, "left_anti")
+    """Candidates without a sent row of the same key within `days` (either side); rows without a time are near nothing.
+
+    Keys and times that repeat meet once, by equi-joins on the key and on slots of `days`: a key that a third of all rows has
+    meets itself only within neighbouring slots.
+    """
+    second, width = F.unix_timestamp(F.col(time).cast("timestamp")), days * 86400
+    kept, names = [F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], [f"_{i}" for i in range(len(keys))]
+    slot = F.floor(F.col("_at") / max(width, 1))
+    s = sent.select(*kept, second.alias("_at")).filter("_at is not null").distinct().withColumn("_slot", slot)
+    c = candidates.select(*kept, second.alias("_at")).filter("_at is not null").distinct().withColumn("_slot", F.explode(F.array(slot - 1, slot, slot + 1)))
+    same = lambda a, b: reduce(lambda x, n: x & a[n].eqNullSafe(b[n]), names, F.lit(True))
+    met = c.join(s, same(c, s) & (c["_slot"] == s["_slot"]) & (F.abs(c["_at"] - s["_at"]) <= width), "left_semi").drop("_slot").distinct()
+    asked = candidates.select("*", *kept, second.alias("_at"))
+    return asked.join(met, same(asked, met) & (asked["_at"] == met["_at"]), "left_anti").select(*candidates.columns)
 
 
 def twins_or_reposts(candidates: DataFrame, sent: DataFrame, keys: list[str], time: str, deadline: str, days: int) -> DataFrame:
@@ -173,8 +179,13 @@ def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", F.concat(F.lit("code"), F.floor(F.col("p_partkey") / 10))).alias("name"), "p_size")
-    return token_candidates(part.filter("p_size < 25"), part.filter("p_size >= 25"), 4)
+    """Pairs of distinct names by the least part that has each, with how many parts have it: no pair of parts is left out."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.when(F.col("p_type") == "PROMO", "bank holding")).alias("name"), (F.col("p_size") < 25).alias("small"))
+    names = written(part.groupBy("small", "name").agg(F.min("p_partkey").alias("id"), F.count("*").alias("n")), "names")
+    left, right = names.filter("small"), names.filter("not small")
+    found = token_candidates(left, right, 4)
+    counted = found.join(left.select("id", F.col("n").alias("n_left")), "id").join(right.select(F.col("id").alias("other"), F.col("n").alias("n_right")), "other")
+    return counted.select("id", "other", "tokens", "n_left", "n_right")
 
 
 QUERIES = {
@@ -204,10 +215,9 @@ SQL = {
         WHEN contains(n, 'blue bolt') OR contains('blue bolt', n) OR (contains(n, 'blue') AND contains(n, 'bolt')) THEN 'blue bolt' END AS competitor FROM (SELECT *, trim(lower(p_name)) AS n FROM part)""",
     "j13_entities": """WITH a AS (SELECT 'name ' || c_custkey % 700 AS alias, min('e' || c_custkey % 140) AS entity FROM customer GROUP BY 1 HAVING length(alias) >= 8 AND count(DISTINCT c_custkey % 140) = 1)
         SELECT c_custkey, coalesce(CASE WHEN c_custkey % 6 = 0 THEN 'e' || c_custkey % 50 END, a.entity) AS entity FROM customer LEFT JOIN a ON a.alias = 'name ' || c_custkey % 400""",
-    "j16_token_candidates": """WITH p AS (SELECT p_partkey AS id, p_size < 25 AS small, lower(p_name || ' ' || p_brand || ' code' || p_partkey // 10) AS name FROM part),
-        t AS (SELECT DISTINCT id, small, unnest(list_filter(string_split_regex(name, '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 4)) AS token FROM p),
-        l AS (SELECT * FROM t WHERE small QUALIFY count(*) OVER (PARTITION BY token) <= 60), r AS (SELECT * FROM t WHERE NOT small QUALIFY count(*) OVER (PARTITION BY token) <= 60)
-        SELECT l.id, r.id AS other, string_agg(DISTINCT l.token, ',' ORDER BY l.token) AS tokens FROM l JOIN r ON l.token = r.token GROUP BY ALL""",
+    "j16_token_candidates": """WITH n AS (SELECT p_size < 25 AS small, p_name || CASE WHEN p_type = 'PROMO' THEN ' bank holding' ELSE '' END AS name, min(p_partkey) AS id, count(*) AS n FROM part GROUP BY 1, 2),
+        t AS (SELECT DISTINCT id, small, n, unnest(list_filter(string_split_regex(lower(name), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 4 AND x NOT IN ('bank', 'holding'))) AS token FROM n)
+        SELECT l.id, r.id AS other, string_agg(DISTINCT l.token, ',' ORDER BY l.token) AS tokens, l.n AS n_left, r.n AS n_right FROM t l JOIN t r ON l.token = r.token WHERE l.small AND NOT r.small GROUP BY ALL""",
     "j18_twins_within": f"""WITH {TENDERS} SELECT id, organization, collected_at FROM tenders t WHERE status = 'O'
         AND NOT EXISTS (SELECT 1 FROM tenders s WHERE s.status <> 'O' AND s.organization = t.organization AND abs(epoch(s.collected_at) - epoch(t.collected_at)) <= 14 * 86400)""",
     "j18_reposts": f"""WITH {identity.LOTS}, rows AS (SELECT *, TIMESTAMP '2024-01-01' + to_days(CAST(id * 7 % 40 AS INTEGER)) AS created_at FROM lots), {identity._KEYED},

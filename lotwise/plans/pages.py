@@ -179,14 +179,20 @@ _RESULTS = f"r AS (SELECT page_id % 12 AS query, (page_id * 7) % 25 + 1 AS posit
 _POS = f"{_RESULTS}, t AS (SELECT DISTINCT query, CASE WHEN query < 8 THEN 'example.org' ELSE 'm.th' END AS host FROM r), p AS (SELECT query, host, min(position) FILTER (WHERE contains(domain, host)) AS position FROM t LEFT JOIN r USING (query) GROUP BY ALL)"
 
 
+def _tidied(words: str) -> str:
+    return f"list_transform({words}, lambda x: lower(regexp_replace(x, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')))"
+
+
 def _held(c: str) -> str:
     return " + ".join(f"coalesce(contains(lower({c}), '{w}')::INT, 0)" for w in ("er", "thon", "en", "de"))
 
 
 SQL = {
     "s19_page_fields": f"WITH {_PARSED}, {_LINKS} SELECT page_id, domain, title, h1, description, keywords, coalesce(links, '') AS links FROM parsed LEFT JOIN links USING (page_id)",
-    "a56_page_keywords": f"""WITH {_PARSED}, w AS (SELECT DISTINCT page_id, unnest(string_split_regex(lower(concat_ws(' ', title, h1)), '[^\\p{{L}}\\p{{N}}]+')) AS keyword FROM parsed)
-        SELECT keyword, count(*) AS cnt, min(page_id) AS first_page FROM w WHERE length(keyword) >= 4 AND keyword NOT IN ({", ".join(f"'{s}'" for s in STOP_WORDS)}) GROUP BY 1 ORDER BY cnt DESC, keyword LIMIT 30""",
+    "a56_page_keywords": f"""WITH {_PARSED}, w AS (SELECT DISTINCT page_id, unnest(list_concat(
+            CASE WHEN keywords <> '' THEN {_tidied("string_split(keywords, '|')")} ELSE [] END, list_filter({_tidied("string_split_regex(coalesce(title, ''), '[|\\-–—,•·]')")}, lambda x: length(x) > 2),
+            CASE WHEN h1 IS NOT NULL THEN {_tidied("[h1]")} ELSE [] END, list_filter({_tidied("string_split_regex(coalesce(description, ''), '[.,;!?|•·\\-–—]')")}, lambda x: length(x) > 3 AND length(x) < 100))) AS keyword FROM parsed)
+        SELECT keyword, count(*) OVER (PARTITION BY keyword) AS cnt, page_id FROM w""",
     "p_seo_score": f"WITH {_PARSED} SELECT page_id, CAST(floor(({_held('title')}) / 4.0::DOUBLE * 40 + ({_held('h1')}) / 4.0::DOUBLE * 35 + ({_held('description')}) / 4.0::DOUBLE * 25 + 0.5) AS INTEGER) AS score FROM parsed",
     "j32_search_positions": f"WITH {_POS} SELECT query, host, position FROM p",
     "a55_position_summary": f"WITH {_POS} SELECT count(*) AS queries, count(*) FILTER (WHERE position <= 3) AS top3, count(*) FILTER (WHERE position <= 10) AS top10, count(*) FILTER (WHERE position IS NULL) AS not_found FROM p",

@@ -137,7 +137,7 @@ SQL = {
         g AS (SELECT l_orderkey, count(*) AS n, string_agg(name, ', ' ORDER BY k) FILTER (WHERE k = 1 OR upto <= 45) AS shown, count(*) FILTER (WHERE k = 1 OR upto <= 45) AS m FROM c GROUP BY 1)
         SELECT l_orderkey, shown || CASE WHEN n > m THEN ' и ещё ' || (n - m) ELSE '' END AS headline FROM g""",
     "p24_merged_text": """SELECT p_partkey, trim(p_name) || CASE WHEN contains(lower(p_name), lower(p_brand)) THEN '' ELSE ' ' || p_brand END || CASE WHEN contains(lower(p_name), lower(p_type)) THEN '' ELSE ' ' || p_type END AS text FROM part""",
-    "p10_search_text": f"WITH {LOTS} SELECT id, substr(trim(regexp_replace(title || ' ' || organization || ' ' || search_text, '\\s+', ' ', 'g')), 1, 120) AS search_text FROM lots",
+    "p10_search_text": f"WITH {LOTS} SELECT id, substr(trim(regexp_replace(title || ' ' || organization || ' ' || search_text, '\\s+', ' ', 'g')), 1, 2000) AS search_text FROM lots",
     "f32_recheck_due": """WITH e AS (SELECT event_id, epoch(TIMESTAMP '2024-01-05') - epoch(date_trunc('second', ts)) AS age, CASE WHEN event_id % 9 > 0 THEN epoch(TIMESTAMP '2024-01-05') - epoch(date_trunc('second', ts)) - 72000 END AS rest FROM events)
         SELECT event_id, coalesce(rest >= CASE WHEN age < 86400 THEN 0 WHEN age < 259200 THEN 21600 ELSE 43200 END, true) AS due FROM e""",
     "f16_code_class": """WITH c AS (SELECT p_partkey, list_filter([CAST(p_partkey AS VARCHAR), CASE WHEN p_partkey % 3 = 0 THEN '49' || p_size ELSE '' END], lambda c: length(c) > 1) AS cs FROM part)

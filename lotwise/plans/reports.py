@@ -305,8 +305,8 @@ SQL = {
     "w03_last_wins": "SELECT user_id, event_type, value, ts, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "w04_latest_label": "SELECT conv_id, turn, CAST(length(text) AS INTEGER) AS chars FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1",
     "t01_newest_first": f"WITH {TENDERS} SELECT id, collected_at FROM tenders ORDER BY collected_at DESC, id LIMIT 50",
-    "t02_price_then_deadline": f"WITH {_LOTS} SELECT id, CASE WHEN status <> 'P' THEN price END AS price, deadline FROM lots ORDER BY coalesce(CASE WHEN status <> 'P' THEN price END, 0), deadline NULLS LAST, id LIMIT 50",
-    "t04_leads_first": f"WITH {TENDERS} SELECT id, status = 'P' AS is_lead FROM tenders ORDER BY is_lead DESC, id LIMIT 40",
+    "t02_price_then_deadline": f"WITH {_LOTS} SELECT id, CASE WHEN status <> 'P' THEN price END AS price, deadline FROM lots ORDER BY coalesce(CASE WHEN status <> 'P' THEN price END, 0), deadline NULLS LAST, id",
+    "t04_leads_first": f"WITH {TENDERS} SELECT id, status = 'P' AS is_lead FROM tenders ORDER BY is_lead DESC, id",
     "t05_most_incomplete": """WITH m AS (SELECT doc_id, CAST(coalesce(text, '') = '' AS INTEGER) + CAST(coalesce(lang, '') = '' AS INTEGER) + CAST(coalesce(source, '') = '' AS INTEGER) + CAST(coalesce(n_chars <= 1000, true) AS INTEGER) AS missing FROM documents)
         SELECT * FROM m WHERE missing > 0 ORDER BY missing DESC, doc_id LIMIT 200""",
     "t07_rank_by_three": f"WITH {LEDGER} SELECT buyer_inn, count(*) AS cnt, CAST(sum(amount_uzs) AS DOUBLE) AS total FROM ledger WHERE buyer_inn IS NOT NULL GROUP BY 1 ORDER BY cnt DESC, sum(amount_uzs) DESC, buyer_inn LIMIT 100",

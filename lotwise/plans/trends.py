@@ -97,7 +97,9 @@ def nearest(left: DataFrame, right: DataFrame, key: str, at: str, when: str, val
     """As-of join: for each left row the right row of its key nearest in time within span_days (the earlier of two).
 
     Right rows are put into slots of the span; a left row meets its own and the two next slots, so the join is an equi-join.
+    Left rows that repeat are looked up once, and each is given.
     """
+    columns, left = left.columns, left.groupBy(*left.columns).agg(F.count("*").alias("_n"))
     slot = lambda c: F.floor(F.unix_timestamp(c.cast("timestamp")) / (span_days * 86400))
     r = right.select(F.col(key).alias("rk"), F.col(when).alias("rt"), F.col(value).alias("rv"), slot(F.col(when)).alias("rs"))
     ids = left.withColumn("ls", F.explode(F.array(*[slot(F.col(at)) + d for d in (-1, 0, 1)])))
@@ -105,7 +107,8 @@ def nearest(left: DataFrame, right: DataFrame, key: str, at: str, when: str, val
     gap = F.abs(F.unix_micros(F.col("rt").cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp")))
     inside = gap <= span_days * 86400 * 1_000_000
     best = F.min_by(F.when(inside, F.col("rv")), F.when(inside, F.struct(gap, "rt", "rv")))
-    return joined.groupBy(*left.columns).agg(best.alias("nearest"))
+    found = joined.groupBy(*left.columns).agg(best.alias("nearest"))
+    return found.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*columns, "nearest")
 
 
 def week_over_week(rows: DataFrame, by: str, ts: str) -> DataFrame:

@@ -22,7 +22,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events saved as pages of JSON and scanned again."""
     folder = _folder(spark)
     item = F.struct("event_id", "event_type", "value")
-    page = table(spark, sf_dir, "events").groupBy((F.col("event_id") % 7).alias("page")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    page = table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 500).alias("page")).agg(F.sort_array(F.collect_list(item)).alias("items"))  # 500 items at most
     page.select("page", F.to_json(F.struct(F.struct("items").alias("result"))).alias("value")).write.partitionBy("page").text(folder)
     return files.json_pages(spark, f"{folder}/*/*.txt", "result.items", "struct<event_id:long,event_type:string,value:double>").select("place", "event_id", "event_type", "value")
 
@@ -60,7 +60,7 @@ QUERIES = {
     "k10_text_digest": _digest,
 }
 SQL = {
-    "s02_json_pages": "SELECT CAST(row_number() OVER (PARTITION BY event_id % 7 ORDER BY event_id) - 1 AS INTEGER) AS place, event_id, event_type, value FROM events",
+    "s02_json_pages": "SELECT CAST(row_number() OVER (PARTITION BY event_id // 500 ORDER BY event_id) - 1 AS INTEGER) AS place, event_id, event_type, value FROM events",
     "s16_receipts": """WITH p AS (SELECT event_id // 1500 AS page, count(*) AS n FROM events GROUP BY 1)
         SELECT count(*) AS pages, count(*) AS distinct_pages, CAST(sum(n) AS BIGINT) AS rows, CASE WHEN arg_max(n, page) < 1500 THEN 'archive_end' ELSE 'incomplete' END AS completion, arg_max(n, page) < 1500 AS complete FROM p""",
     "s14_json_lines": "SELECT event_id, event_type FROM events WHERE event_id % 10 <> 0",
