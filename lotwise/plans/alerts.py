@@ -29,18 +29,19 @@ def prefilter(
     any_of = lambda c, words: dates.either(F.lit(False), *[c.contains(w) for w in words])
     keyword = text.first_keyword(F.concat_ws(" ", "search_text", "title"), keywords, weak, negative)
     currency = F.upper(F.coalesce(F.col("currency"), F.lit("UZS"))) if "currency" in rows.columns else F.lit("UZS")
-    out = rows.withColumn("_kw", keyword).withColumn("_day", dates.deadline_day(F.col("deadline")))
-    stages = (
+    out = rows.withColumn("_day", dates.deadline_day(F.col("deadline")))
+    early = (
         F.when(~F.coalesce(F.col("message_type").isin("tender", "customer_request"), F.lit(True)), STAGES[0])
         .when(F.coalesce(F.col("source").isin(*no_push), F.lit(False)), STAGES[1])
         .when(any_of(name, own), STAGES[2])
         .when(F.col("price").isNotNull() & (F.col("price") < MIN_PRICE) & ~lead & (currency == "UZS"), STAGES[3])
         .when(dates.deadline_expired(F.col("deadline"), now), STAGES[4])
         .when(F.coalesce(F.col("_day").cast("timestamp") < now - F.expr(f"INTERVAL {STALE_DAYS} DAYS"), F.lit(False)), STAGES[5])
-        .when(F.col("_kw").isNull(), STAGES[6])
-        .when(any_of(low_title, rejected), STAGES[7])
     )
-    out = out.withColumn("dropped_at", stages)
+    # The whole text is searched only for what the cheap stages let through.
+    out = out.withColumn("_early", early).withColumn("_kw", F.when(F.col("_early").isNull(), keyword))
+    late = F.when(F.col("_kw").isNull(), STAGES[6]).when(any_of(low_title, rejected), STAGES[7])
+    out = out.withColumn("dropped_at", F.coalesce("_early", late))
     passed = F.col("dropped_at").isNull()
     bypass = passed & F.col("source").isin(*bypass_sources) & any_of(low_title, bypass_hints) if bypass_sources else F.lit(False)
     return out.select(*rows.columns, "dropped_at", F.when(passed, F.col("_kw")).alias("matched_kw"), bypass.alias("bypass"), passed.alias("passed"))

@@ -28,15 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in the folder that spark.checkpoint.dir names, read back: what follows doesn't repeat what came before.
-
-    A local session that names no folder uses one of its own machine.
-    """
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that spark.checkpoint.dir names; a local session that names none uses one of its own machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{(folder or 'file:///tmp/checkpoints').rstrip('/')}/lotwise/{name}-{uuid.uuid4().hex}"
+    return f"{(folder or 'file:///tmp/checkpoints').rstrip('/')}/lotwise/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in a new folder that all executors share, read back: what follows doesn't repeat what came before."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import new_path, table
 from . import files
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(base or 'file:///tmp/checkpoints').rstrip('/')}/lotwise/files-{uuid.uuid4().hex}"
+    return new_path(spark, "source")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
