@@ -31,7 +31,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -192,7 +192,9 @@ def _families(classes: DataFrame, h: int, t: int) -> DataFrame:
         return _forest(table, most)
 
     found = dealt.groupBy("key", "p", "q").applyInArrow(forest, "a long, b long")
-    edges = asked.filter("agrees").select(F.col("cid").alias("a"), F.col("head").alias("b")).union(found)
+    # A class agrees with a head in each of many tables: it keeps its least, and the heads that it ties to that go on among themselves.
+    agreed = asked.filter("agrees").select("cid", "head").distinct().withColumn("least", F.min("head").over(Window.partitionBy("cid")))
+    edges = agreed.select(F.col("cid").alias("a"), F.col("least").alias("b")).union(agreed.select("head", "least")).union(found)
     out = connected_components(edges).select(F.col("node").alias("cid"), F.col("component").alias("family"))
     discard(tables, asked)
     return out
