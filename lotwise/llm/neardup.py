@@ -119,15 +119,18 @@ def differing(h: int, t: int, least: float = 0.5) -> int:
     return int(2 * t * h * 0.75 * (1 - least))
 
 
-def _classes(signed: DataFrame) -> DataFrame:
-    """One row for each distinct shingle set: its digest and cid, and its row of the least (doc_id, text_hash)."""
+def classes_of(signed: DataFrame, *carried: str) -> tuple[DataFrame, int]:
+    """One row for each distinct shingle set: its digest and cid, its row of the least (doc_id, text_hash), and the columns `carried`.
+
+    Also the seed under which no two classes have the same cid.
+    """
     rows = signed.filter("digest is not null and doc_id is not null")
-    first = [F.first(c).alias(c) for c in ("n_shingles", "left", "right", "sketch")]
+    first = [F.first(c).alias(c) for c in ("n_shingles", *carried)]
     grouped = materialise(rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("text_hash", F.struct("doc_id", "text_hash")).alias("rep_hash"), *first), "classes")
     seed = 0
     while not grouped.groupBy(F.xxhash64("digest", F.lit(seed))).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         seed += 1
-    return grouped.withColumn("cid", F.xxhash64("digest", F.lit(seed)))
+    return grouped.withColumn("cid", F.xxhash64("digest", F.lit(seed))), seed
 
 
 def _tables(classes: DataFrame) -> DataFrame:
@@ -309,18 +312,12 @@ def _links_of(docs: DataFrame, classes: DataFrame, families: DataFrame, words: i
 
 def _signed_and_linked(docs: DataFrame, words: int, percent: int, h: int, t: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     signed = materialise(signatures(docs, words, h, t), "signed")
-    classes = _classes(signed)
+    classes, _ = classes_of(signed, "left", "right", "sketch")
     return signed, classes, _links_of(docs, classes, _families(classes, h, t), words, percent)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, h: int = 3, t: int = 15) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text; further columns are ignored).
-
-    Null and empty texts have no shingles and are linked with nothing. Rows that repeat a doc_id each give a row; they are one
-    document, so what one of its texts is linked with is linked with all that its other texts are linked with. A row with a
-    null doc_id is its own component (null) and is kept. An empty table gives an empty table. Long texts count whole.
-    """
-    signed, classes, links = _signed_and_linked(docs, words, percent, h, t)
+def labelled_rows(signed: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of signed, by the links (a, b) of classes."""
     rows = signed.filter("digest is not null and doc_id is not null").select("doc_id", "digest")
     several = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     many = rows.join(several, "doc_id").distinct().join(classes.select("digest", "cid"), "digest")
@@ -335,6 +332,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, h: int =
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, h: int = 3, t: int = 15) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text; further columns are ignored).
+
+    Null and empty texts have no shingles and are linked with nothing. Rows that repeat a doc_id each give a row; they are one
+    document, so what one of its texts is linked with is linked with all that its other texts are linked with. A row with a
+    null doc_id is its own component (null) and is kept. An empty table gives an empty table. Long texts count whole.
+    """
+    signed, classes, links = _signed_and_linked(docs, words, percent, h, t)
+    return labelled_rows(signed, classes, links)
+
+
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, h: int = 3, t: int = 15) -> DataFrame:
     """One row of each group of texts that are linked: that of the least doc_id, then of the least digest. Columns unchanged.
 

@@ -1,11 +1,11 @@
-"""The ten opN_ queries by production parameters over whole tables, and SQL where SQL can express them."""
+"""The opN_ queries by production parameters over whole tables, and SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linedup, lm, media, neardup, packing, quality, toxicity, urlrules
+from . import audit, decontam, jaccard, langid, linedup, lm, media, neardup, packing, quality, toxicity, trie, urlrules
 from .shared import crc_of_id
 from .sql import ORACLE_SQL  # noqa: F401
 
@@ -70,10 +70,23 @@ def op10_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sum_of_squares_packing, op2_stupid_backoff, op3_url_association_rules, op4_language_centroids, op5_minhash_near_dedup,
         op6_line_dedup_runs, op7_quality_gam, op8_template_decontamination, op9_media_columns, op10_ftrl_toxicity,
+        op11_conversation_prefix_trie, op12_filter_interaction_audit, op13_ngram_jaccard_join,
     )
 }

@@ -42,6 +42,9 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least.c AS component_id, least.
 FROM documents d JOIN least ON least.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
+#: The same without `kept`, and at 80 instead of 75.
+JACCARD_JOIN = NEAR_DEDUP.replace(">= 75 *", ">= 80 *").replace(", least.c = d.doc_id AS kept", "")
+
 LINE_DEDUP = f"""
 WITH l AS (SELECT rid, doc_id, i, ls[i] AS line, translate(trim(ls[i], E' \\t\\n\\x0b\\x0c\\r'), '{UPPER}', '{LOWER}') AS key
            FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i
@@ -90,7 +93,61 @@ SELECT doc_id, item_id, CAST(sum(n) AS BIGINT) AS n_windows, CAST(min(first) AS
 FROM line GROUP BY doc_id, item_id
 """
 
+FILTER_AUDIT = """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM d),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+             || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END
+             || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+             || CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS failed
+      FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || d.c || e.c || g.c AS filter_order FROM c a, c b, c d, c e, c g
+      WHERE len(list_distinct([a.c, b.c, d.c, e.c, g.c])) = 5),
+s AS (SELECT part, good, toxic, failed, filter_order, step, filter_order[step] AS filter,
+             coalesce(list_min(list_filter(range(1, 6), lambda k: contains(failed, filter_order[k]))), 6) AS first
+      FROM f, o, range(1, 6) t(step)),
+n AS (SELECT part, filter_order, step, filter, count(*) FILTER (WHERE first > step) AS kept, count(*) FILTER (WHERE first = step) AS removed,
+             count(*) FILTER (WHERE first < step AND contains(failed, filter)) AS redundant, count(*) FILTER (WHERE failed = filter) AS unique_fails,
+             count(*) FILTER (WHERE first = step AND good = 1) AS good_lost, count(*) FILTER (WHERE first = step AND toxic = 1) AS toxic_lost
+      FROM s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM n
+"""
+
+_CRC32 = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"""
+
+PREFIX_TRIE = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, turn, md5(length(role) || ':' || role || text) AS key,
+             len(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS words FROM t),
+c AS (SELECT conv_id, list({{'key': key, 'words': words}} ORDER BY turn NULLS FIRST, key) AS own FROM k GROUP BY conv_id),
+h AS (SELECT *, CAST({_CRC32} % 4 AS INT) AS h FROM c),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.own, [])[:h.h], h.own[h.h + 1:]) AS turns FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, len(turns) AS n, d AS depth, CASE WHEN d > 0 THEN turns[d].words ELSE 0 END AS words,
+             md5(array_to_string(list_transform(turns[:d], lambda x: x.key), ',')) AS node,
+             CASE WHEN d > 0 THEN md5(array_to_string(list_transform(turns[:d - 1], lambda x: x.key), ',')) END AS parent
+      FROM r, unnest(range(0, len(turns) + 1)) u(d)),
+n AS (SELECT depth, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS own_saved,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256
+      FROM p GROUP BY depth, node),
+kids AS (SELECT parent, depth - 1 AS depth, count(*) AS n FROM n WHERE depth > 0 GROUP BY parent, depth),
+leaf AS (SELECT n.*, coalesce(kids.n, 0) AS n_children FROM n LEFT JOIN kids ON kids.parent = n.node AND kids.depth = n.depth),
+path AS (SELECT DISTINCT a.depth, a.node, b.depth AS below, b.node AS under FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+sub AS (SELECT path.depth, path.node, count(*) FILTER (WHERE l.n_children = 0) AS n_leaves, sum(l.own_saved) AS saved
+        FROM path JOIN leaf l ON l.depth = path.below AND l.node = path.under GROUP BY path.depth, path.node)
+SELECT l.conv_id, l.depth, up.conv_id AS parent_conv_id, l.n_convs, l.n_children, sub.n_leaves, CAST(sub.saved AS BIGINT) AS saved_tokens, l.ends_sha256
+FROM leaf l JOIN sub ON sub.depth = l.depth AND sub.node = l.node LEFT JOIN n up ON up.node = l.parent AND up.depth = l.depth - 1
+"""
+
 ORACLE_SQL = {
+    "op11_conversation_prefix_trie": PREFIX_TRIE,
+    "op13_ngram_jaccard_join": JACCARD_JOIN,
+    "op12_filter_interaction_audit": FILTER_AUDIT,
     "op2_stupid_backoff": STUPID_BACKOFF,
     "op5_minhash_near_dedup": NEAR_DEDUP,
     "op6_line_dedup_runs": LINE_DEDUP,
