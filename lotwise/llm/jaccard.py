@@ -12,9 +12,15 @@ Two distinct sets of sizes n and m link when 100 * overlap >= percent * union, s
    and position, which are skipped together by what their least sizes and positions allow at most.
 4. Answers first come from hubs: in each list every set asks the list's least by a hash; exact overlaps are the hub's
    computed answers, and sets that link are one component. A few such rounds, each with other hubs, leave few components.
-5. Then only blocks of several components are paired. For two sets that asked the same hub H the hub's answers are enough
-   in most cases: |X n Y| is at most min(|X n H|, |Y n H|) + min(|X - H|, |Y - H|) and at least |X n H| + |Y n H| - |H|.
-   Pairs that these bounds leave open are intersected in full, dealt in even parts.
+5. A set's home is the least hub that it is similar to. Two sets X and Y of one home H derive their answer from H's: the
+   tokens in which they differ are those in which just one of them differs from H, so two that link, of which one is not
+   linked with H, share at least |X ^ H| less the most tokens in which sets that link differ. This holds for any set in H's
+   place, so what most members differ from H in is flipped: they are compared with their consensus. Within a home of several
+   components these differences are indexed, rarest first, instead of the sets: what members have in common no longer pairs
+   them. Two that are too near to the consensus to share a difference are both linked with the member nearest to it.
+6. Sets of different homes and components meet by blocks of the lists; if both asked the list's hub H, its answers refute
+   most pairs: |X n Y| is at most min(|X n H|, |Y n H|) + min(|X - H|, |Y - H|) and at least |X n H| + |Y n H| - |H|.
+   Pairs that are left open are intersected in full, dealt in even parts.
 
 Every pair of sets that links is linked, refuted by a bound that is exact, or within a component already: no link between
 different texts is lost, while a group of g near copies costs about g questions a round and not g * g.
@@ -30,7 +36,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -40,6 +46,8 @@ from .words import slices
 
 #: Rounds in which lists ask hubs; a part of a hub's questions holds about so many sets, and so many shingles in all.
 HUB_ROUNDS, PART_SETS, PART_SHINGLES = 2, 256, 1_000_000
+#: A set may derive answers from a hub of at least this similarity.
+HOME_PERCENT = 30
 #: Digests that a task remembers, to send the tokens of a class once.
 REMEMBERED = 200_000
 
@@ -137,18 +145,34 @@ def _overlaps(table: pa.Table, k: int) -> pa.Table:
     return pa.table({name: pa.array([r[c] for r in rows], pa.int64()) for c, name in enumerate(("a", "b", "n_a", "n_b", "both"))})
 
 
-def _answers(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """pairs (a, b) -> (a, b, n_a, n_b, both): exact overlaps, b's questions dealt in even parts."""
+def _differences(table: pa.Table, k: int) -> pa.Table:
+    """Of one part of a hub's members: (b, cid, token) of the tokens that a member or the hub has alone."""
+    table = table.combine_chunks()
+    sets = [s for _, _, buf, offsets in slices(table.column("text").combine_chunks()) for s in shingle_sets(buf, offsets, k)] if len(table) else []
+    hub = next((s for s, own in zip(sets, table.column("own").to_pylist(), strict=True) if own), np.empty(0, np.uint64))
+    told = [(np.setxor1d(s, hub, assume_unique=True), cid) for s, cid, own in zip(sets, table.column("cid").to_pylist(), table.column("own").to_pylist(), strict=True) if not own]
+    tokens = np.concatenate([np.empty(0, np.uint64), *[t for t, _ in told]])
+    owner = np.repeat(np.array([cid for _, cid in told], np.int64), [len(t) for t, _ in told])
+    b = table.column("b")[0].as_py() if len(table) else 0
+    return pa.table({"b": np.full(len(tokens), b, np.int64), "cid": owner, "token": tokens.view(np.int64)})
+
+
+def _dealt(pairs: DataFrame, texts: DataFrame) -> GroupedData:
+    """pairs (a, b) with their texts: b's in even parts (b, part), each with the text of b itself."""
     load = pairs.join(texts.select(F.col("cid").alias("a"), "n"), "a").groupBy("b").agg(F.count("*").alias("asked"), F.sum("n").alias("weight"))
     parts = load.select("b", F.greatest(F.ceil(F.col("asked") / PART_SETS), F.ceil(F.col("weight") / PART_SHINGLES)).cast("int").alias("parts"))
     dealt = spread_join(pairs, parts, ["b"], ["a"]).select(F.col("a").alias("cid"), "b", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"), F.lit(False).alias("own"))
     hubs = parts.select(F.col("b").alias("cid"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("own"))
-    met = dealt.union(hubs).join(texts.select("cid", "text").hint("merge"), "cid")
+    return dealt.union(hubs).join(texts.select("cid", "text").hint("merge"), "cid").groupBy("b", "part")
+
+
+def _answers(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """pairs (a, b) -> (a, b, n_a, n_b, both): exact overlaps."""
 
     def overlaps(table: pa.Table) -> pa.Table:
         return _overlaps(table, words)
 
-    return materialise(met.groupBy("b", "part").applyInArrow(overlaps, "a long, b long, n_a long, n_b long, both long"), "answers")
+    return materialise(_dealt(pairs, texts).applyInArrow(overlaps, "a long, b long, n_a long, n_b long, both long"), "answers")
 
 
 def _linked(answers: DataFrame, percent: int) -> DataFrame:
@@ -171,29 +195,31 @@ def _hub_questions(index: DataFrame, round_: int, percent: int) -> tuple[DataFra
 
 
 def _block_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """(token, s, p, s2, p2): pairs of blocks of one list that may hold sets of different components that link."""
+    """(token, s, p, s2, p2): pairs of blocks of one list that may hold sets of different components and homes that link."""
     blocks = entries.groupBy("token", "s", "p").agg(
-        F.min("n").alias("n"), F.max(F.col("q") - F.col("i")).alias("room"), F.min(F.col("q") - F.col("n")).alias("short"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
-    )
-    theirs = blocks.select("token", F.col("s").alias("s2"), F.col("p").alias("p2"), *[F.col(c).alias(f"{c}2") for c in ("n", "room", "short", "lo", "hi")])
+        F.min("n").alias("n"), F.max(F.col("q") - F.col("i")).alias("room"), F.min(F.col("q") - F.col("n")).alias("short"),
+        *[f(c).alias(f"{name}_{c}") for c in ("comp", "home") for name, f in (("lo", F.min), ("hi", F.max))],
+    )
+    bounds = ("lo_comp", "hi_comp", "lo_home", "hi_home")
+    theirs = blocks.select("token", F.col("s").alias("s2"), F.col("p").alias("p2"), *[F.col(c).alias(f"{c}2") for c in ("n", "room", "short", *bounds)])
     near = blocks.withColumn("s2", F.explode(F.array("s", F.col("s") + 1))).join(theirs, ["token", "s2"]).filter("s < s2 or p <= p2")
     least = F.greatest(F.lit(1), need(F.col("n"), F.col("n2"), percent) + F.least("short", "short2"))
-    one = (F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2"))
-    return near.filter(~one & (F.least("room", "room2") >= least)).select("token", "s", "p", "s2", "p2")
+    one = lambda c: (F.col(f"lo_{c}") == F.col(f"hi_{c}")) & (F.col(f"lo_{c}2") == F.col(f"hi_{c}2")) & (F.col(f"lo_{c}") == F.col(f"lo_{c}2"))
+    return near.filter(~one("comp") & ~one("home") & (F.least("room", "room2") >= least)).select("token", "s", "p", "s2", "p2")
 
 
 def _open_pairs(index: DataFrame, hubs: DataFrame, answers: DataFrame, percent: int) -> DataFrame:
-    """(a, b, sure) of the pairs that blocks and the hubs' answers don't refute; sure: the answers say that they link."""
+    """(a, b, sure) of the pairs of different homes that blocks and the hubs' answers don't refute; sure: the answers say that they link."""
     lists = index.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     several = spread_join(index, lists, ["token"], ["cid"])
     told = spread_join(several, hubs, ["token"], ["cid"], "left").join(answers.select(F.col("a").alias("cid"), F.col("b").alias("hub"), F.col("n_b").alias("hub_n"), "both"), ["cid", "hub"], "left")
     size_block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).alias("s")  # sizes that link are in one block or in two neighbours
-    entries = told.select("token", "cid", "n", "q", "i", "comp", "hub_n", "both", size_block, F.floor(F.log2(F.col("i") + 1.0)).alias("p"))
+    entries = told.select("token", "cid", "n", "q", "i", "comp", "home", "hub_n", "both", size_block, F.floor(F.log2(F.col("i") + 1.0)).alias("p"))
     entries = materialise(entries, "entries")
     pairs = _block_pairs(entries, percent)
-    ours = entries.join(pairs, ["token", "s", "p"]).select("token", "s2", "p2", (F.col("s") == F.col("s2")).alias("alike"), (F.col("p") == F.col("p2")).alias("same"), *[F.col(c).alias(f"x_{c}") for c in ("cid", "n", "q", "i", "comp", "hub_n", "both")])
-    theirs = entries.select("token", F.col("s").alias("s2"), F.col("p").alias("p2"), *[F.col(c).alias(f"y_{c}") for c in ("cid", "n", "q", "i", "comp", "both")])
-    met = ours.join(theirs.hint("merge"), ["token", "s2", "p2"]).filter("x_comp <> y_comp and (not (alike and same) or x_cid < y_cid)").filter(possible("x_", "y_", percent))
+    ours = entries.join(pairs, ["token", "s", "p"]).select("token", "s2", "p2", (F.col("s") == F.col("s2")).alias("alike"), (F.col("p") == F.col("p2")).alias("same"), *[F.col(c).alias(f"x_{c}") for c in ("cid", "n", "q", "i", "comp", "home", "hub_n", "both")])
+    theirs = entries.select("token", F.col("s").alias("s2"), F.col("p").alias("p2"), *[F.col(c).alias(f"y_{c}") for c in ("cid", "n", "q", "i", "comp", "home", "both")])
+    met = ours.join(theirs.hint("merge"), ["token", "s2", "p2"]).filter("x_comp <> y_comp and x_home <> y_home and (not (alike and same) or x_cid < y_cid)").filter(possible("x_", "y_", percent))
     least = need(F.col("x_n"), F.col("y_n"), percent)
     most = F.least("x_both", "y_both") + F.least(F.col("x_n") - F.col("x_both"), F.col("y_n") - F.col("y_both"))
     both_told = F.col("x_both").isNotNull() & F.col("y_both").isNotNull()
@@ -202,6 +228,55 @@ def _open_pairs(index: DataFrame, hubs: DataFrame, answers: DataFrame, percent:
     return met.groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 
+def _homes(told: DataFrame) -> DataFrame:
+    """(cid, home) of the sets that asked: of the hubs that a set is similar to and itself, the least by the first round's hash."""
+    near = told.filter(100 * F.col("both") >= HOME_PERCENT * (F.col("n_a") + F.col("n_b") - F.col("both"))).select(F.col("a").alias("cid"), F.col("b").alias("hub"))
+    near = near.union(near.select("cid", F.col("cid"))).union(near.select("hub", F.col("hub")))
+    return near.groupBy("cid").agg(F.min_by("hub", F.struct(F.xxhash64("hub", F.lit(0)), "hub")).alias("home"))
+
+
+def _home_pairs(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): sets of one home and different components that share enough of their differences from it; members (cid, n, comp, home)."""
+    several = members.groupBy("home").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("home")
+    asked = materialise(spread_join(members.filter("cid <> home"), several, ["home"], ["cid"]), "members")
+
+    def differences(table: pa.Table) -> pa.Table:
+        return _differences(table, words)
+
+    told = _dealt(asked.select(F.col("cid").alias("a"), F.col("home").alias("b")), texts).applyInArrow(differences, "b long, cid long, token long")
+    told = materialise(told.select(F.col("b").alias("home"), "cid", "token"), "differences")
+    # What most members differ in moves from the members to what they are compared with: their consensus instead of the hub.
+    counts = told.groupBy("home", "token").agg(F.count("*").alias("df")).join(asked.groupBy("home").agg(F.count("*").alias("size")), "home")
+    usual = materialise(counts.filter("2 * df > size").select("home", "token"), "usual")
+    ours = spread_join(told, usual.withColumn("usual", F.lit(True)), ["home", "token"], ["cid"], "left").filter("usual is null").drop("usual")
+    lacking = asked.select("home", "cid").join(usual, "home").join(told.hint("merge"), ["home", "cid", "token"], "left_anti")
+    own = materialise(ours.unionByName(lacking), "own")
+    discard(told)
+    told = own
+    shared = told.groupBy("home", "token").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = materialise(spread_join(told, shared, ["home", "token"], ["cid"]), "shared")
+    sizes = told.groupBy("cid").agg(F.count("*").alias("d")).join(shared.groupBy("cid").agg(F.count("*").alias("m")), "cid")
+    least = F.greatest(F.lit(1), F.col("d") - F.floor((100 - percent) * F.col("n") / percent))
+    taking = sizes.join(asked.select("cid", "n", "comp"), "cid").select("cid", "n", "comp", "d", "m", (F.col("m") - least + 1).alias("take")).filter("take > 0")
+    ranked = shared.join(taking, "cid").withColumn("rank", F.row_number().over(Window.partitionBy("cid").orderBy("df", "token")))
+    rest = (F.col("m") - F.col("rank") + 1).alias("rest")  # differences from this one on, in order of rarity
+    lists = materialise(ranked.filter("rank <= take").select("home", "token", "cid", "n", "d", "comp", rest), "lists")
+    mixed = lists.groupBy("home", "token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("home", "token")
+    ours = spread_join(lists, mixed, ["home", "token"], ["cid"])
+    theirs = lists.select("home", "token", *[F.col(c).alias(f"{c}2") for c in ("cid", "n", "d", "comp", "rest")])
+    most = F.col("n") + F.col("n2") - 2 * need(F.col("n"), F.col("n2"), percent)  # tokens in which two that link differ
+    enough = F.least("rest", "rest2") >= F.greatest(F.lit(1), F.ceil((F.col("d") + F.col("d2") - most) / 2))
+    met = ours.join(theirs.hint("merge"), ["home", "token"]).filter("comp <> comp2 and cid > cid2").filter(enough).filter(percent * F.greatest("n", "n2") <= 100 * F.least("n", "n2"))
+    # Two that are so near to the consensus that they need share no difference are both linked with the member that is nearest to it.
+    far = asked.join(told.groupBy("cid").agg(F.count("*").alias("d")), "cid", "left").select("home", "cid", "comp", "n", ((100 + percent) * F.coalesce("d", F.lit(0)) - (100 - percent) * F.col("n")).alias("far"))
+    nearest = far.groupBy("home").agg(F.min(F.struct("far", "cid", "comp")).alias("least")).select("home", "least.*")
+    star = spread_join(far.select("home", "cid", "comp"), nearest.select("home", F.col("cid").alias("b"), F.col("comp").alias("comp2"), F.col("far").alias("far2")), ["home"], ["cid"])
+    star = star.filter("comp <> comp2 and cid <> b").select(F.col("cid").alias("a"), "b")
+    out = materialise(met.select(F.col("cid").alias("a"), F.col("cid2").alias("b")).union(star).distinct(), "pairs")
+    discard(told, shared, lists, usual)
+    return out
+
+
 def _texts(docs: DataFrame, classes: DataFrame, index: DataFrame) -> DataFrame:
     """(cid, n, text) of the classes that are in the index, each by one row; no other text is shuffled while the filter is sparse."""
     asked = classes.join(index.select("cid").distinct(), "cid").select("cid", F.col("n_shingles").alias("n"), F.col("rep").alias("doc_id"), F.col("rep_hash").alias("text_hash"))
@@ -211,6 +286,11 @@ def _texts(docs: DataFrame, classes: DataFrame, index: DataFrame) -> DataFrame:
     return materialise(rows.join(asked.drop("place").hint("merge"), ["doc_id", "text_hash"]).select("cid", "n", "text").dropDuplicates(["cid"]), "texts")
 
 
+def _not_told(pairs: DataFrame, told: DataFrame) -> DataFrame:
+    """The pairs (a, b) that no answer holds either way."""
+    return pairs.join(told.select("a", "b"), ["a", "b"], "left_anti").join(told.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+
+
 def links_of(docs: DataFrame, classes: DataFrame, seed: int, words: int, percent: int) -> DataFrame:
     """(a, b): links of classes, enough of them to connect all that are linked."""
     index = _index(docs, classes, seed, words, percent)
@@ -221,17 +301,27 @@ def links_of(docs: DataFrame, classes: DataFrame, seed: int, words: int, percent
         if told is None:
             hubs_told = hubs = materialise(hubs, "hubs")
         else:
-            asked = asked.join(told.select("a", "b"), ["a", "b"], "left_anti").join(told.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+            asked = _not_told(asked, told)
         answers = _answers(materialise(asked, "questions"), texts, words)
         told = answers if told is None else told.union(answers)
         found = _linked(answers, percent)
         links = found if links is None else links.union(found)
         now = materialise(_in_components(index, links), "index")
+    # A set whose home has itself another home asks that one too: so most sets of a large group come to have one home.
+    homes = materialise(_homes(told), "homes")
+    moved = spread_join(homes, homes.select(F.col("cid").alias("home"), F.col("home").alias("further")).filter("home <> further"), ["home"], ["cid"])
+    asked = _not_told(moved.filter("cid <> further").select(F.col("cid").alias("a"), F.col("further").alias("b")), told)
+    answers = _answers(materialise(asked, "questions"), texts, words)
+    told, links = told.union(answers), links.union(_linked(answers, percent))
+    now = _in_components(index, links)
     own = index.select("cid", "n").distinct().select(F.col("cid").alias("a"), F.col("cid").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"), F.col("n").alias("both"))
     # A hub knows its own overlap with itself, so that its list's answers hold for it as well.
     known = told.union(own).groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("n_a", "n_b", "both")])
+    now = spread_join(now, _homes(told), ["cid"], ["token"], "left").withColumn("home", F.coalesce("home", "cid"))
+    now = materialise(now, "index")
+    within = _home_pairs(now.select("cid", "n", "comp", "home").distinct(), texts, words, percent)
     open_ = materialise(_open_pairs(now, hubs_told, known, percent), "open")
-    rest = _answers(open_.filter("not sure").select("a", "b"), texts, words)
+    rest = _answers(open_.filter("not sure").select("a", "b").union(within).distinct(), texts, words)
     return links.union(open_.filter("sure").select("a", "b")).union(_linked(rest, percent))
 
 
