@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lotwise.llm import decontam, linedup, neardup, packing, toxicity
 from lotwise.llm.queries import held_out, read
-from lotwise.llm.shared import materialise, new_path, once
+from lotwise.llm.shared import new_path, once
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
     known = toxicity.labelled_documents(docs, read(spark, sf_dir, "labels"), "toxic", held_out(5, 0), toxicity.MOST)
-    weights = materialise(toxicity.fit(known), "weights")
+    weights = toxicity.fit(known)
     if weights.isEmpty():
         return docs
     return toxicity.score(rows, weights).filter("toxicity < 0.5").select("row.*")

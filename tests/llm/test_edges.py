@@ -414,7 +414,8 @@ def test_toxicity_scores_equal_sums_over_distinct_slots(spark):
 
     docs = spark.createDataFrame([(1, "you bad bad person"), (2, "You  nice\tperson"), (3, None), (4, "")], "doc_id long, text string")
     raw = b"you bad bad person"
-    slots = sorted(set(toxicity.word_slots(toxicity.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])), 0, 10).tolist()))
+    (slots,) = [x.tolist() for x in toxicity.slots(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 10)]
+    assert slots == sorted(set(slots)) and len(slots) <= 4 - 1 + 4 - 1 + 3 + 2  # distinct words, stems, neighbours, skip-grams
     weights = spark.createDataFrame([(k, 0.25 * (i + 1)) for i, k in enumerate(slots)] + [(1 << 10, -1.0)], "slot long, weight double")
     got = {r.doc_id: r.toxicity for r in toxicity.score(docs, weights, bits=10).collect()}
     one = lambda x: 1 / (1 + math.exp(-x))

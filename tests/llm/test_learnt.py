@@ -9,6 +9,7 @@ from lotwise.llm import queries, shared
 from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.01"
+LARGER = "/root/testdata/sf0.1"  # enough toxic rows that are held out
 
 
 def test_language_held_out(spark):
@@ -26,11 +27,11 @@ def test_quality_held_out(spark):
 
 
 def test_toxicity_held_out(spark):
-    labels = queries.read(spark, SMALL, "labels").select("doc_id", "toxic")
-    pairs = queries.op10_ftrl_toxicity(spark, SMALL).join(labels, "doc_id").collect()
+    labels = queries.read(spark, LARGER, "labels").select("doc_id", "toxic")
+    pairs = queries.op10_ftrl_toxicity(spark, LARGER).filter("held_out").join(labels, "doc_id").collect()
     clean, toxic = [r for r in pairs if not r.toxic], [r for r in pairs if r.toxic]
     assert sum(r.predicted for r in clean) <= 0.01 * len(clean)
-    assert sum(r.predicted for r in toxic) >= 0.8 * len(toxic)
+    assert sum(r.predicted for r in toxic) >= 0.9 * len(toxic)
 
 
 def kept_by_plain_python(docs, scores, items):
