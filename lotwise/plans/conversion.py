@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..session import table
+from ..session import numbered, table
 from ..views import WINS, wins
 
 #: Characters that a search or a detail text keeps.
@@ -137,16 +137,36 @@ def purchases_with_lots(purchases: DataFrame, lots: DataFrame, rules: dict[str,
     return asked.join(first, (asked["feed"] == first["_feed"]) & (asked["_mine"] == first["_key"]), "left").select(*purchases.columns, "lot")
 
 
-def platform_sources(platforms: DataFrame, sources: DataFrame) -> DataFrame:
-    """platforms (platform, name, url) with the source (id, name, url) that they are: by name, else by host, else by an id that the name holds as a word."""
-    norm = lambda c: text.collapse(F.lower(c))
-    host = lambda c: F.nullif(F.regexp_extract(F.lower(c), r"^[a-z]+://(?:www\.)?([^/?#]+)", 1), F.lit(""))
-    least = lambda key, name: sources.select(key.alias(f"_{name}"), "id").filter(F.col(f"_{name}").isNotNull()).groupBy(f"_{name}").agg(F.min("id").alias(name))
-    asked = platforms.withColumn("_n", norm(F.col("name"))).withColumn("_h", host(F.col("url")))
-    words = asked.select("platform", F.explode(F.array_distinct(F.split("_n", " "))).alias("_w")).join(least(F.lower("id"), "word"), F.col("_w") == F.col("_word"))
-    by_word = words.groupBy("platform").agg(F.min("word").alias("word"))
-    joined = asked.join(least(norm(F.col("name")), "named"), F.col("_n") == F.col("_named"), "left").join(least(host(F.col("url")), "hosted"), F.col("_h") == F.col("_hosted"), "left")
-    return joined.join(by_word, "platform", "left").select(*platforms.columns, F.coalesce("named", "hosted", "word").alias("source"))
+def _domain(url: Column) -> Column:
+    """Lower-cased host without scheme, www. and path; null without any."""
+    bare = F.regexp_replace(F.lower(F.trim(F.coalesce(url, F.lit("")))), r"https?://|www\.", "")
+    return F.nullif(F.substring_index(bare, "/", 1), F.lit(""))
+
+
+def _suffixes(domain: Column) -> Column:
+    """A domain and all domains that it lies in, of two labels at least: a.b.org -> a.b.org, b.org."""
+    labels = F.split(domain, r"\.")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1)))
+    return F.transform(starts, lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+
+
+def platform_sources(platforms: DataFrame, sources: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+    """platforms (platform, name, url) with the source (place, id, name, url) that they are: by url, else by a group of names.
+
+    By url: the first source (by place) whose domain holds the platform's or lies in it, found by an equi-join of domain
+    suffixes. By name: the first group with a word that the platform's name holds and a source whose id or name holds one of
+    its words; of these the first source. Null urls and names match nothing.
+    """
+    asked, known = platforms.withColumn("_d", _domain(F.col("url"))), sources.withColumn("_e", _domain(F.col("url")))
+    inner = asked.select("platform", "_d", F.explode(_suffixes(F.col("_d"))).alias("_k")).join(known.select("place", "id", F.col("_e").alias("_k")), "_k").select("platform", "place", "id")
+    outer = known.select("place", "id", F.explode(_suffixes(F.col("_e"))).alias("_d")).join(asked.select("platform", "_d"), "_d").select("platform", "place", "id")
+    by_url = inner.union(outer).groupBy("platform").agg(F.min_by("id", "place").alias("_by_url"))
+    holds = lambda c, words: reduce(lambda x, y: x | y, [F.lower(F.coalesce(F.col(c), F.lit(""))).contains(w) for w in words])
+    found = [known.filter(holds("id", ws) | holds("name", ws)).agg(F.lit(g).alias("_g"), F.min_by("id", "place").alias("_named")) for g, ws in enumerate(groups.values())]
+    first = reduce(DataFrame.union, found).filter("_named is not null")  # at most one row a group
+    group = F.array_compact(F.array(*[F.when(holds("name", ws), F.lit(g)) for g, ws in enumerate(groups.values())]))
+    named = asked.select("platform", F.explode(group).alias("_g")).join(F.broadcast(first), "_g").groupBy("platform").agg(F.min_by("_named", "_g").alias("_named"))
+    return platforms.join(by_url, "platform", "left").join(named, "platform", "left").select(*platforms.columns, F.coalesce("_by_url", "_named").alias("source"))
 
 
 def canonical_rows(principles: DataFrame, by: str, controlled: list[str]) -> DataFrame:
@@ -174,8 +194,20 @@ def recall_stats(rows: DataFrame, kind: Column, least: float = 50) -> DataFrame:
 
 
 def few_shot(rows: DataFrame, n: int) -> DataFrame:
-    """The n examples that a judge is shown: pinned ones first, then those of most support, then the newest."""
-    return rows.orderBy(F.desc("pinned"), F.desc("support"), F.desc("at"), "id").limit(n)
+    """The examples that a judge is shown: all pinned ones, and of the others so many that there are n in all, those of most support first.
+
+    Of equal support the newest comes first, then the least id. With n pinned ones or more there are no others.
+    """
+    pinned = rows.filter("pinned")
+    place = numbered(rows.filter("not coalesce(pinned, false)"), F.desc_nulls_last("support"), F.desc_nulls_last("at"), "id", name="_place")
+    held = pinned.agg(F.count("*").alias("_held"))  # one row
+    return pinned.unionByName(place.crossJoin(F.broadcast(held)).filter(F.col("_place") + F.col("_held") <= n).drop("_place", "_held"))
+
+
+def latest_corrections(feedback: DataFrame, n: int) -> DataFrame:
+    """The n newest corrections of feedback (id, at, predicted, actual): rows where what was predicted is not what was right."""
+    wrong = feedback.filter("predicted is not null and actual is not null and predicted <> actual")
+    return numbered(wrong, F.desc_nulls_last("at"), F.desc("id"), name="_place").filter(F.col("_place") <= n).drop("_place")
 
 
 def reconciled(state: DataFrame, known: DataFrame, least: int = LEAST_KNOWN) -> DataFrame:
@@ -255,11 +287,17 @@ def _bought(spark: SparkSession, sf_dir: str) -> DataFrame:
     return purchases_with_lots(w, lots, {"F": (F.col("url"), F.col("url")), "O": (F.col("civil"), F.col("civil"))}).select("id", "line", "feed", "lot")
 
 
+#: Names of one operator, as a platform list and a source list write them.
+OPERATORS = {"first": ["site 3", "site 4"], "second": ["shop s1", "site 11"], "third": ["s7", "new"]}
+
+
 def _platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
-    platforms = c.select(k.alias("platform"), F.when(k % 3 == 0, F.concat(F.lit(" Site  "), k % 40)).otherwise(F.concat(F.lit("shop s"), k % 60, F.lit(" new"))).alias("name"), F.when(k % 2 == 0, F.concat(F.lit("HTTP://www.host"), k % 70, F.lit("/a"))).alias("url"))
-    sources = table(spark, sf_dir, "nation").select(F.concat(F.lit("s"), "n_nationkey").alias("id"), F.concat(F.lit("site "), "n_nationkey").alias("name"), F.concat(F.lit("https://host"), F.col("n_nationkey") + 20, F.lit("?x")).alias("url"))
-    return platform_sources(platforms, sources).select("platform", "source")
+    name = F.when(k % 3 == 0, F.concat(F.lit("Site "), k % 40)).otherwise(F.concat(F.lit("shop s"), k % 60, F.lit(" new")))
+    url = F.when(k % 4 == 0, F.concat(F.lit("HTTP://www.host"), k % 70, F.lit(".org/a"))).when(k % 4 == 1, F.concat(F.lit("https://shop.host"), k % 90, F.lit(".org")))
+    n, s = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    sources = n.select(s.alias("place"), F.concat(F.lit("s"), s).alias("id"), F.concat(F.lit("site "), s).alias("name"), F.concat(F.lit("https://"), F.when(s % 2 == 0, "shop.").otherwise(""), F.lit("host"), s + 20, F.lit(".org/x")).alias("url"))
+    return platform_sources(c.select(k.alias("platform"), name.alias("name"), url.alias("url")), sources, OPERATORS).select("platform", "source")
 
 
 def _stars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,7 +323,8 @@ QUERIES = {
     "e16_canonical_rows": lambda spark, sf_dir: canonical_rows(table(spark, sf_dir, "part").select("p_brand", F.col("p_type").alias("slug"), F.concat_ws(" ", "p_name", "p_size").alias("principle")), "p_brand", ["PROMO", "SMALL"]),
     "a48_star_stats": _stars,
     "a52_recall_stats": lambda spark, sf_dir: recall_stats(table(spark, sf_dir, "events").select("event_type", F.when(F.col("event_id") % 9 > 0, F.col("value")).alias("score")), F.col("event_type") == "click"),
-    "t09_few_shot": lambda spark, sf_dir: few_shot(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "P").alias("pinned"), (F.col("o_custkey") % 50).alias("support"), F.col("o_orderdate").alias("at")), 40).select("id"),
+    "t09_few_shot": lambda spark, sf_dir: few_shot(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "P").alias("pinned"), (F.col("o_custkey") % 50).alias("support"), F.col("o_orderdate").alias("at")), 400).select("id"),
+    "t09_latest_corrections": lambda spark, sf_dir: latest_corrections(table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"), F.lit("O").alias("predicted"), F.col("o_orderstatus").alias("actual")), 40).select("id"),
     "st07_reconciled": _reconciled,
 }
 
@@ -312,8 +351,14 @@ SQL = {
         SELECT p_partkey, list_bool_or(list_transform(['red small', 'ring promo', 'widget economy'], lambda p: contains(bare, p) OR contains(whole, p))) AS hit FROM n""",
     "j15_purchases_with_lots": f"""WITH {WINS}, l AS (SELECT * FROM orders WHERE o_orderstatus <> 'P'), c AS (SELECT o_orderkey % 130 AS k, min(o_orderkey) AS lot FROM l GROUP BY 1)
         SELECT w.id, w.line, w.feed, CASE w.feed WHEN 'F' THEN l.o_orderkey WHEN 'O' THEN c.lot END AS lot FROM wins w LEFT JOIN l ON l.o_orderkey = w.id LEFT JOIN c ON c.k = w.id % 100""",
-    "j28_platform_sources": """SELECT c_custkey AS platform, coalesce(CASE WHEN c_custkey % 3 = 0 AND c_custkey % 40 < 25 THEN 's' || c_custkey % 40 END, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 70 BETWEEN 20 AND 44 THEN 's' || (c_custkey % 70 - 20) END,
-        CASE WHEN c_custkey % 3 > 0 AND c_custkey % 60 < 25 THEN 's' || c_custkey % 60 END) AS source FROM customer""",
+    "j28_platform_sources": f"""WITH p AS (SELECT c_custkey AS platform, CASE WHEN c_custkey % 3 = 0 THEN 'site ' || c_custkey % 40 ELSE 'shop s' || c_custkey % 60 || ' new' END AS name,
+            CASE c_custkey % 4 WHEN 0 THEN 'host' || c_custkey % 70 || '.org' WHEN 1 THEN 'shop.host' || c_custkey % 90 || '.org' END AS d FROM customer),
+        s AS (SELECT n_nationkey AS place, 's' || n_nationkey AS id, 'site ' || n_nationkey AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'shop.' ELSE '' END || 'host' || n_nationkey + 20 || '.org' AS d FROM nation),
+        g AS (SELECT * FROM (VALUES {", ".join(f"({k}, {ws!r})" for k, ws in enumerate(OPERATORS.values()))}) v(g, ws)),
+        gs AS (SELECT g, ws, arg_min(id, place) AS id FROM g, s WHERE len(list_filter(ws, lambda w: contains(s.id, w) OR contains(s.name, w))) > 0 GROUP BY ALL),
+        u AS (SELECT platform, arg_min(s.id, s.place) AS id FROM p JOIN s ON p.d = s.d OR ends_with(p.d, '.' || s.d) OR ends_with(s.d, '.' || p.d) GROUP BY 1),
+        n AS (SELECT platform, arg_min(gs.id, gs.g) AS id FROM p JOIN gs ON len(list_filter(gs.ws, lambda w: contains(p.name, w))) > 0 GROUP BY 1)
+        SELECT p.platform, coalesce(u.id, n.id) AS source FROM p LEFT JOIN u ON u.platform = p.platform LEFT JOIN n ON n.platform = p.platform""",
     "e16_canonical_rows": """SELECT p_brand, p_type AS slug, p_name || ' ' || p_size AS principle FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_type NOT IN ('PROMO', 'SMALL'), -length(p_name || ' ' || p_size), p_name || ' ' || p_size, p_type) = 1""",
     "a48_star_stats": """WITH e AS (SELECT event_id % 3 = 0 AS s, event_id % 2 = 0 AS k, value > 50 AS p, event_id % 5 = 0 AS l FROM events)
         SELECT count(*) AS alerts, count(*) FILTER (WHERE s) AS starred, count(*) FILTER (WHERE s AND p) AS starred_push, count(*) FILTER (WHERE s AND NOT k) AS vip_only, count(*) FILTER (WHERE s AND NOT k AND p) AS vip_only_push,
@@ -321,7 +366,9 @@ SQL = {
     "a52_recall_stats": """WITH e AS (SELECT event_type = 'click' AS k, coalesce(CASE WHEN event_id % 9 > 0 THEN value END, 0) AS s FROM events)
         SELECT count(*) AS n, CAST(floor(100 * count(*) FILTER (WHERE s < 50)::DOUBLE / count(*) + 0.5) AS BIGINT) AS reject_pct, CAST(floor(CAST(sum(CAST(s AS DECIMAL(20,4))) AS DOUBLE) / count(*) + 0.5) AS BIGINT) AS avg,
         count(*) FILTER (WHERE k) AS kind_n, CAST(floor(100 * count(*) FILTER (WHERE k AND s < 50)::DOUBLE / count(*) FILTER (WHERE k) + 0.5) AS BIGINT) AS kind_reject_pct FROM e""",
-    "t09_few_shot": "SELECT o_orderkey AS id FROM orders ORDER BY o_orderstatus = 'P' DESC, o_custkey % 50 DESC, o_orderdate DESC, o_orderkey LIMIT 40",
+    "t09_few_shot": """WITH r AS (SELECT o_orderkey AS id, o_orderstatus = 'P' AS pinned, row_number() OVER (PARTITION BY o_orderstatus = 'P' ORDER BY o_custkey % 50 DESC, o_orderdate DESC, o_orderkey) AS place FROM orders)
+        SELECT id FROM r WHERE pinned OR place <= 400 - (SELECT count(*) FROM r WHERE pinned)""",
+    "t09_latest_corrections": "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'P' AND o_orderstatus <> 'O' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 40",
     "st07_reconciled": """WITH k AS (SELECT DISTINCT o_custkey AS id FROM orders), g AS (SELECT count(*) >= 50 AS sure FROM k)
         SELECT c_custkey AS id, CASE WHEN sure AND c_custkey % 3 = 0 THEN false ELSE c_acctbal > 0 END AS pending FROM customer, g WHERE NOT sure OR c_custkey IN (SELECT id FROM k)""",
 }

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import numbered, table, written
 
 #: Words of a query that don't count.
 STOP_WORDS = (
@@ -108,22 +110,26 @@ def normalized_url(url: Column) -> Column:
 
 
 def crawl_frontier(links: DataFrame, start: DataFrame, most_pages: int) -> DataFrame:
-    """(node, depth) reached from start by links (a, b), breadth first, until a level would pass most_pages.
+    """(node, depth) of the first most_pages pages reached from start by links (a, b), breadth first; within a level in order of node.
 
-    Each level is one join with the frontier; what was seen is left out by an anti join.
+    Each level is one join with the frontier; what was seen is left out by an anti join. Of the level that would pass
+    most_pages the first rows are taken that still fit.
     """
-    from ..session import written
-
-    seen = written(start.select("node").distinct().withColumn("depth", F.lit(0)), "seen")
-    frontier, depth = seen, 0
+    level, depth, found = start.select("node").distinct(), 0, 0
+    levels: list[DataFrame] = []
     while True:
+        room = most_pages - found
+        now = written(numbered(level, "node", name="place").filter(F.col("place") <= room).select("node", F.lit(depth).alias("depth")), "frontier")
+        n = now.count()
+        if n:
+            levels.append(now)
+        found += n
+        if not n or found >= most_pages:
+            return reduce(DataFrame.unionByName, levels) if levels else now
         depth += 1
-        step = links.join(frontier, links.a == frontier.node).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
-        frontier = written(step.withColumn("depth", F.lit(depth)), "frontier")
-        n = frontier.count()
-        if not n or seen.count() + n > most_pages:
-            return seen
-        seen = seen.unionByName(frontier)
+        level = links.join(now, links.a == now.node).select(F.col("b").alias("node")).filter("node is not null").distinct()
+        for seen in levels:
+            level = level.join(seen, "node", "left_anti")
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:

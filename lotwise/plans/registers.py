@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import numbered, table
 from ..views import WINS, wins
 from .conversion import MOST_TEXT
 
@@ -32,20 +32,36 @@ def rebuilt(ranked: DataFrame, previous: DataFrame, top: int) -> DataFrame:
 
 
 def watched_wins(decided: DataFrame, watch: DataFrame) -> DataFrame:
-    """Of each watched firm (inn, name): wins, their sum, customers, and how many wins the gate hid; firms without wins are left out."""
+    """Of each watched firm (inn, name): wins, their sum and median discount in percent, customers, and how many wins the gate hid.
+
+    Sums and discounts take wins in UZS alone; a discount needs both prices, and the won one not above the start. The median is
+    that of counted distinct discounts, so no firm's wins are gathered in a list. Firms without wins are left out.
+    """
     w = watch.select(F.col("inn").alias("_inn"), "name")
-    return (
-        decided.join(w, decided["winner_inn"] == w["_inn"])
-        .groupBy("winner_inn", "name")
-        .agg(F.count("*").alias("wins"), F.sum("won_price").cast("double").alias("sum_uzs"), F.count_distinct("category").alias("customers"), F.count_if("hidden").alias("hidden"))
-    )
+    uzs = (F.col("currency") == "UZS") & (F.col("won_price") > 0)
+    off = F.when(uzs & (F.col("start_price") > 0) & (F.col("won_price") <= F.col("start_price")), F.round((1 - F.col("won_price").cast("double") / F.col("start_price").cast("double")) * 100, 1))
+    joined = decided.join(w, decided["winner_inn"] == w["_inn"]).withColumn("off", off)
+    sums = joined.groupBy("winner_inn", "name").agg(
+        F.count("*").alias("wins"), F.coalesce(F.sum(F.when(uzs, F.col("won_price"))).cast("double"), F.lit(0.0)).alias("sum_uzs"),
+        F.count_distinct("category").alias("customers"), F.count_if("hidden").alias("hidden"),
+    )
+    return sums.join(median_of(joined.filter("off is not null"), "winner_inn", "off", "discount"), "winner_inn", "left")
+
+
+def median_of(rows: DataFrame, by: str, value: str, name: str) -> DataFrame:
+    """(by, name): the median of a column, the mean of the two middle values if there are two."""
+    counts = rows.groupBy(by, value).agg(F.count("*").alias("_n"))
+    upto, all_ = F.sum("_n").over(Window.partitionBy(by).orderBy(value)), F.sum("_n").over(Window.partitionBy(by))
+    placed = counts.select(by, value, upto.alias("_upto"), (upto - F.col("_n")).alias("_from"), all_.alias("_all"))
+    middle = lambda k: F.min(F.when((F.col("_from") <= k) & (k < F.col("_upto")), F.col(value)))
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    return placed.groupBy(by).agg(((middle(low) + middle(high)) / 2).alias(name))
 
 
-def new_names(decided: DataFrame, watch: DataFrame, most: int = 5) -> DataFrame:
-    """Winners with a number that aren't watched, by wins: candidates for the list."""
+def new_names(decided: DataFrame, watch: DataFrame) -> DataFrame:
+    """All winners with a number that aren't watched, with their wins: candidates for the list."""
     others = decided.filter("winner_inn is not null and not hidden").join(watch.select(F.col("inn").alias("winner_inn")), "winner_inn", "left_anti")
-    named = others.groupBy("winner_inn").agg(F.max("winner").alias("winner"), F.count("*").alias("wins"))
-    return named.orderBy(F.desc("wins"), "winner").limit(most)
+    return others.groupBy("winner_inn").agg(F.max("winner").alias("winner"), F.count("*").alias("wins"))
 
 
 def competition_rows(items: DataFrame) -> DataFrame:
@@ -94,15 +110,13 @@ def price_label(price: Column, currency: Column) -> Column:
 def _register(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     spent = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("score"), F.max("o_orderkey").alias("last"))
-    best = spent.orderBy(F.desc("score"), "o_custkey").limit(200).select(F.collect_list(F.struct("score", "o_custkey")).alias("all"))
-    order = F.array_sort("all", lambda a, b: F.when(a["score"] != b["score"], F.sign(b["score"] - a["score"]).cast("int")).otherwise(F.sign(a["o_custkey"] - b["o_custkey"]).cast("int")))
-    ranked = best.select(F.posexplode(order).alias("place", "row")).select(F.col("row.o_custkey").alias("inn"), (F.col("place") + 1).alias("rank"), "row.score").join(c.select(F.col("c_custkey").alias("inn"), F.col("c_name").alias("name")), "inn")
+    ranked = numbered(spent.withColumnRenamed("o_custkey", "inn"), F.desc("score"), "inn").join(c.select(F.col("c_custkey").alias("inn"), F.col("c_name").alias("name")), "inn")
     previous = c.filter("c_custkey % 4 = 0").select(F.col("c_custkey").alias("inn"), F.concat("c_name", F.lit(" old")).alias("name"), (F.col("c_custkey") % 12 == 0).alias("pinned"), F.col("c_mktsegment").alias("note"))
     return rebuilt(ranked, previous, 50)
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wins(spark, sf_dir).withColumn("hidden", F.col("feed") == "O")
+    return wins(spark, sf_dir).withColumn("hidden", F.col("feed") == "O").withColumn("currency", F.when(F.col("line") == 5, "USD").otherwise("UZS"))
 
 
 def _watch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,12 +159,13 @@ QUERIES = {
 }
 
 SQL = {
-    "e15_rebuilt_register": """WITH s AS (SELECT o_custkey AS inn, count(*) AS score FROM orders GROUP BY 1), r AS (SELECT inn, c_name AS name, score, row_number() OVER (ORDER BY score DESC, inn) AS rank FROM s JOIN customer ON c_custkey = inn QUALIFY rank <= 200),
+    "e15_rebuilt_register": """WITH s AS (SELECT o_custkey AS inn, count(*) AS score FROM orders GROUP BY 1), r AS (SELECT inn, c_name AS name, score, row_number() OVER (ORDER BY score DESC, inn) AS rank FROM s JOIN customer ON c_custkey = inn),
         p AS (SELECT c_custkey AS inn, c_name || ' old' AS name, c_custkey % 12 = 0 AS pinned, c_mktsegment AS note FROM customer WHERE c_custkey % 4 = 0)
         SELECT coalesce(r.inn, p.inn) AS inn, coalesce(r.name, p.name) AS name, rank, coalesce(score, 0) AS score, coalesce(pinned, false) AS pinned, note FROM r FULL JOIN p ON p.inn = r.inn WHERE rank <= 50 OR pinned""",
-    "a19_watched_wins": f"""WITH {WINS} SELECT winner_inn, lower(s_name) AS name, count(*) AS wins, CAST(sum(won_price) AS DOUBLE) AS sum_uzs, count(DISTINCT category) AS customers, count(*) FILTER (WHERE feed = 'O') AS hidden
+    "a19_watched_wins": f"""WITH {WINS} SELECT winner_inn, lower(s_name) AS name, count(*) AS wins, CAST(coalesce(sum(won_price) FILTER (WHERE line <> 5), 0) AS DOUBLE) AS sum_uzs, count(DISTINCT category) AS customers, count(*) FILTER (WHERE feed = 'O') AS hidden,
+            median(round((1 - CAST(won_price AS DOUBLE) / CAST(start_price AS DOUBLE)) * 100, 1)) FILTER (WHERE line <> 5 AND start_price > 0 AND won_price <= start_price) AS discount
         FROM wins JOIN supplier ON s_suppkey = winner_inn WHERE winner_inn % 3 = 0 GROUP BY 1, 2""",
-    "a19_new_names": f"WITH {WINS} SELECT winner_inn, max(winner) AS winner, count(*) AS wins FROM wins WHERE winner_inn % 3 > 0 AND feed <> 'O' GROUP BY 1 ORDER BY wins DESC, winner LIMIT 5",
+    "a19_new_names": f"WITH {WINS} SELECT winner_inn, max(winner) AS winner, count(*) AS wins FROM wins WHERE winner_inn % 3 > 0 AND feed <> 'O' GROUP BY 1",
     "p31_competitions": """SELECT 'competition-' || o_orderkey AS id, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority ELSE 'Конкурс #' || o_orderkey END AS title, CASE WHEN o_orderkey % 5 > 0 THEN nullif(o_totalprice, 0) END AS price,
         CASE WHEN o_orderkey % 2 = 0 THEN 'USD' ELSE 'UZS' END AS currency, concat_ws(', ', CASE WHEN o_orderkey % 7 > 0 THEN 'R' END, CASE WHEN o_orderkey % 4 > 0 THEN 'D' END) AS region,
         CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority ELSE '' END AS categories, CAST(o_orderdate AS DATE) AS ends FROM orders""",

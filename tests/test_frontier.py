@@ -16,10 +16,8 @@ def test_frontier_equals_breadth_first_search(spark):
     df = spark.createDataFrame(sorted(links), "a long, b long")
     for most in (1, 8, 25, 1000):
         depth, level = {0: 0}, [0]
-        while True:
-            level = sorted({b for a, b in links if a in level} - set(depth))
-            if not level or len(depth) + len(level) > most:
-                break
+        while level and len(depth) < most:
+            level = sorted({b for a, b in links if a in level} - set(depth))[: most - len(depth)]
             depth |= {n: max(depth.values()) + 1 for n in level}
         got = pages.crawl_frontier(df, spark.createDataFrame([(0,)], "node long"), most).collect()
         assert {r.node: r.depth for r in got} == depth and len(got) == len(depth)
