@@ -8,6 +8,10 @@ tokens, and the hash of the whole window is compared where the keys meet. A join
 each value in it of the item stands for one value of the document and the other way round, so a question with other numbers
 or names is caught and a chance meeting of placeholders is not. Windows of tokens folded to lower case are joined as well and
 always count: a copy word for word is a leak wherever its capitals stand and whatever else of the passage was changed.
+
+Of an item's windows that read alike, only the first is asked: those of equal folded tokens, and those of equal canonical
+tokens whose slots repeat in the same pattern, which are consistent with the same windows. So what a place of a document
+meets of an item is bounded, however often the item, the document or both repeat themselves.
 """
 
 from __future__ import annotations
@@ -78,7 +82,8 @@ def windows(docs: DataFrame, own: list[str], window: int) -> DataFrame:
 def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
     """(item_id, size, at, own, canon, hashes): own and canon are the window's tokens as written and as canonical.
 
-    hashes: (key, hash) of the folded tokens, and of the canonical ones if enough of them are literal.
+    hashes: (key, hash, pattern) of the folded tokens, and of the canonical ones if enough of them are literal; pattern says for
+    each slot of canonical tokens which slot first has its value, and is empty for folded ones.
     """
     own = F.split(marked(F.col("text")), " ")
     tokens = items.filter("item_id is not null").select("item_id", own.alias("own"), F.split(canonical(marked(F.col("text"))), " ").alias("canon"))
@@ -87,7 +92,9 @@ def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
     cut = starts.select("item_id", "size", "at", F.slice("own", F.col("at"), F.col("size")).alias("own"), F.slice("canon", F.col("at"), F.col("size")).alias("canon"))
     literal = F.size(F.filter("canon", lambda x: ~x.startswith("#")))
     run = lambda c: lambda n: key_of([F.get(c, F.lit(k)) for k in range(n)])
-    hashes = lambda c: F.struct(run(c)(LEAST_TOKENS).alias("key"), _by_size(F.col("size"), window, run(c)).alias("hash"))
+    values = F.transform(F.filter(F.arrays_zip("own", "canon"), lambda x: x["canon"].startswith("#")), lambda x: F.lower(F.translate(x["own"], MARK, "")))
+    pattern = {"c": F.array_join(F.transform(values, lambda v: F.array_position(values, v)), " "), "l": F.lit("")}
+    hashes = lambda c: F.struct(run(c)(LEAST_TOKENS).alias("key"), _by_size(F.col("size"), window, run(c)).alias("hash"), pattern[c].alias("pattern"))
     held = cut.withColumn("c", F.transform("canon", even)).withColumn("l", F.transform("own", lambda x: even(folded(x))))
     both = F.array_distinct(F.array_compact(F.array(F.when(2 * literal >= F.col("size"), hashes("c")), hashes("l"))))
     return held.select("item_id", "size", "at", "own", "canon", both.alias("hashes"))
@@ -104,14 +111,15 @@ def _by_size(size: Column, window: int, make) -> Column:
 def leaks(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, item_id, n_windows, first_token, n_slots, n_changed: the items that a document holds, one row for each pair.
 
-    docs (doc_id, text), items (item_id, text); further columns are ignored. n_windows: distinct joined windows that are
-    consistent or copied word for word; n_slots, n_changed: their distinct slot values, and those that differ from the item's.
+    docs (doc_id, text), items (item_id, text); further columns are ignored. n_windows: places of the document whose window is
+    consistent with one of the item's or copied word for word; first_token: the first of them; n_slots, n_changed: their
+    distinct slot values, and those that differ from the item's (of windows that read alike, the item's first).
     Null and empty texts match nothing; rows that repeat a doc_id give one row an item (null doc_ids together too); null
     item_ids are left out; a text may be of any length; either table may be empty. window is at least LEAST_TOKENS.
     """
     held = benchmark_windows(items, window)
     few = held.count() <= BROADCAST_WINDOWS
-    sides = held.select("item_id", "size", "at", F.inline("hashes"))
+    sides = held.select("item_id", "size", "at", F.inline("hashes")).groupBy("item_id", "size", "key", "hash", "pattern").agg(F.min("at").alias("at")).drop("pattern")
     text_id = F.xxhash64("text").alias("text_id")
     placed = windows(docs.select("doc_id", text_id, "text"), ["doc_id", "text_id"], window)
     tokens = [F.col(f"h{k}") for k in range(1, window + 1)]
@@ -138,10 +146,10 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
         F.arrays_zip(F.col("own"), F.when(copied, F.col("own")).otherwise(F.col("theirs")).alias("theirs"), F.col("canon")), lambda x: x["canon"].startswith("#")
     )
     lowered = F.array_distinct(F.transform(slot, lambda x: F.struct(F.lower(x["own"]).alias("ours"), F.lower(x["theirs"]).alias("theirs"))))
-    pairs = pairs.select("doc_id", "text_id", "item_id", "place", (F.col("place") - F.col("at")).alias("diagonal"), lowered.alias("slots"))
+    pairs = pairs.select("doc_id", "text_id", "item_id", "place", lowered.alias("slots"))
     ours, theirs = F.array_distinct(F.transform("slots", lambda x: x["ours"])), F.array_distinct(F.transform("slots", lambda x: x["theirs"]))
     sound = pairs.filter((F.size("slots") == F.size(ours)) & (F.size("slots") == F.size(theirs)))
-    lines = sound.groupBy("doc_id", "text_id", "item_id", "diagonal").agg(
+    lines = sound.groupBy("doc_id", "text_id", "item_id").agg(
         F.count_distinct("place").alias("n"), F.min("place").alias("first"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
     changed = F.size(F.filter("slots", lambda x: x["ours"] != x["theirs"]))

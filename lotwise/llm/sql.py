@@ -76,18 +76,20 @@ b AS ({_canon("benchmark", "item_id")}),
 bw AS (SELECT item_id, size, spot, own[spot:spot + size - 1] AS own, canon[spot:spot + size - 1] AS canon
        FROM (SELECT *, least(len(canon), 10) AS size, unnest(range(1, len(canon) - least(len(canon), 10) + 2)) AS spot FROM b WHERE len(canon) >= {LEAST_TOKENS})),
 held AS (SELECT *, array_to_string(canon, ' ') AS key, array_to_string({_folded("own")}, ' ') AS literal,
-                2 * len(list_filter(canon, lambda x: NOT starts_with(x, '#'))) >= size AS telling FROM bw),
+                2 * len(list_filter(canon, lambda x: NOT starts_with(x, '#'))) >= size AS telling,
+                list_transform(list_filter(range(1, len(canon) + 1), lambda k: starts_with(canon[k], '#')), lambda k: {_folded("own")}[k]) AS vals FROM bw),
+asked AS (SELECT item_id, size, key AS text, true AS template, min(spot) AS spot FROM held WHERE telling GROUP BY item_id, size, key, list_transform(vals, lambda v: list_position(vals, v))
+          UNION ALL SELECT item_id, size, literal, false, min(spot) FROM held GROUP BY item_id, size, literal),
 dw AS (SELECT doc_id, rid, size, place, own[place:place + size - 1] AS own, array_to_string(canon[place:place + size - 1], ' ') AS key,
               array_to_string({_folded("own[place:place + size - 1]")}, ' ') AS literal
        FROM (SELECT d.*, s.size, unnest(range(1, len(canon) - s.size + 2)) AS place FROM d, (SELECT DISTINCT size FROM held) s WHERE len(canon) >= s.size)),
-met AS (SELECT dw.rid, dw.place, held.item_id, held.size, held.spot FROM dw JOIN held ON held.key = dw.key AND held.size = dw.size WHERE telling
-        UNION SELECT dw.rid, dw.place, held.item_id, held.size, held.spot FROM dw JOIN held ON held.literal = dw.literal AND held.size = dw.size),
-hit AS (SELECT dw.doc_id, met.rid, met.item_id, met.place, met.place - met.spot AS diagonal, held.canon, {_folded("held.own")} AS ours,
+met AS (SELECT DISTINCT dw.rid, dw.place, asked.item_id, asked.size, asked.spot FROM dw JOIN asked ON asked.size = dw.size AND asked.text = CASE WHEN asked.template THEN dw.key ELSE dw.literal END),
+hit AS (SELECT dw.doc_id, met.rid, met.item_id, met.place, held.canon, {_folded("held.own")} AS ours,
                CASE WHEN held.literal = dw.literal THEN {_folded("held.own")} ELSE {_folded("dw.own")} END AS theirs
         FROM met JOIN held ON held.item_id = met.item_id AND held.size = met.size AND held.spot = met.spot JOIN dw ON dw.rid = met.rid AND dw.size = met.size AND dw.place = met.place),
 slotted AS (SELECT *, list_distinct(list_transform(list_filter(range(1, len(canon) + 1), lambda k: starts_with(canon[k], '#')), lambda k: [ours[k], theirs[k]])) AS slots FROM hit),
 sound AS (SELECT * FROM slotted WHERE len(slots) = len(list_distinct(list_transform(slots, lambda x: x[1]))) AND len(slots) = len(list_distinct(list_transform(slots, lambda x: x[2])))),
-line AS (SELECT doc_id, rid, item_id, diagonal, count(DISTINCT place) AS n, min(place) AS first, list_distinct(flatten(list(slots))) AS slots FROM sound GROUP BY doc_id, rid, item_id, diagonal)
+line AS (SELECT doc_id, rid, item_id, count(DISTINCT place) AS n, min(place) AS first, list_distinct(flatten(list(slots))) AS slots FROM sound GROUP BY doc_id, rid, item_id)
 SELECT doc_id, item_id, CAST(sum(n) AS BIGINT) AS n_windows, CAST(min(first) AS INTEGER) AS first_token,
        CAST(sum(len(slots)) AS BIGINT) AS n_slots, CAST(sum(len(list_filter(slots, lambda x: x[1] <> x[2]))) AS BIGINT) AS n_changed
 FROM line GROUP BY doc_id, item_id

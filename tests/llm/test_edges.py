@@ -475,3 +475,26 @@ def test_learnt_operators_over_odd_rows(spark, clashing):
     assert {r.toxicity for r in toxicity.score_with_labels(clashing, none, labels, held).collect()} == {0.5}
     assert quality.score(none, quality.fit(known.limit(0))).count() == 0
     assert langid.predict(none, model).count() == 0 and toxicity.score_with_labels(none, clashing, labels, held).count() == 0
+
+
+def test_rules_of_many_keys_that_occur_together(spark):
+    rng = random.Random(4)
+    keys = [f"key:k{k:02}" for k in range(25)]
+    rows = [(sorted({"site:a.b", *([k for k in keys if rng.random() < 0.9] if i % 100 == 0 else ["end:html"])}), "block" if i % 100 == 0 else "allow") for i in range(4000)]
+    mined = urlrules.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), 0.005, 0.6, 2).collect()
+    want = {}
+    for pair in {tuple(sorted({a, b})) for t, _ in rows for a in t for b in t}:
+        held = Counter(label for t, label in rows if set(pair) <= set(t))
+        for label, n in held.items():
+            if n >= 20 and n / sum(held.values()) >= 0.6:
+                want[pair, label] = (n / sum(held.values()), n / len(rows))
+    assert {(tuple(r.antecedent), r.label) for r in mined} == set(want)
+    assert all(abs(r.confidence - want[tuple(r.antecedent), r.label][0]) < 1e-9 and abs(r.support - want[tuple(r.antecedent), r.label][1]) < 1e-9 for r in mined)
+
+
+def test_leaks_of_repeated_tokens(spark):
+    n = 2000
+    docs = spark.createDataFrame([(i, "word " * (4 * n)) for i in range(10)] + [(20, "clean text of some other words entirely apart from it")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "word " * n), (2, " ".join(f"it costs {k} now" for k in range(n)))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.leaks(docs, items).collect()}
+    assert set(got) == {(i, 1) for i in range(10)} and got[3, 1].n_windows == 4 * n - 9 and got[3, 1].first_token == 1 and got[3, 1].n_slots == 0
