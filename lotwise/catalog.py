@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans import alerts, analytics, conversion, feeds, freshness, gates, health, identity, ledger, matching, outcomes, pages, records, registers, registry, reports, trends
-from .sources import html_queries
+from .sources import html_queries, paging_queries
 from .sources import queries as sources
 from .streaming import late
 from .streaming import queries as streaming
 
-MODULES = (freshness, gates, analytics, ledger, trends, identity, alerts, matching, outcomes, records, registry, reports, pages, feeds, health, conversion, registers, sources, html_queries, streaming, late)
+MODULES = (freshness, gates, analytics, ledger, trends, identity, alerts, matching, outcomes, records, registry, reports, pages, feeds, health, conversion, registers, sources, html_queries, paging_queries, streaming, late)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
