@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, text
+from ..functions import dates, dictionary, text
 from ..session import table
 from .identity import LOTS, lots
 
@@ -108,10 +108,19 @@ def _muted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutes(docs.join(labels, "doc_id").select(F.concat_ws("/", "source", "lang").alias("source"), (1 - F.col("toxic")).alias("good")), 1)
 
 
+def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by a dictionary of the words of the benchmark's items."""
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("keyword")
+    words = table(spark, sf_dir, "benchmark").select(word).filter(F.char_length("keyword") >= 5).distinct()
+    entries = words.select("keyword", (F.char_length("keyword") * 7 % 11).alias("rank"), F.lit(False).alias("weak"), F.lit(False).alias("whole"), F.lit(None).cast("array<string>").alias("not_before"))
+    return dictionary.first_keywords(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), entries)
+
+
 QUERIES = {
     "f06_prefilter": lambda spark, sf_dir: _judged(spark, sf_dir).select("id", "dropped_at", "matched_kw", "bypass", "passed"),
     "f06_stage_counters": lambda spark, sf_dir: stage_counters(_judged(spark, sf_dir)),
     "f08_deadlines": lambda spark, sf_dir: lots(spark, sf_dir).select("id", dates.deadline_day(F.col("deadline")).alias("day"), dates.deadline_expired(F.col("deadline"), F.lit(_NOW).cast("timestamp")).alias("expired")),
+    "f10_keyword_table": _dictionary,
     "f10_first_keyword": lambda spark, sf_dir: lots(spark, sf_dir).select("id", text.first_keyword(F.concat_ws(" ", "search_text", "title"), KEYWORDS).alias("keyword")),
     "p_push_or_digest": _routed,
     "a40_scorecard": _scored,
@@ -135,10 +144,16 @@ _JUDGED = f"""{LOTS}, j0 AS (SELECT *, {_sql_keyword(_LOW, _ARGS["weak"], _ARGS[
         WHEN {_EXPIRED} THEN 'deadline_expired' WHEN kw IS NULL THEN 'no_keyword' WHEN bad THEN 'reject_title' END AS dropped_at FROM j0),
     judged AS (SELECT *, CASE WHEN dropped_at IS NULL THEN kw END AS matched_kw, dropped_at IS NULL AND source IN ('src1', 'src2') AND hint AS bypass, dropped_at IS NULL AS passed FROM j1)"""
 
+_STEM = "coalesce(" + ", ".join(f"CASE WHEN ends_with(k, '{x}') AND length(k) - {len(x)} >= {text.LEAST_STEM} THEN k[:length(k) - {len(x)}] END" for x in text.SUFFIXES) + ")"
+
 SQL = {
     "f06_prefilter": f"WITH {_JUDGED} SELECT id, dropped_at, matched_kw, bypass, passed FROM judged",
     "f06_stage_counters": f"WITH {_JUDGED} SELECT coalesce(dropped_at, CASE WHEN bypass THEN 'bypass' ELSE 'passed' END) AS stage, count(*) AS cnt FROM judged GROUP BY 1",
     "f08_deadlines": f"WITH {LOTS} SELECT id, {_DAY_SQL} AS day, {_EXPIRED} AS expired FROM lots",
+    "f10_keyword_table": """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS k FROM benchmark), k AS (SELECT k, length(k) * 7 % 11 AS rank FROM w WHERE length(k) >= 5),
+        s AS (SELECT k, rank, CASE WHEN length(k) <= 4 THEN k ELSE coalesce(""" + _STEM + """, k) END AS root FROM k),
+        t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '\\p{L}+')) AS word FROM documents), p AS (SELECT DISTINCT doc_id, word[:n] AS root FROM t, (SELECT DISTINCT length(root) AS n FROM s) WHERE length(word) >= n)
+        SELECT doc_id AS id, arg_min(k, (rank, k)) AS keyword FROM p JOIN s ON p.root = s.root GROUP BY doc_id""",
     "f10_first_keyword": f"WITH {LOTS} SELECT id, {_sql_keyword(_LOW)} AS keyword FROM lots",
     "p_push_or_digest": f"""WITH {LOTS}, r AS (SELECT id, source, price, id % 101 AS score, id % 3 AS bids, CASE WHEN id % 4 <> 0 THEN deadline END AS deadline, CASE WHEN id % 4 <> 0 THEN {_DAY_SQL} END AS day FROM lots)
         SELECT id, CASE WHEN source = 'src4' THEN false WHEN source IN ('src5', 'src6') AND bids > 0 THEN true WHEN coalesce(price >= 2e7, false) THEN true WHEN score >= 95 AND coalesce(price >= 1e7, false) THEN true
