@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import alerts, analytics, conversion, feeds, freshness, gates, health, identity, ledger, matching, outcomes, pages, records, register_changes, registers, registry, reports, trends
+from .plans import alerts, analytics, conversion, feeds, freshness, gates, health, identity, ledger, ledger_rows, matching, outcomes, pages, records, register_changes, registers, registry, reports, trends
 from .sources import html_queries, paging_queries
 from .sources import queries as sources
 from .streaming import late, session_queries
 from .streaming import queries as streaming
 
-MODULES = (freshness, gates, analytics, ledger, trends, identity, alerts, matching, outcomes, records, registry, reports, pages, feeds, health, conversion, registers, register_changes, sources, html_queries, paging_queries, streaming, late, session_queries)
+MODULES = (freshness, gates, analytics, ledger, trends, identity, alerts, matching, outcomes, records, registry, reports, pages, feeds, health, conversion, registers, register_changes, ledger_rows, sources, html_queries, paging_queries, streaming, late, session_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
