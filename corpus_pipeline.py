@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,10 +53,12 @@ STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_dedup", d
 def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
     """The stages over documents, each on the table that the one before it wrote.
 
-    With a folder of the shared store, a stage's table lies there under the stage's name, and a run that was stopped goes on
-    after the last stage that was written whole; without, every run has a new folder. An empty table gives an empty table.
+    With a folder of the shared store, a stage's table lies there under a digest of sf_dir and the stage's name, and a run over
+    the same input that was stopped goes on after the last stage that was written whole; without, every run has a new folder.
+    An empty table gives an empty table.
     """
-    docs, folder = read(spark, sf_dir, "documents"), folder or new_path(spark, "pipeline")
+    docs = read(spark, sf_dir, "documents")
+    folder = f"{folder}/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}" if folder else new_path(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         docs = once(spark, partial(stage, spark, docs, sf_dir), f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -81,10 +81,12 @@ def test_pipeline_goes_on_where_it_stopped(spark, tmp_path):
     spark.createDataFrame([(1, "a question of some ten words and a few more of them")], "item_id long, text string").write.parquet(f"{folder}/in/benchmark.parquet")
     first = corpus_pipeline.run(spark, f"{folder}/in", f"{folder}/run").count()
     assert first == 33  # of the two equal rows one stays
-    stages = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "run").iterdir()}
+    (own,) = (tmp_path / "run").iterdir()
+    stages = {p.name: p.stat().st_mtime_ns for p in own.iterdir()}
     assert set(stages) == {name for name, _ in corpus_pipeline.STAGES[:-1]}
     assert corpus_pipeline.run(spark, f"{folder}/in", f"{folder}/run").count() == first
-    assert {p.name: p.stat().st_mtime_ns for p in (tmp_path / "run").iterdir()} == stages
+    assert {p.name: p.stat().st_mtime_ns for p in own.iterdir()} == stages
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/in/{name}.parquet").limit(0).write.parquet(f"{folder}/none/{name}.parquet")
     assert corpus_pipeline.run(spark, f"{folder}/none").count() == 0
+    assert corpus_pipeline.run(spark, f"{folder}/none", f"{folder}/run").count() == 0  # another input in the same folder
