@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path, table
-from . import monitor
+from . import monitor, silence
 
 
 def _folder(spark: SparkSession) -> str:
@@ -34,7 +34,7 @@ def observations(rows: DataFrame) -> DataFrame:
 
 
 def _silence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.run_to_end(monitor.silence_monitor(observations(events_stream(spark, sf_dir))), "append", _folder(spark))
+    return silence.silence_stream(observations(events_stream(spark, sf_dir)), _folder(spark))
 
 
 QUERIES = {"st02_tumbling_windows": _windows, "st14_first_seen": _seen, "st06_silence_monitor": _silence}
