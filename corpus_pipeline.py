@@ -19,12 +19,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have the score of the model's constant. Rows that repeat go or stay together. Without labels all
     scores are 0.5, which says nothing, and all rows stay. A column named toxicity is left as it is.
     """
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    rows = docs.select(F.struct("*").alias("row"))
     known = toxicity.labelled_documents(docs, read(spark, sf_dir, "labels"), "toxic", held_out(5, 0), toxicity.MOST)
     weights = toxicity.fit(known)
     if weights.isEmpty():
         return docs
-    return toxicity.score(rows, weights).filter("toxicity < 0.5").select("row.*")
+    return toxicity.score(rows, weights, text="row.text").filter("toxicity < 0.5").select("row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,7 +66,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     wanted = docs.select("doc_id", held_out(5, 0).alias("held_out"), "text")
-    out = toxicity.score_with_labels(wanted, docs, read(spark, sf_dir, "labels"), held_out(5, 0))
+    out = toxicity.score_with_labels(wanted, docs, read(spark, sf_dir, "labels"), held_out(5, 0), without=("text",))
     return out.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -131,11 +131,11 @@ def fit(labelled: DataFrame, bits: int = BITS, epochs: int = EPOCHS, most: int =
     return out
 
 
-def score(docs: DataFrame, weights: DataFrame, bits: int = BITS) -> DataFrame:
-    """docs with a column toxicity (0 to 1). A null or empty text has the score of the constant alone.
+def score(docs: DataFrame, weights: DataFrame, bits: int = BITS, text: str = "text", without: tuple[str, ...] = ()) -> DataFrame:
+    """docs with a column toxicity (0 to 1) of the column or field `text`. A null or empty text has the score of the constant alone.
 
-    Rows that repeat are scored each; further columns stay, but a column toxicity is replaced; long texts count whole; an
-    empty table gives an empty table.
+    Rows that repeat are scored each; further columns stay, but for those in `without` (a text that isn't wanted back need not
+    go to Python twice), and a column toxicity is replaced; long texts count whole; an empty table gives an empty table.
     """
     table = np.zeros((1 << bits) + 1)
     for row in weights.toLocalIterator():  # at most 2^bits + 1 short rows
@@ -143,21 +143,22 @@ def score(docs: DataFrame, weights: DataFrame, bits: int = BITS) -> DataFrame:
     at = np.flatnonzero(table)
     model = docs.sparkSession.sparkContext.broadcast((at, table[at]))
     docs = docs.drop("toxicity")
-    own = docs.columns
+    asked = docs.select("*", F.col(text).cast("binary").alias("__bytes")).drop(*without)
+    own = asked.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, w = model.value
-        table = np.zeros((1 << bits) + 1)
+        table = np.zeros((1 << bits) + 1, np.float32)
         table[at] = w
         for batch in batches:
             out = []
             for _, _, buf, offsets in slices(batch.column(len(own))):
-                out += [table[slot].sum() + table[-1] for slot in slots(buf, offsets, bits)]
+                out += [table[slot].sum(dtype=np.float64) + table[-1] for slot in slots(buf, offsets, bits)]
             columns = [batch.column(k) for k in range(len(own))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sigmoid(np.array(out)))], names=[*own, "toxicity"])
 
-    kinds = StructType([*docs.schema.fields, StructField("toxicity", DoubleType())])
-    return docs.select("*", F.col("text").cast("binary").alias("__bytes")).mapInArrow(run, kinds)
+    kinds = StructType([*asked.schema.fields[:-1], StructField("toxicity", DoubleType())])
+    return asked.mapInArrow(run, kinds)
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most: int) -> DataFrame:
@@ -167,10 +168,10 @@ def labelled_documents(docs: DataFrame, labels: DataFrame, label: str, held_out:
     return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most `most` rows
 
 
-def score_with_labels(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, held_out: Column, most: int = MOST) -> DataFrame:
+def score_with_labels(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, held_out: Column, most: int = MOST, without: tuple[str, ...] = ()) -> DataFrame:
     """docs with toxicity by a model fitted on train_docs and labels.toxic; held_out is a condition on doc_id.
 
     Null texts count as empty, rows that repeat are scored each, further columns stay, an empty table gives an empty table.
     Without any labelled row all scores are 0.5.
     """
-    return score(docs, fit(labelled_documents(train_docs, labels, "toxic", held_out, most), most=most))
+    return score(docs, fit(labelled_documents(train_docs, labels, "toxic", held_out, most), most=most), without=without)
