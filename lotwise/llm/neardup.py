@@ -157,22 +157,30 @@ def _agreeing(ours: np.ndarray, theirs: np.ndarray, most: int) -> np.ndarray:
 
 
 def _forest(table: pa.Table, most: int) -> pa.Table:
-    """A spanning forest of the members whose sketches agree."""
+    """The trees of the members whose sketches agree: each member with the least of its tree, so that tables of one group give the same edges."""
     table = table.combine_chunks()
     cid = table.column("cid").to_numpy()
     flat = table.column("sketch").combine_chunks().flatten().to_numpy().view(U64)
     sketch = flat.reshape(len(cid), -1) if len(cid) else flat.reshape(0, 1)
     tree = np.arange(len(cid))
-    edges = []
     for i in range(len(cid)):
         other = np.flatnonzero(tree != tree[i])
         if not len(other):
-            continue
+            break
         near = other[_agreeing(sketch[other], sketch[i], most)]
         for t in np.unique(tree[near]):
-            edges.append((cid[i], cid[t]))  # a tree goes by the place of one of its members
             tree[tree == t] = tree[i]
-    return pa.table({"a": pa.array([x for x, _ in edges], pa.int64()), "b": pa.array([y for _, y in edges], pa.int64())})
+    least = np.full(len(cid), np.iinfo(np.int64).max)
+    np.minimum.at(least, tree, cid)
+    own = cid != least[tree] if len(cid) else np.empty(0, bool)
+    return pa.table({"a": pa.array(cid[own], pa.int64()), "b": pa.array(least[tree][own] if len(cid) else cid, pa.int64())})
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Fewer edges with the same components: each node keeps its least lesser neighbour, and its other ones go on with that one."""
+    least = F.min("b").over(Window.partitionBy("a"))
+    told = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().withColumn("least", least), "told")
+    return told.select("a", F.col("least").alias("b")).union(told.filter("b <> least").select("b", "least")).distinct()
 
 
 def _families(classes: DataFrame, h: int, t: int) -> DataFrame:
@@ -195,9 +203,8 @@ def _families(classes: DataFrame, h: int, t: int) -> DataFrame:
         return _forest(table, most)
 
     found = dealt.groupBy("key", "p", "q").applyInArrow(forest, "a long, b long")
-    # A class agrees with a head in each of many tables: it keeps its least, and the heads that it ties to that go on among themselves.
-    agreed = asked.filter("agrees").select("cid", "head").distinct().withColumn("least", F.min("head").over(Window.partitionBy("cid")))
-    edges = agreed.select(F.col("cid").alias("a"), F.col("least").alias("b")).union(agreed.select("head", "least")).union(found)
+    # A class meets a head or the least of a tree in each of many tables: it keeps its least one, and the others that it ties to that one go on among themselves.
+    edges = _contracted(_contracted(asked.filter("agrees").select(F.col("cid").alias("a"), F.col("head").alias("b")).union(found)))
     out = connected_components(edges).select(F.col("node").alias("cid"), F.col("component").alias("family"))
     discard(tables, asked)
     return out
