@@ -323,7 +323,7 @@ QUERIES = {
     "e16_canonical_rows": lambda spark, sf_dir: canonical_rows(table(spark, sf_dir, "part").select("p_brand", F.col("p_type").alias("slug"), F.concat_ws(" ", "p_name", "p_size").alias("principle")), "p_brand", ["PROMO", "SMALL"]),
     "a48_star_stats": _stars,
     "a52_recall_stats": lambda spark, sf_dir: recall_stats(table(spark, sf_dir, "events").select("event_type", F.when(F.col("event_id") % 9 > 0, F.col("value")).alias("score")), F.col("event_type") == "click"),
-    "t09_few_shot": lambda spark, sf_dir: few_shot(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "P").alias("pinned"), (F.col("o_custkey") % 50).alias("support"), F.col("o_orderdate").alias("at")), 400).select("id"),
+    "t09_few_shot": lambda spark, sf_dir: few_shot(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 100 == 0).alias("pinned"), (F.col("o_custkey") % 50).alias("support"), F.col("o_orderdate").alias("at")), 400).select("id"),
     "t09_latest_corrections": lambda spark, sf_dir: latest_corrections(table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"), F.lit("O").alias("predicted"), F.col("o_orderstatus").alias("actual")), 40).select("id"),
     "st07_reconciled": _reconciled,
 }
@@ -366,7 +366,7 @@ SQL = {
     "a52_recall_stats": """WITH e AS (SELECT event_type = 'click' AS k, coalesce(CASE WHEN event_id % 9 > 0 THEN value END, 0) AS s FROM events)
         SELECT count(*) AS n, CAST(floor(100 * count(*) FILTER (WHERE s < 50)::DOUBLE / count(*) + 0.5) AS BIGINT) AS reject_pct, CAST(floor(CAST(sum(CAST(s AS DECIMAL(20,4))) AS DOUBLE) / count(*) + 0.5) AS BIGINT) AS avg,
         count(*) FILTER (WHERE k) AS kind_n, CAST(floor(100 * count(*) FILTER (WHERE k AND s < 50)::DOUBLE / count(*) FILTER (WHERE k) + 0.5) AS BIGINT) AS kind_reject_pct FROM e""",
-    "t09_few_shot": """WITH r AS (SELECT o_orderkey AS id, o_orderstatus = 'P' AS pinned, row_number() OVER (PARTITION BY o_orderstatus = 'P' ORDER BY o_custkey % 50 DESC, o_orderdate DESC, o_orderkey) AS place FROM orders)
+    "t09_few_shot": """WITH r AS (SELECT o_orderkey AS id, o_orderkey % 100 = 0 AS pinned, row_number() OVER (PARTITION BY o_orderkey % 100 = 0 ORDER BY o_custkey % 50 DESC, o_orderdate DESC, o_orderkey) AS place FROM orders)
         SELECT id FROM r WHERE pinned OR place <= 400 - (SELECT count(*) FROM r WHERE pinned)""",
     "t09_latest_corrections": "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'P' AND o_orderstatus <> 'O' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 40",
     "st07_reconciled": """WITH k AS (SELECT DISTINCT o_custkey AS id FROM orders), g AS (SELECT count(*) >= 50 AS sure FROM k)
