@@ -200,6 +200,9 @@ SQL = {
             CASE WHEN h1 IS NOT NULL THEN {_tidied("[h1]")} ELSE [] END, list_filter({_tidied("string_split_regex(coalesce(description, ''), '[.,;!?|•·\\-–—]')")}, lambda x: length(x) > 3 AND length(x) < 100))) AS keyword FROM parsed)
         SELECT keyword, count(*) OVER (PARTITION BY keyword) AS cnt, page_id FROM w""",
     "p_seo_score": f"WITH {_PARSED} SELECT page_id, CAST(floor(({_held('title')}) / 4.0::DOUBLE * 40 + ({_held('h1')}) / 4.0::DOUBLE * 35 + ({_held('description')}) / 4.0::DOUBLE * 25 + 0.5) AS INTEGER) AS score FROM parsed",
+    "s18_crawl_frontier": """WITH RECURSIVE l AS (SELECT DISTINCT o_custkey AS a, (o_custkey * 7 + o_orderkey % 3) % 1500 AS b FROM orders),
+        r AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS depth WHERE EXISTS (FROM orders WHERE o_custkey = 1) UNION SELECT l.b, depth + 1 FROM r JOIN l ON l.a = r.node WHERE depth < 40)
+        SELECT node, min(depth) AS depth FROM r GROUP BY node QUALIFY row_number() OVER (ORDER BY min(depth), node) <= 400""",
     "j32_search_positions": f"WITH {_POS} SELECT query, host, position FROM p",
     "a55_position_summary": f"WITH {_POS} SELECT count(*) AS queries, count(*) FILTER (WHERE position <= 3) AS top3, count(*) FILTER (WHERE position <= 10) AS top10, count(*) FILTER (WHERE position IS NULL) AS not_found FROM p",
     "a55_top_domains": f"WITH {_RESULTS} SELECT domain, count(*) AS cnt FROM r WHERE position <= 5 AND NOT contains(domain, 'tionsh') GROUP BY 1 ORDER BY cnt DESC, domain LIMIT 10",
