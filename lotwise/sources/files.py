@@ -25,10 +25,14 @@ def receipts(items: DataFrame) -> DataFrame:
     return items.groupBy("page").agg(F.count("*").alias("rows"), F.sha2(F.array_join(F.sort_array(F.collect_list(row)), ""), 256).alias("fingerprint"))
 
 
-def completion(pages: DataFrame, page_size: int, page_cap: int) -> DataFrame:
-    """One row: why collection ended. Only a short last page proves the archive's end; a fingerprint seen twice is a loop."""
+def completion(pages: DataFrame, page_size: int, page_cap: int | None = None) -> DataFrame:
+    """One row: why collection ended. Only a short last page proves the archive's end; a fingerprint seen twice is a loop.
+
+    page_cap: how many pages the collector asks for at most; None if it has no such limit, and then none can have ended it.
+    """
     n = pages.agg(F.count("*").alias("pages"), F.count_distinct("fingerprint").alias("distinct_pages"), F.max_by("rows", "page").alias("last_rows"), F.sum("rows").alias("rows"))
-    why = F.when(F.col("pages") == 0, "empty").when(F.col("distinct_pages") < F.col("pages"), "repeated_page").when(F.col("last_rows") < page_size, "archive_end").when(F.col("pages") >= page_cap, "page_cap").otherwise("incomplete")
+    why = F.when(F.col("pages") == 0, "empty").when(F.col("distinct_pages") < F.col("pages"), "repeated_page").when(F.col("last_rows") < page_size, "archive_end")
+    why = (why if page_cap is None else why.when(F.col("pages") >= page_cap, "page_cap")).otherwise("incomplete")
     return n.withColumn("completion", why).withColumn("complete", F.col("completion") == "archive_end")
 
 

@@ -161,6 +161,12 @@ def test_pages_that_end_or_repeat(spark):
     assert (end.completion, end.complete, loop.completion, loop.complete) == ("archive_end", True, "repeated_page", False)
 
 
+def test_a_feed_without_a_limit_of_pages_has_no_cap(spark):
+    pages = spark.createDataFrame([(str(i), i, f"v{i}") for i in range(12)], "page string, place int, v string")
+    why = lambda *cap: files.completion(files.receipts(pages), 1, *cap).first().completion
+    assert (why(), why(12), why(13)) == ("incomplete", "page_cap", "incomplete")
+
+
 def test_csv_begins_with_a_mark(spark, tmp_path):
     rows = spark.createDataFrame([("ключ", 1), ('a "b", c', 2)], "word string, n int")
     files.csv_export(rows.coalesce(1), f"{tmp_path}/csv")
