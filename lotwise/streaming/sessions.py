@@ -178,20 +178,20 @@ class ProbeReader(DataSourceStreamReader):
         record = self._json(posixpath.join(self.root, f"{number}.json"))
         return record is not None and record.get("state") not in self.unfinished
 
-    def _ahead(self, start: int) -> int:
-        """The number after the last one that is there, as far as one batch goes."""
+    def _ahead(self, start: int) -> tuple[int, bool]:
+        """The number after the last one that is there, as far as one batch goes, and whether the next batch goes on from there."""
         at, missed, end = start, 0, start
         while missed < self.misses and at - start < self.most:
             there = self.store.get_file_info(posixpath.join(self.root, f"{at}.json")).type != pafs.FileType.NotFound
             at, missed = at + 1, 0 if there else missed + 1
             end = at if there else end
-        return end
+        return end, missed < self.misses and end > start
 
     def latestOffset(self) -> dict:
         last = self._json(self.kept) or self.initialOffset()
         was = {int(k): v for k, v in json.loads(last["waiting"]).items()}
-        end = self._ahead(last["next"])
-        waiting = {k: v + 1 for k, v in was.items() if not self._final(k)} | {k: 0 for k in range(last["next"], end) if not self._final(k)}
+        end, more = self._ahead(last["next"])
+        waiting = (was if more else {k: v + 1 for k, v in was.items() if not self._final(k)}) | {k: 0 for k in range(last["next"], end) if not self._final(k)}
         if end == last["next"] and waiting.keys() == was.keys():
             return last  # nothing new: no batch
         return {"next": end, "waiting": json.dumps({str(k): v for k, v in sorted(waiting.items()) if v < self.tries})}

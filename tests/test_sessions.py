@@ -124,3 +124,25 @@ def test_probe_goes_on_where_it_stopped(spark):
     run()
     got = [(r.id, r.state) for r in spark.read.parquet(f"file://{folder}/out").collect()]
     assert sorted(got) == [(n, "open") for n in (1, 2, 3, 4, 5, 6, 7, 9)]
+
+
+def test_probe_of_many_batches_is_one_try(spark):
+    """What isn't final waits however many batches the way to the end takes, and is given once it is final."""
+    folder = new_path(spark, "probe").removeprefix("file://")
+    os.makedirs(f"{folder}/in")
+    put = lambda n, state: open(f"{folder}/in/{n}.json", "w").write(json.dumps({"state": state, "title": f"t{n}"}))
+
+    def run():
+        sink = lambda batch, number: batch.write.mode("overwrite").parquet(f"file://{folder}/out/batch={number}")
+        stream = sessions.probe(spark, f"file://{folder}/in", f"file://{folder}/state", pending="review", misses="3", most="2", tries="3")
+        query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"file://{folder}/checkpoint").start()
+        query.processAllAvailable()
+        query.stop()
+        return sorted((r.id, r.state) for r in spark.read.parquet(f"file://{folder}/out").collect())
+
+    for n in range(1, 13):
+        put(n, "review" if n in (2, 5) else "open")
+    others = [(n, "open") for n in range(1, 13) if n not in (2, 5)]
+    assert run() == others
+    put(2, "open")
+    assert run() == sorted([*others, (2, "open")])
