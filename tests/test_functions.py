@@ -138,6 +138,36 @@ def test_groups_equal_going_through_one_by_one(spark):
     assert got == want
 
 
+def test_groups_of_copies_equal_those_of_their_pairs(spark, monkeypatch):
+    """Copies meet as one row, in parts, and of frequent words dealt among tasks; the clusters are those of going through all pairs."""
+    monkeypatch.setattr(identity, "CLASS_PART", 3)
+    monkeypatch.setattr(identity, "KEY_PART", 4)
+    rng = random.Random(11)
+    words = ["альфа", "бета", "гамма", "дельта", "омега"]
+    kinds = [(f"s{rng.randrange(3)}", " ".join(rng.sample(words, rng.randrange(1, 5))), rng.choice(["ооо ромашка лес", "лес банк", "банк", None]), rng.choice(["2024-01-01", "02.01.2024", "2024-02-01", None])) for _ in range(25)]
+    data = [(i, *rng.choice(kinds)) for i in range(120)]
+    rows = spark.createDataFrame(data, "id long, source string, title string, organization string, deadline string")
+    day = {"2024-01-01": 1, "02.01.2024": 2, "2024-02-01": 32, None: None}
+
+    def similar(a, b):
+        x, y = set(a[2].split()), set(b[2].split())
+        org = not (a[3] and b[3]) or bool(set(a[3].split()) & set(b[3].split()) - {"ооо"})
+        close = day[a[4]] is None or day[b[4]] is None or abs(day[a[4]] - day[b[4]]) <= 3
+        return a[1] != b[1] and org and len(x & y) / min(len(x), len(y)) >= 0.5 and close
+
+    pairs = [(i, j) for i in range(120) for j in range(i + 1, 120) if similar(data[i], data[j])]
+    found = identity.similar_pairs(rows)
+    assert sorted((r.a, r.b) for r in found.collect()) == pairs
+    want, used = {}, set()
+    for i in range(120):
+        if i not in used:
+            cluster = [j for j in range(i + 1, 120) if j not in used and (i, j) in set(pairs)]
+            want |= {j: i for j in [i, *cluster] if cluster}
+            used |= {i, *cluster}
+    for got in (identity.lot_groups(rows), identity.seed_groups(found)):
+        assert {r.id: r.seed for r in got.collect()} == want and got.count() == len(want)
+
+
 def test_spend_of_the_last_year_counts_double(spark):
     rows = [("1", 5, "A", "t", 1, "w", 100.0, "2024-06-01", "s", "poly", "accepted", "deals"), ("2", 5, "A", "t", 1, "w", 50.0, "2023-01-01", "s", "none", "accepted", "deals"), ("3", None, "B", "t", 1, "w", 9.0, "2024-06-01", "s", "none", "accepted", "deals")]
     names = "business_id string, buyer_inn long, buyer_name string, buyer_type string, winner_inn long, winner string, amount_uzs double, awarded_on string, subject string, profile string, status string, feed string"
