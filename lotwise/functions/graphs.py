@@ -12,14 +12,15 @@ def list_places(links: DataFrame, starts: DataFrame) -> DataFrame:
     """(list, node, place) of the nodes that a list reaches from its start, from 0 on; each node once, at its first place.
 
     links (list, node, next), one row a node; starts (list, node). Round by round all known places meet the jumps of 2^k
-    links, which double the places that are known, and the jumps are doubled. A list that runs into itself ends there.
+    links, which double the places that are known, and the jumps are doubled. A list that runs into itself ends there. The
+    tables are about as large in each round, so their joins sort: none goes through the driver as a broadcast.
     """
     jumps = written(links.filter("next is not null").select("list", "node", F.col("next").alias("to")), "jumps")
-    known = written(starts.join(links.select("list", "node"), ["list", "node"]).distinct().withColumn("place", F.lit(0).cast("long")), "places")
+    known = written(starts.join(links.select("list", "node").hint("merge"), ["list", "node"]).distinct().withColumn("place", F.lit(0).cast("long")), "places")
     step = 1
     while True:
-        more = known.join(jumps, ["list", "node"]).select("list", F.col("to").alias("node"), (F.col("place") + step).alias("place"))
-        more = more.join(links.select("list", "node"), ["list", "node"], "left_semi")
+        more = known.join(jumps.hint("merge"), ["list", "node"]).select("list", F.col("to").alias("node"), (F.col("place") + step).alias("place"))
+        more = more.join(links.select("list", "node").hint("merge"), ["list", "node"], "left_semi")
         # A node that is met again, further on, closes a loop: what is beyond it was met before.
         grown = written(known.union(more).groupBy("list", "node").agg(F.min("place").alias("place")), "places")
         before, after = known.count(), grown.count()
@@ -29,7 +30,7 @@ def list_places(links: DataFrame, starts: DataFrame) -> DataFrame:
             discard(jumps)
             return known
         there = jumps.select("list", F.col("node").alias("to"), F.col("to").alias("further"))
-        doubled = written(jumps.join(there, ["list", "to"]).select("list", "node", F.col("further").alias("to")), "jumps")
+        doubled = written(jumps.join(there.hint("merge"), ["list", "to"]).select("list", "node", F.col("further").alias("to")), "jumps")
         discard(jumps)
         jumps, step = doubled, 2 * step
 

@@ -32,7 +32,8 @@ def cursor_completion(pages: DataFrame, placed: DataFrame) -> DataFrame:
     after = pages.groupBy("feed", F.col("cursor").alias("last")).agg(F.max("next").alias("next"))
     known = placed.select("feed", F.col("cursor").alias("next"), F.lit(True).alias("seen"))
     why = F.when(F.col("next").isNull(), "archive_end").when(F.col("seen"), "loop").otherwise("missing_page")
-    return ends.join(after, ["feed", "last"]).join(known, ["feed", "next"], "left").select("feed", "pages", "last", why.alias("completion"))
+    # One row a feed asks tables of all pages: those aren't broadcast.
+    return ends.join(after.hint("merge"), ["feed", "last"]).join(known.hint("merge"), ["feed", "next"], "left").select("feed", "pages", "last", why.alias("completion"))
 
 
 def after_key(time: str, key: str, last_time: Column, last_key: Column) -> Column:

@@ -81,3 +81,12 @@ def test_what_pages_prove(spark):
     rows = [("a", 0, d(2024, 1, 8), d(2024, 1, 10), 5), ("a", 1, d(2024, 1, 5), d(2024, 1, 8), 5), ("a", 3, d(2024, 1, 1), d(2024, 1, 2), 5), ("b", 0, d(2024, 1, 2), d(2024, 1, 9), 5), ("b", 1, None, None, 0), ("c", 1, d(2024, 1, 1), d(2024, 1, 2), 1), ("d", 0, d(2023, 12, 30), d(2024, 1, 4), 9)]
     got = {r.feed: (r.first, r.last) for r in paging.page_span(spark.createDataFrame(rows, "feed string, place int, oldest date, newest date, rows int"), F.lit("2024-01-01").cast("date")).collect()}
     assert got == {"a": (d(2024, 1, 6), d(2024, 1, 10)), "b": (d(2024, 1, 1), d(2024, 1, 9)), "d": (d(2024, 1, 1), d(2024, 1, 4))}
+
+
+def test_places_and_completion_are_never_broadcast(spark):
+    """Joins of tables of all pages sort, however small the tables are: what is broadcast goes through the driver."""
+    pages = spark.createDataFrame([(0, i, i + 1 if i < 20 else None) for i in range(21)], "feed long, cursor long, next long")
+    placed = paging.cursor_pages(pages, spark.createDataFrame([(0, 0)], "feed long, cursor long"))
+    assert sorted((r.cursor, r.place) for r in placed.collect()) == [(i, i) for i in range(21)]
+    ends = paging.cursor_completion(pages, placed)
+    assert ends.first().completion == "archive_end" and "Broadcast" not in ends._jdf.queryExecution().executedPlan().toString()
