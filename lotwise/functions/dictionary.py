@@ -47,10 +47,11 @@ def keyword_hits(texts: DataFrame, dictionary: DataFrame, negative: tuple[str, .
     low = texts.filter("id is not null").select("id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
     entries = rooted(dictionary)
     lengths = entries.filter("key <> '' and not several").agg(F.coalesce(F.array_sort(F.collect_set(F.char_length("key"))), F.array().cast("array<int>")).alias("lengths"))  # one row, of as many lengths as words have
-    words = low.crossJoin(F.broadcast(lengths)).select("id", "lengths", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"\p{L}+"), 0))).alias("word"))
-    fitting = F.filter("lengths", lambda n: n <= F.char_length("word"))
-    begins = words.select("id", F.explode(F.transform(fitting, lambda n: F.substring("word", F.lit(1), n))).alias("key")).distinct()
-    one = begins.join(entries.filter("not several"), "key").select("id", "keyword")
+    held = low.crossJoin(F.broadcast(lengths)).select("id", "lengths", F.array_distinct(F.regexp_extract_all("low", F.lit(r"\p{L}+"), 0)).alias("words"))
+    words = held.select("id", F.explode("words").alias("word"))
+    cuts = F.transform("lengths", lambda n: F.transform(F.filter("words", lambda w: F.char_length(w) >= n), lambda w: F.substring(w, F.lit(1), n)))
+    begins = held.select("id", F.explode(F.array_distinct(F.flatten(cuts))).alias("key"))  # a text's own are distinct before they are shuffled
+    one = begins.join(entries.filter("not several"), "key").select("id", "keyword", "rank", ((F.col("weak") & F.lit(bool(negative))) | F.col("not_before").isNotNull()).alias("open"))
     several = words.select("id", F.col("word").alias("key")).join(entries.filter("several and key <> ''"), "key").select("id", "keyword")
     # A root that begins with another sign (a digit, say) or has no letter is asked of the texts that hold its sign runs.
     signs = entries.filter(r"root rlike '^[^\\p{L}]'").withColumn("key", F.regexp_extract("root", r"^[^\p{L}\s]+", 0))
@@ -58,14 +59,16 @@ def keyword_hits(texts: DataFrame, dictionary: DataFrame, negative: tuple[str, .
     ends = F.transform(F.sequence(F.lit(1), F.char_length("run")), lambda n: F.substring("run", n, F.char_length("run")))
     cut = runs.select("id", F.explode(F.array_distinct(F.flatten(F.transform(ends, lambda e: F.transform(F.sequence(F.lit(1), F.char_length(e)), lambda n: F.substring(e, F.lit(1), n)))))).alias("key"))
     odd = cut.join(signs.filter("key <> ''"), "key").select("id", "keyword")
-    found = one.union(several.join(signs.select("keyword"), "keyword", "left_anti").select("id", "keyword")).union(odd)
+    # A root that is one word is held if it begins a word; the text is asked again only for what else the keyword demands.
+    sure = one.filter("not open").select("id", "keyword", "rank")
+    found = one.filter("open").select("id", "keyword").union(several.join(signs.select("keyword"), "keyword", "left_anti").select("id", "keyword")).union(odd)
     asked = found.distinct().join(low, "id").join(entries, "keyword").filter(F.rlike("low", "pattern"))
     after = F.expr("regexp_extract(low, concat(pattern, '((?s).{0,10})'), 1)")
     barred = F.exists(F.coalesce("not_before", F.array().cast("array<string>")), lambda w: after.startswith(w))
     alien = F.lit(False)
     for stem in negative:
         alien = alien | F.col("low").contains(stem)
-    return asked.filter(~barred & ~(F.col("weak") & alien)).select("id", "keyword", "rank").distinct()
+    return asked.filter(~barred & ~(F.col("weak") & alien)).select("id", "keyword", "rank").union(sure).distinct()
 
 
 def first_keywords(texts: DataFrame, dictionary: DataFrame, negative: tuple[str, ...] = ()) -> DataFrame:

@@ -103,3 +103,12 @@ def test_replay_by_rules_of_the_time(spark):
     lots = [(1, t(2024, 1, 10), 50.0, "ok"), (2, t(2024, 2, 1), 50.0, "ok"), (3, t(2024, 1, 10), 500.0, "so bad"), (4, t(2024, 3, 5), 500.0, "so bad"), (5, t(2024, 3, 5), None, "bad"), (6, t(2023, 5, 5), 0.0, "bad")]
     out = register_changes.replayed(spark.createDataFrame(lots, "id int, at timestamp, price double, text string"), spark.createDataFrame(versions, "stage string, since timestamp, until timestamp, least double, word string"), ["a", "b"])
     assert {r.id: r.stage for r in out.collect()} == {1: "a", 2: None, 3: None, 4: "b", 5: "a", 6: None}
+
+
+def test_words_that_begin_with_a_root_are_not_searched_again(spark):
+    """A text is joined and searched only for keywords with more conditions than one word's beginning."""
+    texts = spark.createDataFrame([(1, "Ab abcde abcdef, xyabc"), (2, None), (3, "nothing")], "id long, text string")
+    entry = spark.createDataFrame([("abcde", 1, False, True, None), ("xyab", 2, False, True, None), ("bcd", 3, False, True, None), ("ab", 4, False, True, ["c"])], "keyword string, rank int, weak boolean, whole boolean, not_before array<string>")
+    assert sorted(tuple(r) for r in dictionary.keyword_hits(texts, entry.limit(3)).collect()) == [(1, "abcde", 1), (1, "xyab", 2)]
+    sure = dictionary.keyword_hits(texts, entry.filter("not_before is null"))
+    assert sorted(tuple(r) for r in sure.collect()) == [(1, "abcde", 1), (1, "xyab", 2)]
