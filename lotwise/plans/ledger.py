@@ -108,11 +108,13 @@ def expected(rows: DataFrame, weeks: int = 6) -> DataFrame:
 
 
 def channel_gaps(rows: DataFrame, top: int = 5) -> DataFrame:
-    """By feed: count, sum and the top buyers by sum."""
+    """By feed: count, sum and the top buyers by sum: of a feed's buyers each task sends on only its own first ones."""
     by = rows.groupBy("feed", "buyer_name").agg(F.count("*").alias("n"), F.sum("amount_uzs").alias("s"))
     place = F.row_number().over(Window.partitionBy("feed").orderBy(F.desc("s"), "buyer_name"))
-    names = F.transform(F.sort_array(F.collect_list(F.when(F.col("k") <= top, F.struct("k", "buyer_name")))), lambda x: x["buyer_name"])
-    return by.withColumn("k", place).groupBy("feed").agg(F.sum("n").alias("cnt"), F.sum("s").cast("double").alias("total"), F.array_join(names, "|").alias("buyers"))
+    names = F.transform(F.sort_array(F.collect_list(F.struct("k", "buyer_name"))), lambda x: x["buyer_name"])
+    first = by.withColumn("k", place).filter(F.col("k") <= top).groupBy(F.col("feed").alias("f")).agg(F.array_join(names, "|").alias("buyers"))
+    sums = by.groupBy("feed").agg(F.sum("n").alias("cnt"), F.sum("s").cast("double").alias("total"))
+    return sums.join(first, F.col("feed").eqNullSafe(F.col("f"))).drop("f")
 
 
 def feed_health(rows: DataFrame, lag: int = 3) -> DataFrame:

@@ -202,3 +202,11 @@ def test_csv_begins_with_a_mark(spark, tmp_path):
     files.csv_export(rows.coalesce(1), f"{tmp_path}/csv")
     assert next((tmp_path / "csv").glob("*.csv")).read_bytes().lstrip(b'"').startswith(b"\xef\xbb\xbf")
     assert sorted(tuple(r) for r in files.csv_import(spark, f"{tmp_path}/csv", "word string, n int").collect()) == [('a "b", c', 2), ("ключ", 1)]
+
+
+def test_a_feed_sends_only_its_first_buyers(spark):
+    """The first buyers are cut in each task before a feed's rows meet in one; sums are of all rows."""
+    rows = spark.createDataFrame([("f", f"b{i:02d}", i % 20) for i in range(40)] + [(None, "x", 1)], "feed string, buyer_name string, amount_uzs int").withColumn("amount_uzs", F.col("amount_uzs").cast("decimal(20,2)"))
+    found = ledger.channel_gaps(rows)
+    assert {(r.feed, r.cnt, r.total, r.buyers) for r in found.collect()} == {("f", 40, 380.0, "b19|b39|b18|b38|b17"), (None, 1, 1.0, "x")}
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
