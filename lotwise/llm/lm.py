@@ -8,11 +8,11 @@ A word is scored with the longest context that its text has before it, up to ord
 [\\x20\\x09-\\x0D], A-Z folded; n-grams go by 64-bit hashes (among a billion distinct n-grams two clash in one corpus of about
 forty; the counts of such a pair add up).
 
-Documents are dealt by hash into blocks of bounded size, and their n-grams exploded into rows (block, gram, n): an n-gram is
-counted in its block before anything is shuffled by it, so a frequent one costs one row a block, however many documents have
-it, and no key is hot. The count table is partitioned by the hash and joined to the blocks' rows; totals
-that a block doesn't have already go back to it as rows, are joined there with its exploded words, and the logs are summed
-per document.
+Documents are dealt by hash into blocks of bounded size: an n-gram is counted in its block before anything is shuffled by it,
+so a frequent one costs one entry a block, however many documents have it, and no key is hot. A block sends its n-grams and
+counts as arrays, one for each range of the hashes; there they are exploded into rows (block, gram, n) and summed over the
+blocks, and the totals go back as arrays in the order in which they were sent. In the blocks they meet the words again, and
+the logs are summed per document.
 """
 
 from __future__ import annotations
@@ -21,14 +21,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialise
 from .words import C1, U64, Words, grams, mix, slices
 
-#: Text of a block.
-BLOCK_BYTES = 24 << 20
+#: Text of a block; ranges of the hashes for each partition of the counts.
+BLOCK_BYTES, BUCKETS = 10 << 20, 4
 
 
 def word_hashes(text: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +66,8 @@ def stupid_backoff(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, orde
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * blocks)
+    buckets = BUCKETS * partitions
+    starts_of_buckets = np.array([(b << 64) // buckets for b in range(buckets)], U64)
 
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     blocked = docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")).repartition(partitions, "block")
@@ -75,29 +77,32 @@ def stupid_backoff(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, orde
         block, parts = table.column("block")[0].as_py(), []
         for k in range(1, order + 1):
             keys, n = block_counts(exploded(words, bounds, k))
-            alike = np.argsort(np.minimum(n, 255).astype(np.uint8), kind="stable")  # rows of equal counts side by side compress better
-            parts.append(pa.table({"block": np.full(len(keys), block, np.int64), "gram": keys[alike].view(np.int64), "n": n[alike]}))
+            cuts = np.searchsorted(keys, starts_of_buckets)
+            held = np.flatnonzero(np.diff(np.append(cuts, len(keys))))  # buckets in which the block has n-grams
+            offsets = pa.array(np.append(cuts[held], len(keys)).astype(np.int32))
+            lists = {"grams": pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64))), "ns": pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int64)))}
+            parts.append(pa.table({"block": np.full(len(held), block, np.int64), "size": np.full(len(held), k, np.int32), "bucket": held.astype(np.int32)} | lists))
         return pa.concat_tables(parts)
 
-    # The count table, partitioned by hash; both sides of the join come from one shuffle of the blocks' rows.
-    # The filter says what each side of the join would ask for by itself, and so makes their shuffles one.
-    held = blocked.groupBy("block").applyInArrow(count, "block long, gram long, n long")
-    held = held.filter("block is not null and gram is not null and n is not null").repartition(partitions, "gram")
-    counts = held.groupBy("gram").agg(F.sum("n").alias("total"), F.count("block").alias("blocks")).filter("blocks > 1").drop("blocks")
-    # A partition's share of the table is bounded, as there are more partitions with more input.
-    totals = held.join(counts.hint("shuffle_hash"), "gram").filter("total > n").select("block", "gram", "total")
+    # A block sends the n-grams of a bucket (a range of the hashes) as one row, in their order, and gets their totals back in
+    # the same order, so that these need no names. The buckets' partitions count them as plain rows.
+    held = blocked.groupBy("block").applyInArrow(count, "block long, size int, bucket int, grams array<long>, ns array<long>").repartition(partitions, "bucket")
+    rows = held.select("block", "size", "bucket", F.posexplode(F.arrays_zip("grams", "ns"))).select("block", "size", "bucket", F.col("pos").alias("at"), F.col("col.grams").alias("gram"), F.col("col.ns").alias("n"))
+    # A partition's share of the n-grams is bounded, as there are more partitions with more input; one n-gram has a row a block.
+    summed = rows.withColumn("total", F.sum("n").over(Window.partitionBy("bucket", "size", "gram")))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", "total"))), lambda x: x["total"])
+    totals = summed.groupBy("bucket", "block", "size").agg(in_order.alias("totals")).select("block", "size", "bucket", "totals")
 
     def score(table: pa.Table, told: pa.Table) -> pa.Table:
         words, bounds = word_hashes(table.column("text"))
-        grams_told = told.column("gram").to_numpy().view(U64)
+        told_size, told_bucket, told_totals = told.column("size").to_numpy(), told.column("bucket").to_numpy(), told.column("totals").combine_chunks()
         size, before = len(words), None
         log, lost, single = np.zeros(size), np.zeros(size), np.ones(size, bool)
         for k in range(1, order + 1):
             keys = exploded(words, bounds, k)
-            own, n = block_counts(keys)
-            at = np.minimum(np.searchsorted(own, grams_told), max(len(own) - 1, 0))
-            mine = own[at] == grams_told if len(own) else np.zeros(len(grams_told), bool)
-            n[at[mine]] = told.column("total").to_numpy()[mine]  # what a block isn't told is in no other block
+            own = np.unique(keys[keys > 0])
+            of_size = np.flatnonzero(told_size == k)
+            n = told_totals.take(pa.array(of_size[np.argsort(told_bucket[of_size])])).flatten().to_numpy()  # all of the block's n-grams, in the order of their hashes
             count_of = n[np.minimum(np.searchsorted(own, keys), max(len(own) - 1, 0))] * (keys > 0) if len(own) else np.zeros(size, np.int64)
             if k == 1:
                 log = np.log(np.maximum(count_of, 1))
