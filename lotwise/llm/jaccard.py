@@ -17,10 +17,12 @@ Two distinct sets of sizes n and m link when 100 * overlap >= percent * union, s
    linked with H, share at least |X ^ H| less the most tokens in which sets that link differ. This holds for any set in H's
    place, so what most members differ from H in is flipped: they are compared with their consensus. Within a home of several
    components these differences are indexed, rarest first, instead of the sets: what members have in common no longer pairs
-   them. Two that are too near to the consensus to share a difference are both linked with the member nearest to it.
+   them. Two that are too near to the consensus to share a difference are both linked with the member nearest to it. These
+   lists ask hubs of their own first, so that near copies at all distances are one component before pairs are made.
 6. Sets of different homes and components meet by blocks of the lists; if both asked the list's hub H, its answers refute
    most pairs: |X n Y| is at most min(|X n H|, |Y n H|) + min(|X - H|, |Y - H|) and at least |X n H| + |Y n H| - |H|.
-   Pairs that are left open are intersected in full, dealt in even parts.
+   A set's mask has a bit for each remainder that its hashes leave; X has at least as many tokens that Y lacks as X's mask has
+   bits that Y's lacks. That refutes pairs where they meet. Those that are left open are intersected in full, in even parts.
 
 Every pair of sets that links is linked, refuted by a bound that is exact, or within a component already: no link between
 different texts is lost, while a group of g near copies costs about g questions a round and not g * g.
@@ -31,7 +33,8 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +51,8 @@ from .words import slices
 HUB_ROUNDS, PART_SETS, PART_SHINGLES = 2, 256, 1_000_000
 #: A set may derive answers from a hub of at least this similarity.
 HOME_PERCENT = 30
+#: A mask's longs, and the columns that hold them.
+MASK = [f"m{k}" for k in range(8)]
 #: Digests that a task remembers, to send the tokens of a class once.
 REMEMBERED = 200_000
 
@@ -76,14 +81,31 @@ def cid_of(digest_: bytes, seed: int) -> int:
     return xxhash.xxh64_intdigest(struct.pack("<i", seed), xxhash.xxh64_intdigest(digest_, 42))
 
 
+def mask(shingles: np.ndarray) -> np.ndarray:
+    """The longs whose bits say which remainders the hashes of a set leave."""
+    bits = np.zeros(64 * len(MASK), np.uint8)
+    bits[shingles & np.uint64(len(bits) - 1)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def not_refuted(x: str, y: str, percent: int) -> Column:
+    """Whether the masks of two sets let them link; x and y are prefixes of the columns n and MASK."""
+    alone = lambda a, b: reduce(add, [F.bit_count(F.col(f"{a}{c}").bitwiseAND(F.bitwise_not(F.col(f"{b}{c}")))) for c in MASK])
+    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    return F.least(n - alone(x, y), m - alone(y, x)) >= need(n, m, percent)
+
+
 def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, digests = [], []
+        sizes, digests, masks = [], [], []
         for _, _, buf, offsets in slices(batch.column(2)):
             for s in shingle_sets(buf, offsets, k):
                 sizes.append(len(s))
                 digests.append(digest(s))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "digest"])
+                masks.append(mask(s))
+        bits = np.array(masks, np.int64).reshape(-1, len(MASK))
+        columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *[pa.array(np.ascontiguousarray(c)) for c in bits.T]]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "digest", *MASK])
 
 
 def _sent_tokens(batches: Iterator[pa.RecordBatch], k: int, percent: int, seed: int) -> Iterator[pa.RecordBatch]:
@@ -208,18 +230,19 @@ def _block_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return near.filter(~one("comp") & ~one("home") & (F.least("room", "room2") >= least)).select("token", "s", "p", "s2", "p2")
 
 
-def _open_pairs(index: DataFrame, hubs: DataFrame, answers: DataFrame, percent: int) -> DataFrame:
-    """(a, b, sure) of the pairs of different homes that blocks and the hubs' answers don't refute; sure: the answers say that they link."""
+def _open_pairs(index: DataFrame, hubs: DataFrame, answers: DataFrame, masks: DataFrame, percent: int) -> DataFrame:
+    """(a, b, sure) of the pairs of different homes that blocks, masks and the hubs' answers don't refute; sure: the answers say that they link."""
     lists = index.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     several = spread_join(index, lists, ["token"], ["cid"])
     told = spread_join(several, hubs, ["token"], ["cid"], "left").join(answers.select(F.col("a").alias("cid"), F.col("b").alias("hub"), F.col("n_b").alias("hub_n"), "both"), ["cid", "hub"], "left")
+    told = spread_join(told, masks, ["cid"], ["token"])
     size_block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).alias("s")  # sizes that link are in one block or in two neighbours
-    entries = told.select("token", "cid", "n", "q", "i", "comp", "home", "hub_n", "both", size_block, F.floor(F.log2(F.col("i") + 1.0)).alias("p"))
+    entries = told.select("token", "cid", "n", "q", "i", "comp", "home", "hub_n", "both", *MASK, size_block, F.floor(F.log2(F.col("i") + 1.0)).alias("p"))
     entries = materialise(entries, "entries")
     pairs = _block_pairs(entries, percent)
-    ours = entries.join(pairs, ["token", "s", "p"]).select("token", "s2", "p2", (F.col("s") == F.col("s2")).alias("alike"), (F.col("p") == F.col("p2")).alias("same"), *[F.col(c).alias(f"x_{c}") for c in ("cid", "n", "q", "i", "comp", "home", "hub_n", "both")])
-    theirs = entries.select("token", F.col("s").alias("s2"), F.col("p").alias("p2"), *[F.col(c).alias(f"y_{c}") for c in ("cid", "n", "q", "i", "comp", "home", "both")])
-    met = ours.join(theirs.hint("merge"), ["token", "s2", "p2"]).filter("x_comp <> y_comp and x_home <> y_home and (not (alike and same) or x_cid < y_cid)").filter(possible("x_", "y_", percent))
+    ours = entries.join(pairs, ["token", "s", "p"]).select("token", "s2", "p2", (F.col("s") == F.col("s2")).alias("alike"), (F.col("p") == F.col("p2")).alias("same"), *[F.col(c).alias(f"x_{c}") for c in ("cid", "n", "q", "i", "comp", "home", "hub_n", "both", *MASK)])
+    theirs = entries.select("token", F.col("s").alias("s2"), F.col("p").alias("p2"), *[F.col(c).alias(f"y_{c}") for c in ("cid", "n", "q", "i", "comp", "home", "both", *MASK)])
+    met = ours.join(theirs.hint("merge"), ["token", "s2", "p2"]).filter("x_comp <> y_comp and x_home <> y_home and (not (alike and same) or x_cid < y_cid)").filter(possible("x_", "y_", percent)).filter(not_refuted("x_", "y_", percent))
     least = need(F.col("x_n"), F.col("y_n"), percent)
     most = F.least("x_both", "y_both") + F.least(F.col("x_n") - F.col("x_both"), F.col("y_n") - F.col("y_both"))
     both_told = F.col("x_both").isNotNull() & F.col("y_both").isNotNull()
@@ -235,8 +258,11 @@ def _homes(told: DataFrame) -> DataFrame:
     return near.groupBy("cid").agg(F.min_by("hub", F.struct(F.xxhash64("hub", F.lit(0)), "hub")).alias("home"))
 
 
-def _home_pairs(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): sets of one home and different components that share enough of their differences from it; members (cid, n, comp, home)."""
+def _home_pairs(members: DataFrame, links: DataFrame, texts: DataFrame, masks: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b): sets of one home and different components that share enough of their differences from it; members (cid, n, comp, home).
+
+    Before, hubs of the lists of differences are asked; their links (a, b) are added to those given, and given back as well.
+    """
     several = members.groupBy("home").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("home")
     asked = materialise(spread_join(members.filter("cid <> home"), several, ["home"], ["cid"]), "members")
 
@@ -260,21 +286,32 @@ def _home_pairs(members: DataFrame, texts: DataFrame, words: int, percent: int)
     taking = sizes.join(asked.select("cid", "n", "comp"), "cid").select("cid", "n", "comp", "d", "m", (F.col("m") - least + 1).alias("take")).filter("take > 0")
     ranked = shared.join(taking, "cid").withColumn("rank", F.row_number().over(Window.partitionBy("cid").orderBy("df", "token")))
     rest = (F.col("m") - F.col("rank") + 1).alias("rest")  # differences from this one on, in order of rarity
-    lists = materialise(ranked.filter("rank <= take").select("home", "token", "cid", "n", "d", "comp", rest), "lists")
+    lists = spread_join(ranked.filter("rank <= take").select("home", "token", "cid", "n", "d", "comp", rest), masks, ["cid"], ["token"])
+    lists = materialise(lists, "lists")
+    most = F.col("n") + F.col("y_n") - 2 * need(F.col("n"), F.col("y_n"), percent)  # tokens in which two that link differ
+    enough = F.least("rest", "y_rest") >= F.greatest(F.lit(1), F.ceil((F.col("d") + F.col("y_d") - most) / 2))
+    may = enough & (percent * F.greatest("n", "y_n") <= 100 * F.least("n", "y_n")) & not_refuted("", "y_", percent)
+    told_of = ("cid", "n", "d", "comp", "rest", *MASK)
+    for round_ in range(HUB_ROUNDS):
+        head = F.min(F.struct(F.xxhash64("cid", F.lit(round_)).alias("h"), *told_of)).alias("head")
+        mixed = lists.groupBy("home", "token").agg(head, F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+        hubs = mixed.select("home", "token", *[F.col(f"head.{c}").alias(f"y_{c}") for c in told_of])
+        met = spread_join(lists, hubs, ["home", "token"], ["cid"]).filter("comp <> y_comp").filter(may)
+        links = links.union(_linked(_answers(materialise(met.select(F.col("cid").alias("a"), F.col("y_cid").alias("b")).distinct(), "questions"), texts, words), percent))
+        last, lists = lists, materialise(_in_components(lists.drop("comp"), links), "lists")
+        discard(last)
     mixed = lists.groupBy("home", "token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("home", "token")
     ours = spread_join(lists, mixed, ["home", "token"], ["cid"])
-    theirs = lists.select("home", "token", *[F.col(c).alias(f"{c}2") for c in ("cid", "n", "d", "comp", "rest")])
-    most = F.col("n") + F.col("n2") - 2 * need(F.col("n"), F.col("n2"), percent)  # tokens in which two that link differ
-    enough = F.least("rest", "rest2") >= F.greatest(F.lit(1), F.ceil((F.col("d") + F.col("d2") - most) / 2))
-    met = ours.join(theirs.hint("merge"), ["home", "token"]).filter("comp <> comp2 and cid > cid2").filter(enough).filter(percent * F.greatest("n", "n2") <= 100 * F.least("n", "n2"))
+    theirs = lists.select("home", "token", *[F.col(c).alias(f"y_{c}") for c in told_of])
+    met = ours.join(theirs.hint("merge"), ["home", "token"]).filter("comp <> y_comp and cid > y_cid").filter(may)
     # Two that are so near to the consensus that they need share no difference are both linked with the member that is nearest to it.
     far = asked.join(told.groupBy("cid").agg(F.count("*").alias("d")), "cid", "left").select("home", "cid", "comp", "n", ((100 + percent) * F.coalesce("d", F.lit(0)) - (100 - percent) * F.col("n")).alias("far"))
     nearest = far.groupBy("home").agg(F.min(F.struct("far", "cid", "comp")).alias("least")).select("home", "least.*")
     star = spread_join(far.select("home", "cid", "comp"), nearest.select("home", F.col("cid").alias("b"), F.col("comp").alias("comp2"), F.col("far").alias("far2")), ["home"], ["cid"])
     star = star.filter("comp <> comp2 and cid <> b").select(F.col("cid").alias("a"), "b")
-    out = materialise(met.select(F.col("cid").alias("a"), F.col("cid2").alias("b")).union(star).distinct(), "pairs")
+    out = materialise(met.select(F.col("cid").alias("a"), F.col("y_cid").alias("b")).union(star).distinct(), "pairs")
     discard(told, shared, lists, usual)
-    return out
+    return out, links
 
 
 def _texts(docs: DataFrame, classes: DataFrame, index: DataFrame) -> DataFrame:
@@ -319,8 +356,9 @@ def links_of(docs: DataFrame, classes: DataFrame, seed: int, words: int, percent
     known = told.union(own).groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("n_a", "n_b", "both")])
     now = spread_join(now, _homes(told), ["cid"], ["token"], "left").withColumn("home", F.coalesce("home", "cid"))
     now = materialise(now, "index")
-    within = _home_pairs(now.select("cid", "n", "comp", "home").distinct(), texts, words, percent)
-    open_ = materialise(_open_pairs(now, hubs_told, known, percent), "open")
+    masks = classes.join(texts.select("cid"), "cid", "left_semi").select("cid", *MASK)
+    within, links = _home_pairs(now.select("cid", "n", "comp", "home").distinct(), links, texts, masks, words, percent)
+    open_ = materialise(_open_pairs(now, hubs_told, known, masks, percent), "open")
     rest = _answers(open_.filter("not sure").select("a", "b").union(within).distinct(), texts, words)
     return links.union(open_.filter("sure").select("a", "b")).union(_linked(rest, percent))
 
@@ -333,6 +371,6 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     nothing. Texts count whole, whatever their length; an empty table gives an empty table. component_id is the least doc_id reachable.
     """
     sets = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    signed = materialise(sets.mapInArrow(partial(_signed, k=words), "doc_id long, text_hash long, n_shingles long, digest binary"), "signed")
-    classes, seed = classes_of(signed)
+    signed = materialise(sets.mapInArrow(partial(_signed, k=words), "doc_id long, text_hash long, n_shingles long, digest binary, " + ", ".join(f"{c} long" for c in MASK)), "signed")
+    classes, seed = classes_of(signed, *MASK)
     return labelled_rows(signed, classes, links_of(docs, classes, seed, words, percent)).select("doc_id", "n_shingles", "component_id")

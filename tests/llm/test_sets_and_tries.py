@@ -6,6 +6,7 @@ import re
 import zlib
 from itertools import permutations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_edges import LONG, SCHEMA, rows, words
@@ -190,3 +191,15 @@ def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
     little = spark.createDataFrame([(1, None, "", "", 0), (2, " ", "", "", 0), (None, "a b", "", "", 0)], SCHEMA)
     assert sorted(map(str, jaccard.jaccard_components(little).collect())) == sorted(["Row(doc_id=1, n_shingles=0, component_id=1)", "Row(doc_id=2, n_shingles=0, component_id=2)", "Row(doc_id=None, n_shingles=1, component_id=None)"])
+
+
+def test_masks_refute_no_link(spark):
+    rnd = random.Random(7)
+    sets = [{rnd.randrange(1 << 64) for _ in range(n)} for n in (1, 7, 150, 900)]
+    sets += [{t for t in s if rnd.random() < 0.9} | {rnd.randrange(1 << 64) for _ in range(len(s) // 12)} for s in sets]
+    rows = [(k, len(s), *jaccard.mask(np.array(sorted(s), np.uint64)).tolist()) for k, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "k int, n long, " + ", ".join(f"{c} long" for c in jaccard.MASK))
+    both = df.select(*[F.col(c).alias(f"x_{c}") for c in df.columns]).crossJoin(df.select(*[F.col(c).alias(f"y_{c}") for c in df.columns]))
+    got = {(r.x_k, r.y_k) for r in both.filter(jaccard.not_refuted("x_", "y_", 80)).collect()}
+    linked = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if 100 * len(x & y) >= 80 * len(x | y)}
+    assert linked <= got and (2, 3) not in got and len(got) < len(sets) ** 2
