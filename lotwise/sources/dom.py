@@ -53,6 +53,8 @@ def texts(tokens_: DataFrame) -> DataFrame:
 
 def elements(tokens_: DataFrame) -> DataFrame:
     """(page_id, start, end, name, tag, depth, parent) of every element; parent is the start of the one around it."""
+    from ..session import written
+
     name = F.lower(F.regexp_extract("token", r"^</?([a-zA-Z][a-zA-Z0-9:-]*)", 1))
     tags = tokens_.select("page_id", "pos", "token", name.alias("name")).filter("name <> ''")
     closes, empty = F.col("token").startswith("</"), F.col("name").isin(*VOID) | F.col("token").endswith("/>")
@@ -65,6 +67,7 @@ def elements(tokens_: DataFrame) -> DataFrame:
     level = level.withColumn("level", F.col("s") - F.col("low") + F.when(F.col("step") < 0, 1).otherwise(0))
     next_ = Window.partitionBy("page_id", "name", "level").orderBy("pos")
     closed = level.withColumn("end", F.when(F.lead("step").over(next_) < 0, F.lead("pos").over(next_))).filter("step > 0").select("page_id", F.col("pos").alias("start"), "end", "name", F.col("token").alias("tag"))
+    closed = written(closed, "closed")  # three parts of what follows read it
 
     # What is never closed ends with the least interval around it, or with the page.
     whole = closed.filter("end is not null").select("page_id", F.col("start").alias("_s"), F.col("end").alias("_e"))
@@ -172,18 +175,31 @@ def field(nodes: DataFrame, texts_: DataFrame, containers: DataFrame, selector:
     return text_of(one, texts_).select("page_id", "container", F.col("text").alias("value"))
 
 
-def container_records(pages: DataFrame, container: str, fields: dict[str, str]) -> DataFrame:
-    """page_id, place (of the container in its page, from 1) and the fields by name, '' where a container has no match."""
+def read_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The elements and texts of pages (page_id, html), written once for all that is selected from them."""
     from ..session import written
 
     read = written(tokens(pages), "tokens")
-    nodes, held = written(elements(read), "elements"), texts(read)
+    return written(elements(read), "elements"), written(texts(read), "texts")
+
+
+def records_of(nodes: DataFrame, held: DataFrame, container: str, fields: dict[str, str]) -> DataFrame:
+    """page_id, place (of the container in its page, from 1) and the fields by name, '' where a container has no match.
+
+    Fields that differ in name only are looked up once.
+    """
     found = select(nodes, container)
     found = found.withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy("start")))
     out = found.select("page_id", F.col("start").alias("container"), "place")
-    for name, selector in fields.items():
+    first = {selector: name for name, selector in reversed(fields.items())}
+    for selector, name in first.items():
         out = out.join(field(nodes, held, found, selector).withColumnRenamed("value", name), ["page_id", "container"], "left")
-    return out.select("page_id", "place", *[F.coalesce(name, F.lit("")).alias(name) for name in fields])
+    return out.select("page_id", "place", *[F.coalesce(first[selector], F.lit("")).alias(name) for name, selector in fields.items()])
+
+
+def container_records(pages: DataFrame, container: str, fields: dict[str, str]) -> DataFrame:
+    """The records of one layout of pages."""
+    return records_of(*read_pages(pages), container, fields)
 
 
 def tender_rows(records: DataFrame, source: str, prefix: str, id_pattern: str = "", country: str = "") -> DataFrame:

@@ -20,9 +20,9 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lots of both layouts; the menu's must hold an E, as a country filter would ask."""
-    pages = _pages(spark, sf_dir)
-    menu = dom.tender_rows(dom.container_records(pages, *MENU), "Menu", "m", country="e")
-    article = dom.tender_rows(dom.container_records(pages, *ARTICLE), "Article", "a", id_pattern=r"lot/(\w+)")
+    read = dom.read_pages(_pages(spark, sf_dir))
+    menu = dom.tender_rows(dom.records_of(*read, *MENU), "Menu", "m", country="e")
+    article = dom.tender_rows(dom.records_of(*read, *ARTICLE), "Article", "a", id_pattern=r"lot/(\w+)")
     return menu.withColumn("layout", F.lit("menu")).unionByName(article.withColumn("layout", F.lit("article"))).drop("external_id")
 
 

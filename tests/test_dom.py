@@ -2,7 +2,7 @@
 
 from html.parser import HTMLParser
 
-from lotwise.sources import dom
+from lotwise.sources import dom, html_queries
 
 PAGES = {
     1: '<html><body><ul class="list big"><li id=a><a href="/x/17?p=1&amp;q=2">First&nbsp;lot &amp; more</a> <b>Org</b></li><li><a href=\'/y/last\'>Second</a><li><a>Third <i>in</i> parts</a></ul></li></b></body>',
@@ -100,3 +100,10 @@ def test_rows_of_lots(spark):
 
 def test_empty_table(spark):
     assert dom.container_records(spark.createDataFrame([], "page_id long, html string"), "li", {"a": "a"}).count() == 0
+
+
+def test_two_layouts_read_pages_once(spark, monkeypatch):
+    read, real = [], dom.tokens
+    monkeypatch.setattr(dom, "tokens", lambda pages: read.append(1) or real(pages))
+    html_queries.QUERIES["s05_containers"](spark, "/root/testdata/sf0.001")
+    assert len(read) == 1
