@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import drawn_together
 from .neardup import classes_of, digest, labelled_rows, shingle_sets
 from .shared import discard, key_filter, marked_by_filter, materialise, spread_join
 from .words import slices
@@ -201,10 +201,11 @@ def _linked(answers: DataFrame, percent: int) -> DataFrame:
     return answers.filter(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
-def _in_components(index: DataFrame, links: DataFrame) -> DataFrame:
-    """index with comp, the component of each class so far."""
-    groups = connected_components(links).select(F.col("node").alias("cid"), F.col("component").alias("comp"))
-    return spread_join(index, groups, ["cid"], ["token"], "left").withColumn("comp", F.coalesce("comp", "cid"))
+def _in_components(index: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """index with comp: classes of one comp are linked by chains (not all that are have one); and links that connect the same, fewer of them."""
+    links, leasts = drawn_together(links)
+    groups = leasts.select(F.col("node").alias("cid"), F.col("least").alias("comp"))
+    return spread_join(index, groups, ["cid"], ["token"], "left").withColumn("comp", F.coalesce("comp", "cid")), links
 
 
 def _hub_questions(index: DataFrame, round_: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -261,7 +262,7 @@ def _homes(told: DataFrame) -> DataFrame:
 def _home_pairs(members: DataFrame, links: DataFrame, texts: DataFrame, masks: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(a, b): sets of one home and different components that share enough of their differences from it; members (cid, n, comp, home).
 
-    Before, hubs of the lists of differences are asked; their links (a, b) are added to those given, and given back as well.
+    Before, hubs of the lists of differences are asked; what they link is added to the links (a, b) given, and links that connect the same are given back as well.
     """
     several = members.groupBy("home").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("home")
     asked = materialise(spread_join(members.filter("cid <> home"), several, ["home"], ["cid"]), "members")
@@ -298,7 +299,8 @@ def _home_pairs(members: DataFrame, links: DataFrame, texts: DataFrame, masks: D
         hubs = mixed.select("home", "token", *[F.col(f"head.{c}").alias(f"y_{c}") for c in told_of])
         met = spread_join(lists, hubs, ["home", "token"], ["cid"]).filter("comp <> y_comp").filter(may)
         links = links.union(_linked(_answers(materialise(met.select(F.col("cid").alias("a"), F.col("y_cid").alias("b")).distinct(), "questions"), texts, words), percent))
-        last, lists = lists, materialise(_in_components(lists.drop("comp"), links), "lists")
+        now, links = _in_components(lists.drop("comp"), links)
+        last, lists = lists, materialise(now, "lists")
         discard(last)
     mixed = lists.groupBy("home", "token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("home", "token")
     ours = spread_join(lists, mixed, ["home", "token"], ["cid"])
@@ -336,21 +338,23 @@ def links_of(docs: DataFrame, classes: DataFrame, seed: int, words: int, percent
     for round_ in range(HUB_ROUNDS):
         asked, hubs = _hub_questions(now, round_, percent)
         if told is None:
-            hubs_told = hubs = materialise(hubs, "hubs")
+            hubs_told = materialise(hubs, "hubs")
         else:
             asked = _not_told(asked, told)
         answers = _answers(materialise(asked, "questions"), texts, words)
         told = answers if told is None else told.union(answers)
         found = _linked(answers, percent)
         links = found if links is None else links.union(found)
-        now = materialise(_in_components(index, links), "index")
+        if round_ < HUB_ROUNDS - 1:  # after the last round the homes' answers come first
+            now, links = _in_components(index, links)
+            now = materialise(now, "index")
     # A set whose home has itself another home asks that one too: so most sets of a large group come to have one home.
     homes = materialise(_homes(told), "homes")
     moved = spread_join(homes, homes.select(F.col("cid").alias("home"), F.col("home").alias("further")).filter("home <> further"), ["home"], ["cid"])
     asked = _not_told(moved.filter("cid <> further").select(F.col("cid").alias("a"), F.col("further").alias("b")), told)
     answers = _answers(materialise(asked, "questions"), texts, words)
     told, links = told.union(answers), links.union(_linked(answers, percent))
-    now = _in_components(index, links)
+    now, links = _in_components(index, links)
     own = index.select("cid", "n").distinct().select(F.col("cid").alias("a"), F.col("cid").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"), F.col("n").alias("both"))
     # A hub knows its own overlap with itself, so that its list's answers hold for it as well.
     known = told.union(own).groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("n_a", "n_b", "both")])

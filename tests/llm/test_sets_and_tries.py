@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_edges import LONG, SCHEMA, rows, words
 
-from lotwise.llm import audit, jaccard, trie
+from lotwise.llm import audit, components, jaccard, trie
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 TURNS = "conv_id long, turn long, role string, text string"
@@ -203,3 +203,23 @@ def test_masks_refute_no_link(spark):
     got = {(r.x_k, r.y_k) for r in both.filter(jaccard.not_refuted("x_", "y_", 80)).collect()}
     linked = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if 100 * len(x & y) >= 80 * len(x | y)}
     assert linked <= got and (2, 3) not in got and len(got) < len(sets) ** 2
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_components_settle_in_few_rounds(spark, monkeypatch, kind):
+    rng, written = random.Random(11), []
+    write = components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df, name: written.append(name) or write(df, name))
+    name = rng.sample(range(1000, 2000), 400)
+    edges = [(name[k], name[k + 1]) for k in range(299)]  # a chain of 300 and a hub of 100, in any order
+    edges += [(name[300], name[k]) for k in range(301, 400)] + [(5, 5), (None, 6)]
+    rng.shuffle(edges)
+    df = spark.createDataFrame(edges, "a long, b long").select(F.col("a").cast(kind), F.col("b").cast(kind)).repartition(3)
+    least = {str(i): str(min(part)) for part in (name[:300], name[300:]) for i in part}
+    assert {str(r.node): str(r.component) for r in components.connected_components(df).collect()} == least
+    assert len(written) <= 3, written
+    monkeypatch.setattr(components, "AT_ONCE", 10)
+    assert {str(r.node): str(r.component) for r in components.connected_components(df).collect()} == least
+    edges, leasts = components.drawn_together(df)
+    assert {str(r.node): str(r.component) for r in components.connected_components(edges).collect()} == least
+    assert all(least[str(r.node)] == least[str(r.least)] for r in leasts.collect())
