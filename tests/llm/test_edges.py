@@ -6,9 +6,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lotwise.llm import decontam, langid, linedup, lm, media, neardup, packing, quality, toxicity, urlrules
 from lotwise.llm.queries import URL_RULES
 
@@ -498,3 +500,21 @@ def test_leaks_of_repeated_tokens(spark):
     items = spark.createDataFrame([(1, "word " * n), (2, " ".join(f"it costs {k} now" for k in range(n)))], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontam.leaks(docs, items).collect()}
     assert set(got) == {(i, 1) for i in range(10)} and got[3, 1].n_windows == 4 * n - 9 and got[3, 1].first_token == 1 and got[3, 1].n_slots == 0
+
+
+@pytest.mark.parametrize("stage", ["toxicity", "near_dedup", "packing"])
+def test_pipeline_sends_small_batches_to_python(spark, tmp_path, stage):
+    """64 MB of texts at a time, held several times over in every task, took an executor's memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(i, f"{i} " * 30_000, "en", "x", 1) for i in range(100, 300)], SCHEMA).coalesce(1)
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.conf.unset(name)
+    try:
+        out = dict(corpus_pipeline.STAGES)[stage](spark, docs.limit(3), str(tmp_path))
+        told = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long")
+        assert max(r.n for r in told.collect()) < 5 << 20 and out.count() >= 3
+        spark.conf.set(name, "1m")  # what the session says is kept, if it is less
+        dict(corpus_pipeline.STAGES)[stage](spark, docs.limit(3), str(tmp_path))
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.unset(name)
