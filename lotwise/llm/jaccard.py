@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
-from .components import drawn_together
+from .components import connected_components, drawn_together
 from .neardup import classes_of, digest, labelled_rows, shingle_sets
 from .shared import discard, key_filter, marked_by_filter, materialise, spread_join
 from .words import slices
@@ -55,6 +55,8 @@ HOME_PERCENT = 30
 MASK = [f"m{k}" for k in range(8)]
 #: Digests that a task remembers, to send the tokens of a class once.
 REMEMBERED = 200_000
+#: A token that so many classes have, or more, counts as one of so many.
+COUNTED = 1 << 16
 
 
 def sent(n, percent: int):
@@ -128,13 +130,47 @@ def _sent_tokens(batches: Iterator[pa.RecordBatch], k: int, percent: int, seed:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(owner.view(np.int64))], names=["token", "cid"])
 
 
+def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (token, cid) in that order, rows that may repeat: each once, with df, of the tokens that several classes have."""
+
+    def told(token: np.ndarray, cid: np.ndarray, begun: bool) -> pa.RecordBatch:
+        """begun: the first token is one of COUNTED or more, and its row here is sent already."""
+        first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        n = np.diff(np.append(first, len(token)))
+        df = np.minimum(n, COUNTED)
+        if begun:
+            df[0] = COUNTED
+        df = np.repeat(df, n)
+        kept = df > 1
+        if begun:
+            kept[0] = False
+        return pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (token, cid, df)], names=["token", "cid", "df"])
+
+    token, cid, begun = np.empty(0, np.int64), np.empty(0, np.int64), False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        token, cid = np.append(token, batch.column(0).to_numpy()), np.append(cid, batch.column(1).to_numpy())
+        fresh = np.append(True, (token[1:] != token[:-1]) | (cid[1:] != cid[:-1]))
+        token, cid = token[fresh], cid[fresh]
+        last = int(np.searchsorted(token, token[-1]))  # where the token begins that the next batch may go on with
+        if len(token) - last >= COUNTED or (begun and not last):
+            yield told(token, cid, begun)
+            token, cid, begun = token[-1:], cid[-1:], True
+        elif last:
+            yield told(token[:last], cid[:last], begun)
+            token, cid, begun = token[last:], cid[last:], False
+    if len(token):
+        yield told(token, cid, begun)
+
+
 def _index(docs: DataFrame, classes: DataFrame, seed: int, words: int, percent: int) -> DataFrame:
     """(token, cid, n, q, i): the lists, of the tokens that several rows sent; i is the token's position (from 0) among the q sent ones."""
     texts = docs.filter("doc_id is not null").select(F.col("text").cast("binary").alias("text"))
     rows = texts.mapInArrow(partial(_sent_tokens, k=words, percent=percent, seed=seed), "token long, cid long")
-    common = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    # Lists of frequent tokens are long: the join sorts, so that Spark can split a long one.
-    shared = materialise(rows.join(common.hint("merge"), "token").distinct(), "shared")
+    # Sorted, a token's classes stream through a task that holds COUNTED of them at most.
+    dealt = rows.repartition("token").sortWithinPartitions("token", "cid")
+    shared = materialise(dealt.mapInArrow(_shared_tokens, "token long, cid long, df long"), "shared")
     sizes = classes.select("cid", F.col("n_shingles").alias("n"))
     most = shared.groupBy("cid").agg(F.count("*").alias("m")).join(sizes, "cid")
     q = sent_column(F.col("n"), percent)
@@ -201,11 +237,15 @@ def _linked(answers: DataFrame, percent: int) -> DataFrame:
     return answers.filter(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
-def _in_components(index: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """index with comp: classes of one comp are linked by chains (not all that are have one); and links that connect the same, fewer of them."""
-    links, leasts = drawn_together(links)
+def _in_components(index: DataFrame, links: DataFrame, settled: bool = False) -> tuple[DataFrame, DataFrame]:
+    """index with comp: classes of one comp are linked by chains (all that are have one, if settled); and links that connect the same, fewer of them."""
+    if settled:
+        leasts = connected_components(links).select("node", F.col("component").alias("least"))
+        links = leasts.filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    else:
+        links, leasts = drawn_together(links)
     groups = leasts.select(F.col("node").alias("cid"), F.col("least").alias("comp"))
-    return spread_join(index, groups, ["cid"], ["token"], "left").withColumn("comp", F.coalesce("comp", "cid")), links
+    return index.join(groups, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")), links
 
 
 def _hub_questions(index: DataFrame, round_: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -236,7 +276,7 @@ def _open_pairs(index: DataFrame, hubs: DataFrame, answers: DataFrame, masks: Da
     lists = index.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     several = spread_join(index, lists, ["token"], ["cid"])
     told = spread_join(several, hubs, ["token"], ["cid"], "left").join(answers.select(F.col("a").alias("cid"), F.col("b").alias("hub"), F.col("n_b").alias("hub_n"), "both"), ["cid", "hub"], "left")
-    told = spread_join(told, masks, ["cid"], ["token"])
+    told = told.join(masks, "cid")
     size_block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).alias("s")  # sizes that link are in one block or in two neighbours
     entries = told.select("token", "cid", "n", "q", "i", "comp", "home", "hub_n", "both", *MASK, size_block, F.floor(F.log2(F.col("i") + 1.0)).alias("p"))
     entries = materialise(entries, "entries")
@@ -287,8 +327,7 @@ def _home_pairs(members: DataFrame, links: DataFrame, texts: DataFrame, masks: D
     taking = sizes.join(asked.select("cid", "n", "comp"), "cid").select("cid", "n", "comp", "d", "m", (F.col("m") - least + 1).alias("take")).filter("take > 0")
     ranked = shared.join(taking, "cid").withColumn("rank", F.row_number().over(Window.partitionBy("cid").orderBy("df", "token")))
     rest = (F.col("m") - F.col("rank") + 1).alias("rest")  # differences from this one on, in order of rarity
-    lists = spread_join(ranked.filter("rank <= take").select("home", "token", "cid", "n", "d", "comp", rest), masks, ["cid"], ["token"])
-    lists = materialise(lists, "lists")
+    lists = materialise(ranked.filter("rank <= take").select("home", "token", "cid", "n", "d", "comp", rest).join(masks, "cid"), "lists")
     most = F.col("n") + F.col("y_n") - 2 * need(F.col("n"), F.col("y_n"), percent)  # tokens in which two that link differ
     enough = F.least("rest", "y_rest") >= F.greatest(F.lit(1), F.ceil((F.col("d") + F.col("y_d") - most) / 2))
     may = enough & (percent * F.greatest("n", "y_n") <= 100 * F.least("n", "y_n")) & not_refuted("", "y_", percent)
@@ -299,7 +338,8 @@ def _home_pairs(members: DataFrame, links: DataFrame, texts: DataFrame, masks: D
         hubs = mixed.select("home", "token", *[F.col(f"head.{c}").alias(f"y_{c}") for c in told_of])
         met = spread_join(lists, hubs, ["home", "token"], ["cid"]).filter("comp <> y_comp").filter(may)
         links = links.union(_linked(_answers(materialise(met.select(F.col("cid").alias("a"), F.col("y_cid").alias("b")).distinct(), "questions"), texts, words), percent))
-        now, links = _in_components(lists.drop("comp"), links)
+        # Before pairs are made components are settled: sets of one that had different ones would be paired with each other.
+        now, links = _in_components(lists.drop("comp"), links, settled=round_ == HUB_ROUNDS - 1)
         last, lists = lists, materialise(now, "lists")
         discard(last)
     mixed = lists.groupBy("home", "token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("home", "token")
@@ -358,10 +398,12 @@ def links_of(docs: DataFrame, classes: DataFrame, seed: int, words: int, percent
     own = index.select("cid", "n").distinct().select(F.col("cid").alias("a"), F.col("cid").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"), F.col("n").alias("both"))
     # A hub knows its own overlap with itself, so that its list's answers hold for it as well.
     known = told.union(own).groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("n_a", "n_b", "both")])
-    now = spread_join(now, _homes(told), ["cid"], ["token"], "left").withColumn("home", F.coalesce("home", "cid"))
+    now = now.join(_homes(told), "cid", "left").withColumn("home", F.coalesce("home", "cid"))
     now = materialise(now, "index")
     masks = classes.join(texts.select("cid"), "cid", "left_semi").select("cid", *MASK)
     within, links = _home_pairs(now.select("cid", "n", "comp", "home").distinct(), links, texts, masks, words, percent)
+    settled = links.select(F.col("a").alias("cid"), F.col("b").alias("least"))  # stars, as homes' lists asked last
+    now = now.join(settled, "cid", "left").withColumn("comp", F.coalesce("least", "cid")).drop("least")
     open_ = materialise(_open_pairs(now, hubs_told, known, masks, percent), "open")
     rest = _answers(open_.filter("not sure").select("a", "b").union(within).distinct(), texts, words)
     return links.union(open_.filter("sure").select("a", "b")).union(_linked(rest, percent))

@@ -7,6 +7,7 @@ import zlib
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_edges import LONG, SCHEMA, rows, words
@@ -193,6 +194,42 @@ def test_jaccard_of_nothing(spark):
     assert sorted(map(str, jaccard.jaccard_components(little).collect())) == sorted(["Row(doc_id=1, n_shingles=0, component_id=1)", "Row(doc_id=2, n_shingles=0, component_id=2)", "Row(doc_id=None, n_shingles=1, component_id=None)"])
 
 
+def test_components_are_settled_before_pairs(spark, monkeypatch):
+    """What links found so far connect must not meet as sets of different components, however the links were dealt."""
+    texts = [(i, " ".join(f"c{k}" for k in range(i * 4, i * 4 + 50)), "en", "x", 1) for i in range(60)]
+    found, apart, ask, make = [], [], jaccard._home_pairs, jaccard._open_pairs
+
+    def home_pairs(*given):
+        found.append(ask(*given))
+        return found[0]
+
+    def open_pairs(index, *more):
+        comp = index.select("cid", "comp").distinct()
+        ends = found[0][1].join(comp.toDF("a", "x"), "a").join(comp.toDF("b", "y"), "b")
+        apart.append((ends.filter("x <> y").count(), ends.count() > 0))
+        return make(index, *more)
+
+    monkeypatch.setattr(jaccard, "_home_pairs", home_pairs)
+    monkeypatch.setattr(jaccard, "_open_pairs", open_pairs)
+    none = lambda links: links.filter("false").select(F.col("a").alias("node"), F.col("b").alias("least"))
+    monkeypatch.setattr(jaccard, "drawn_together", lambda links: (links, none(links)))  # a round that drew nothing together
+    got = jaccard.jaccard_components(spark.createDataFrame(texts, SCHEMA).repartition(4))
+    assert [r.component_id for r in got.select("component_id").distinct().collect()] == [0]
+    assert apart == [(0, True)]
+
+
+def test_shared_tokens_are_told_once(monkeypatch):
+    monkeypatch.setattr(jaccard, "COUNTED", 6)
+    rng = random.Random(2)
+    rows = sorted((t, rng.randrange(-40, 40)) for t in (0, 0, 1, 2, 3, -5, *[7] * 60, *[8] * 9, 9, *[10] * 5, *[11] * 90) for _ in range(2))
+    having = {t: {c for u, c in rows if u == t} for t, _ in rows}
+    expected = [(t, c, min(len(having[t]), 6)) for t, c in sorted(set(rows)) if len(having[t]) > 1]
+    for size in (1, 2, 3, 7, 50, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[lo : lo + size]], pa.int64()) for k in (0, 1)], names=["token", "cid"]) for lo in range(0, len(rows), size)]
+        assert [tuple(r.values()) for b in jaccard._shared_tokens(iter(batches)) for r in b.to_pylist()] == expected
+    assert list(jaccard._shared_tokens(iter([]))) == []
+
+
 def test_masks_refute_no_link(spark):
     rnd = random.Random(7)
     sets = [{rnd.randrange(1 << 64) for _ in range(n)} for n in (1, 7, 150, 900)]
