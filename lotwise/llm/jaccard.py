@@ -5,7 +5,7 @@ Two distinct sets of sizes n and m link when 100 * overlap >= percent * union, s
 
 1. Rows of equal sets are one class. Of a class only the q(n) least hashes are sent, about three tenths of the set: two sets
    that link share at least k(n) of them.
-2. Those of its sent tokens that are rarest (by counts over all documents) are indexed, so many that two sets that link share
+2. Those of its sent tokens that are rarest (by the number of classes) are indexed, so many that two sets that link share
    an indexed one. A token that no other class has can't be shared: it only moves the others back. A class whose unshared
    tokens fill its indexed ones has no partner.
 3. An index list holds (class, size, position among the sent tokens in order of rarity). Lists are parted in blocks by size
