@@ -3,7 +3,8 @@
 A document's failures are five columns, found in one pass over its text. `replay` crosses the documents with the 120 orders
 (a fixed set, broadcast), computes the first step of each order that a document fails, explodes the five steps and aggregates
 conditions over them by (part, order, step). The exploded rows are summed in the task that makes them: what is shuffled is
-one row a task, part, order and step, however many documents there are.
+one row a task, part, order and step, however many documents there are. What grows with the documents (first ids of texts,
+labels) is joined by sorting; only the orders are broadcast.
 """
 
 from __future__ import annotations
@@ -48,9 +49,9 @@ def flags(docs: DataFrame, labels: DataFrame) -> DataFrame:
     same = (F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2"))
     own = materialise(docs.select("doc_id", part, *same, bits.alias("bits")), "flags")
     first = own.filter("doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    own = spread_join(own, first, ["h1", "h2"], ["doc_id", "bits"], "left")
+    own = spread_join(own, first, ["h1", "h2"], ["doc_id", "bits"], "left", merge=True)
     known = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    own = spread_join(own, known, ["doc_id"], ["h1", "bits"], "left")
+    own = spread_join(own, known, ["doc_id"], ["h1", "bits"], "left", merge=True)
     failed = F.col("bits") + F.when(F.col("doc_id") > F.col("first"), 1 << 4).otherwise(0)
     return own.select("part", failed.alias("failed"), F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
 

@@ -137,6 +137,15 @@ def test_audit_equals_plain_python(spark):
     assert len(bare) == 600 and all(r.good_lost == r.toxic_lost == 0 for r in bare)
 
 
+def test_audit_broadcasts_nothing_that_grows(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "x", 1), (2, "a b", "en", "x", 1), (3, "c", None, "x", 1)], SCHEMA)
+    flagged = audit.flags(docs, spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int"))
+    plan = lambda: flagged._jdf.queryExecution().executedPlan().toString()
+    assert plan().count("SortMergeJoin") == 2 and "Broadcast" not in plan()
+    assert sorted(map(tuple, flagged.collect())) == [("", 1, 0, 0), ("en", 1, 1, 0), ("en", 17, 0, 1)]
+    assert "Broadcast" not in plan()  # nor once the sizes are known
+
+
 def brute_jaccard(data, percent):
     sets, size = {}, []
     for i, text, *_ in data:
