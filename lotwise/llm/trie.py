@@ -101,7 +101,7 @@ def rebuilt_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     joined = ours.join(theirs, "base", "left").select("conv_id", "h", start.alias("start"), own.alias("own"))
     plan = materialise(joined.select("conv_id", "h", "start", (F.size("start") - F.col("h")).alias("shift"), (_last(words, "start") - _last(words, "own")).alias("more")), "plan")
     started = plan.select("conv_id", F.explode("start").alias("t")).select("conv_id", F.col("t.at").alias("depth"), "t.key", "t.words", "t.upto")
-    rest = spread_join(turns, plan.select("conv_id", "h", "shift", "more"), ["conv_id"], ["at"]).filter(F.col("at") > F.col("h"))
+    rest = spread_join(turns, plan.select("conv_id", "h", "shift", "more"), ["conv_id"], ["at"], merge=True).filter(F.col("at") > F.col("h"))
     rest = rest.select("conv_id", (F.col("at") + F.col("shift")).alias("depth"), "key", "words", (F.col("upto") + F.col("more")).alias("upto"))
     return started.unionByName(rest), plan.select("conv_id")
 
@@ -120,7 +120,7 @@ def _classes(rebuilt: DataFrame, convs: DataFrame) -> tuple[DataFrame, DataFrame
     classes = each.groupBy("x1", "x2", "n_turns", "total").agg(F.min("conv_id").alias("rep"), F.count("*").alias("weight"))
     classes = materialise(classes, "classes")
     several = classes.filter("weight > 1").select("x1", "x2", "n_turns", "rep")
-    return classes.drop("x1", "x2"), spread_join(each.drop("total"), several, ["x1", "x2", "n_turns"], ["conv_id"]).select("conv_id", "rep")
+    return classes.drop("x1", "x2"), spread_join(each.drop("total"), several, ["x1", "x2", "n_turns"], ["conv_id"], merge=True).select("conv_id", "rep")
 
 
 def _joined_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +236,7 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
         levels, alone, ended = [], classes.select("rep", F.lit(0).alias("top")), classes.select("rep", F.col("rep").alias("node"))
     else:
         n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        own = spread_join(rebuilt, classes.select(F.col("rep").alias("conv_id"), "weight", "n_turns", "total"), ["conv_id"], ["depth"])
+        own = spread_join(rebuilt, classes.select(F.col("rep").alias("conv_id"), "weight", "n_turns", "total"), ["conv_id"], ["depth"], merge=True)
         own = own.select(F.col("conv_id").alias("rep"), "depth", "key", "words", (F.col("upto") - F.col("words")).alias("before"), "weight", "n_turns", "total")
         own = materialise(own, "own")
         by_depth = materialise(own.repartitionByRange(n, "depth", "rep").sortWithinPartitions("depth"), "by_depth")  # a level reads its own row groups
@@ -247,7 +247,7 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     for more in rolled[1:]:
         nodes = nodes.unionByName(more)
     if levels:
-        below = spread_join(by_depth, alone, ["rep"], ["depth"]).filter("depth > top")
+        below = spread_join(by_depth, alone, ["rep"], ["depth"], merge=True).filter("depth > top")
         one = F.lit(1).cast("long")
         chained = below.select(
             F.col("rep").alias("conv_id"), F.col("depth").cast("long").alias("depth"), F.col("rep").alias("parent_conv_id"), F.col("weight").alias("n_convs"),

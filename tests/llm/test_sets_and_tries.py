@@ -86,6 +86,15 @@ def test_trie_of_little(spark):
         assert nodes(trie.prefix_trie(spark.createDataFrame(turns, TURNS))) == brute_trie(turns)
 
 
+def test_trie_broadcasts_no_conversations(spark):
+    turns = spark.createDataFrame([(c, t, "user", f"{c % 3} {t}") for c in range(40) for t in range(5)], TURNS)
+    rebuilt, convs = trie.rebuilt_turns(trie.ordered_turns(turns).localCheckpoint())
+    _, members = trie._classes(rebuilt, convs)
+    for df in (rebuilt, members):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 1 and "Broadcast" not in plan
+
+
 def brute_audit(docs, labels):
     good = {i for i, q, _ in labels if q == 1 and i is not None}
     toxic = {i for i, _, t in labels if t == 1 and i is not None}
