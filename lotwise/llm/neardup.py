@@ -333,8 +333,8 @@ def labelled_rows(signed: DataFrame, classes: DataFrame, links: DataFrame) -> Da
     groups = connected_components(links.union(same))
     named = classes.select("digest", "cid", "rep").join(groups, classes.cid == groups.node, "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
-    named = spread_join(named.select("digest", "component"), least, ["component"], ["digest"]).select("digest", "least")
-    out = spread_join(signed.select("doc_id", "n_shingles", "digest"), named, ["digest"], ["doc_id"], "left")
+    named = spread_join(named.select("digest", "component"), least, ["component"], ["digest"], merge=True).select("digest", "least")
+    out = spread_join(signed.select("doc_id", "n_shingles", "digest"), named, ["digest"], ["doc_id"], "left", merge=True)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
@@ -363,7 +363,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, h:
     first = named.groupBy("component").agg(F.min(F.struct("rep", "digest", "rep_hash")).alias("first"))
     first = first.select("first.digest", F.col("first.rep").alias("doc_id"), F.col("first.rep_hash").alias("text_hash"), F.lit(True).alias("stays"))
     rows = signed.filter("digest is not null and doc_id is not null").groupBy("doc_id", "text_hash", "digest").agg(F.count("*").alias("n"))
-    judged = spread_join(rows, first, ["digest", "doc_id", "text_hash"], ["doc_id"], "left")
+    judged = spread_join(rows, first, ["digest", "doc_id", "text_hash"], ["doc_id"], "left", merge=True)
     # Rows to look at: those that go, and those that stay but are there several times.
     judged = judged.filter("stays is null or n > 1").select("doc_id", "text_hash", F.coalesce("stays", F.lit(False)).alias("stays"), F.xxhash64("doc_id", "text_hash").alias("place"))
     judged = materialise(judged, "judged")

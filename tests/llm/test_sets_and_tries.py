@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_edges import LONG, SCHEMA, rows, words
 
-from lotwise.llm import audit, components, jaccard, trie
+from lotwise.llm import audit, components, jaccard, neardup, shared, trie
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 TURNS = "conv_id long, turn long, role string, text string"
@@ -95,6 +95,15 @@ def test_trie_broadcasts_no_conversations(spark):
         assert plan.count("SortMergeJoin") == 1 and "Broadcast" not in plan
 
 
+def test_near_duplicates_broadcast_no_classes(spark):
+    table = lambda rows_, schema: shared.materialise(spark.createDataFrame(rows_, schema), "test")  # noqa: E731  files, so that Spark knows they are small
+    signed = table([(1, 3, b"x"), (2, 3, b"y"), (3, 3, b"y"), (4, 0, None)], "doc_id long, n_shingles long, digest binary")
+    classes = table([(b"x", 10, 1), (b"y", 20, 2)], "digest binary, cid long, rep long")
+    out = neardup.labelled_rows(signed, classes, table([(20, 10)], "a long, b long"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 2  # one by component, one by digest
+    assert sorted(map(tuple, out.collect())) == [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 0, 4, True)]
+
+
 def brute_audit(docs, labels):
     good = {i for i, q, _ in labels if q == 1 and i is not None}
     toxic = {i for i, _, t in labels if t == 1 and i is not None}
