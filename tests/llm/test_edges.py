@@ -494,6 +494,23 @@ def test_rules_of_many_keys_that_occur_together(spark):
     assert all(abs(r.confidence - want[tuple(r.antecedent), r.label][0]) < 1e-9 and abs(r.support - want[tuple(r.antecedent), r.label][1]) < 1e-9 for r in mined)
 
 
+def test_rules_of_three_tokens_and_long_labels(spark):
+    """No pattern up to most_tokens is left out, and labels are whole."""
+    from itertools import combinations
+
+    rng = random.Random(9)
+    names = {"x": "block" * 40, "y": "allow"}
+    rows = [(sorted(t), names["x" if len(t & {"a", "b", "c"}) == 3 else rng.choice("xyy")]) for t in ({k for k in "abcde" if rng.random() < 0.6} for _ in range(300))]
+    mined = urlrules.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), 0.05, 0.6, 3).collect()
+    want = {}
+    for size in (1, 2, 3):
+        for some in combinations("abcde", size):
+            held = Counter(label for t, label in rows if set(some) <= set(t))
+            want |= {(some, label): n / sum(held.values()) for label, n in held.items() if n >= 15 and n / sum(held.values()) >= 0.6}
+    assert {(tuple(r.antecedent), r.label) for r in mined} == set(want) and (("a", "b", "c"), names["x"]) in want
+    assert all(abs(r.confidence - want[tuple(r.antecedent), r.label]) < 1e-9 for r in mined)
+
+
 def test_leaks_of_repeated_tokens(spark):
     n = 2000
     docs = spark.createDataFrame([(i, "word " * (4 * n)) for i in range(10)] + [(20, "clean text of some other words entirely apart from it")], "doc_id long, text string")
